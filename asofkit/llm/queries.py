@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import packing, sharding, topk, ts
+from . import langid, mixing, packing, secrets, sharding, topk, ts, urlgraph
 
 QUERIES = {
     "op1_vector_sharding": sharding.op1_vector_sharding,
+    "op3_poisson_mixing": mixing.op3_poisson_mixing,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_threshold_topk": topk.op5_threshold_topk,
+    "op6_randomness_battery": secrets.op6_randomness_battery,
     "op7_transport_streams": ts.op7_transport_streams,
+    "op9_nearest_centroid": langid.op9_nearest_centroid,
+    "op10_link_graph": urlgraph.op10_link_graph,
 }
 
-SQL = {"op5_threshold_topk": topk.OP5_SQL}
+SQL = {"op3_poisson_mixing": mixing.OP3_SQL, "op5_threshold_topk": topk.OP5_SQL}
