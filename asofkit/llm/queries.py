@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, packing, secrets, sharding, topk, ts, urlgraph
+from . import jaccard, langid, mixing, packing, secrets, sharding, topk, ts, urlgraph
 
 QUERIES = {
     "op1_vector_sharding": sharding.op1_vector_sharding,
+    "op2_jaccard_join": jaccard.op2_jaccard_join,
     "op3_poisson_mixing": mixing.op3_poisson_mixing,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_threshold_topk": topk.op5_threshold_topk,
