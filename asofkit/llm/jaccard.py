@@ -319,3 +319,17 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The documents, with all their columns, of which each component keeps the one of smallest id.
+
+    Documents without words are in no component and stay. Rows of one id count as one document.
+    Rows without id stay, since nothing tells them apart.
+    """
+    found = materialise(similar(docs, width, percent).select("doc_id", "component_id"), "join-kept")
+    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
+    out = docs.join(keep, F.col("doc_id").cast("long") == F.col("kept"), "left_semi")
+    if not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        out = out.dropDuplicates(["doc_id"])
+    return out.unionByName(docs.where("doc_id is null"))
