@@ -1,16 +1,55 @@
-"""Corpus preparation in stages, each of which reads what the one before it wrote."""
+"""Corpus preparation in five stages, each of which reads what the one before it wrote."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from asofkit.llm import jaccard, langid, mixing, packing, secrets
+from asofkit.llm.common import materialise
 
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents near to a language's centroids; those that the identifier rejects go."""
+    found = langid.identify(docs, langid.fit(docs.select("text", "lang")))
+    return found.where(~F.col("rejected")).select("doc.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that five-word shingles of similarity 0.8 or more connect."""
+    return jaccard.one_of_each(docs, width=5, percent=80)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with the secrets in their texts replaced by a mask."""
+    return secrets.redact(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Copies of documents by which each source comes to its target share, in random order."""
+    mixed, _ = mixing.replicate(docs)
+    return mixed.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of every piece of every document in a sequence."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language_id", language),
+    ("near_duplicates", near_duplicates),
+    ("secret_scan", secret_scan),
+    ("mixing", mix),
+    ("packing", pack),
+]
+
+#: Language ID and tokenisation have no SQL; the tests hold each stage against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
