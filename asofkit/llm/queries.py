@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, langid, mixing, packing, secrets, sharding, topk, ts, urlgraph
+from . import jaccard, katz, langid, mixing, packing, secrets, sharding, topk, ts, urlgraph
 
 QUERIES = {
     "op1_vector_sharding": sharding.op1_vector_sharding,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_threshold_topk": topk.op5_threshold_topk,
     "op6_randomness_battery": secrets.op6_randomness_battery,
     "op7_transport_streams": ts.op7_transport_streams,
+    "op8_katz_backoff": katz.op8_katz_backoff,
     "op9_nearest_centroid": langid.op9_nearest_centroid,
     "op10_link_graph": urlgraph.op10_link_graph,
 }
