@@ -3,16 +3,31 @@
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words held in a worker's cache before it is emptied.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000
+#: ASCII punctuation but the apostrophe, which may begin an ending like 's.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Words that the file's rules keep whole: Latin letters in lower case, composed.
+_PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u024f]+")
 _loaded: dict[str, tuple] = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """The printable character that byte-level vocabularies write for each byte."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+_BYTES = _byte_letters()
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -26,27 +41,49 @@ def _load(path: str):
 
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = True  # their strings in a text are ordinary text
-        _loaded[path] = (t, {})
+        _loaded[path] = (t, t.model, {})
     return _loaded[path]
 
 
+def _ids_of(words: list[str], path: str) -> list[bytes]:
+    """Little-endian ids of words without ASCII white space, A-Z in lower case.
+
+    Punctuation after a word's last letter or digit is a run of its own under the file's rules,
+    so it is encoded apart, which leaves far fewer distinct words. Plain ones go to the merging
+    model directly; all others take the whole way through the tokenizer.
+    """
+    tokenizer, model, cache = _load(path)
+    if len(cache) > CACHE_WORDS:
+        cache.clear()
+    out = []
+    for w in words:
+        found = cache.get(w)
+        if found is None:
+            core = w.rstrip(_MARKS)
+            tail = w[len(core) :]
+            if tail and core and (core[-1].isalpha() or core[-1] in "0123456789"):
+                found = b"".join(_ids_of([core, tail], path))
+            else:
+                if _PLAIN.fullmatch(w) and w.lower() == w:
+                    letters = w if w.isascii() else "".join(_BYTES[b] for b in w.encode())
+                    ids = [t.id for t in model.tokenize(letters)]
+                else:
+                    ids = tokenizer.encode(w, add_special_tokens=False).ids
+                found = cache[w] = np.array(ids, "<u4").tobytes()
+        out.append(found)
+    return out
+
+
 def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts in one array (uint32), and each text's first place (n + 1 offsets).
 
     The file's rules never join two words across ASCII white space, so a text's ids are those of
     its words one after another, and each distinct word is encoded once. Null is an empty text.
     """
-    tokenizer, cache = _load(path)
-    words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
     starts = words.offsets.to_numpy().astype(np.int64)
     coded = words.values.slice(starts[0], starts[-1] - starts[0]).dictionary_encode()
-    distinct = coded.dictionary.to_pylist()
-    if len(cache) > CACHE_WORDS:
-        cache.clear()
-    missing = [w for w in distinct if w not in cache]
-    for w, e in zip(missing, tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
-        cache[w] = np.array(e.ids, "<u4").tobytes()
-    parts = [cache[w] for w in distinct]
+    parts = _ids_of(coded.dictionary.to_pylist(), path)
     flat = np.frombuffer(b"".join(parts), "<u4")
     size = np.fromiter((len(x) // 4 for x in parts), np.int64, len(parts))
     begin = np.cumsum(size) - size
