@@ -81,17 +81,16 @@ def top_k(vectors: DataFrame, k: int = 10, scale: int = 1024, every: int = 100,
     """
     e = F.col("embedding")
     ok = F.col("vec_id").isNotNull() & e.isNotNull() & (F.size(e) > 0) & ~F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = materialise(
-        vectors.where(ok).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(e, lambda x: F.floor(x.cast("double") * scale).cast("double")).alias("x")),
-        "topk-rows",
-    )
-    sizes = rows.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0)).first()
+    kept = vectors.where(ok).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(e, lambda x: F.floor(x.cast("double") * scale).cast("double")).alias("x"))
+    sizes = kept.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0)).first()
     n_blocks, n_queries = max(1, math.ceil(sizes[0] / block)), max(1, math.ceil(sizes[1] / query_block))
+    # Blocks are dealt once and written down, as all copies of a row must agree on them.
     deal = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id(), F.lit(seed)), F.lit(n)).cast("int")
-    cands = rows.select("vec_id", "x", F.lit(False).alias("q"), deal(n_blocks, 1).alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))).alias("qb"))
-    asks = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "x"]).select(
-        "vec_id", "x", F.lit(True).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("cb"), deal(n_queries, 2).alias("qb")
-    )
+    rows = materialise(kept.select("vec_id", "x", deal(n_blocks, 1).alias("cb")), "topk-rows")
+    asked = rows.where(F.col("vec_id") % every == 0).select("vec_id", "x", F.pmod(F.xxhash64("vec_id"), F.lit(n_queries)).cast("int").alias("qb")).distinct()
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    cands = rows.select("vec_id", "x", F.lit(False).alias("q"), "cb", upto(n_queries).alias("qb"))
+    asks = asked.select("vec_id", "x", F.lit(True).alias("q"), upto(n_blocks).alias("cb"), "qb")
 
     def cell(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
