@@ -16,15 +16,15 @@ from .common import numbered, table
 from .tokens import default_path, encode
 
 
-def exact_complement(count: np.ndarray, gap: int) -> tuple[int, ...] | None:
-    """One, two or three available lengths that sum to ``gap``, or None.
+def exact_complement(count: np.ndarray, gap: int, pieces: int) -> tuple[int, ...] | None:
+    """So many available lengths (one to three) that sum to ``gap``, or None.
 
-    The sums are looked up in an index of the lengths by their own value: a single by ``gap``, a
+    The sums are looked up by their own value in an index of the lengths: a single by ``gap``, a
     pair by the complement of its larger length, a triple by a pair in what its largest leaves.
     Longer lengths come first, as they are the harder ones to place elsewhere.
     """
-    if count[gap] > 0:
-        return (gap,)
+    if pieces == 1:
+        return (gap,) if count[gap] > 0 else None
 
     def pair(total: int, most: int) -> tuple[int, int] | None:
         high = np.arange(min(most, total - 1), (total - 1) // 2, -1)
@@ -32,8 +32,8 @@ def exact_complement(count: np.ndarray, gap: int) -> tuple[int, ...] | None:
         at = int(np.argmax(ok)) if len(ok) else 0
         return (int(high[at]), int(total - high[at])) if len(ok) and ok[at] else None
 
-    if found := pair(gap, gap):
-        return found
+    if pieces == 2:
+        return pair(gap, gap)
     for a in np.flatnonzero(count[: max(gap - 1, 0)])[::-1].tolist():
         if 3 * a < gap:
             break
@@ -49,35 +49,33 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], i
     """Sequences as (lengths in them, how many such sequences), from how often each length occurs.
 
     Works on the counts alone, so its cost depends on the capacity and not on the input. Lengths
-    are taken in descending order; while lengths are left that fill the gap exactly, as many such
-    sequences are made as the availability counts allow. What has no exact complement then goes,
-    longest first, into the open sequence with the smallest gap that holds it.
+    above half the capacity need a sequence each; their gaps are filled exactly by one other
+    length while that is possible anywhere, then by two, then by three, as many times as the
+    availability counts allow. The others then go, longest first, into the open sequence with the
+    smallest gap that holds them; where none does, they are completed exactly by others if
+    possible, or else open a sequence.
     """
     count = np.zeros(capacity + 1, np.int64)
     for n, c in counts.items():
         count[n] = c
     out: list[tuple[tuple[int, ...], int]] = []
-    rest: Counter[int] = Counter()
-    if count[capacity]:
-        out.append(((capacity,), int(count[capacity])))
-        count[capacity] = 0
-    for n in range(capacity - 1, 0, -1):
-        while count[n] > 0:
-            count[n] -= 1
-            fill = exact_complement(count, capacity - n)
-            count[n] += 1
-            if fill is None:
-                break
-            need = Counter((n, *fill))
-            times = int(min(count[x] // c for x, c in need.items()))
-            out.append(((n, *fill), times))
-            for x, c in need.items():
-                count[x] -= c * times
-        if count[n] > 0:
-            rest[n], count[n] = int(count[n]), 0
     open_: dict[int, list[list]] = {}  # gap: [lengths, how many]
     gaps: list[int] = []
 
+    def complete(n: int, pieces: int) -> bool:
+        """Make as many exact sequences of n and so many other pieces, all alike, as can be."""
+        count[n] -= 1
+        fill = exact_complement(count, capacity - n, pieces)
+        count[n] += 1
+        if fill is None:
+            return False
+        need = Counter((n, *fill))
+        times = int(min(count[x] // c for x, c in need.items()))
+        out.append(((n, *fill), times))
+        for x, c in need.items():
+            count[x] -= c * times
+        return True
+
     def put(gap: int, lengths: tuple[int, ...], times: int) -> None:
         if not gap:
             out.append((lengths, times))
@@ -87,29 +85,34 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], i
             bisect.insort(gaps, gap)
         open_[gap].append([lengths, times])
 
-    for n in sorted(rest, reverse=True):
-        left = rest[n]
-        while left:
+    if count[capacity]:
+        out.append(((capacity,), int(count[capacity])))
+        count[capacity] = 0
+    for pieces in (1, 2, 3):
+        for n in range(capacity - 1, capacity // 2, -1):
+            while count[n] > 0 and complete(n, pieces):
+                pass
+    for n in range(capacity - 1, 0, -1):
+        while count[n] > 0:
             at = bisect.bisect_left(gaps, n)
             if at == len(gaps):
+                if any(complete(n, pieces) for pieces in (1, 2, 3)):
+                    continue
                 per = capacity // n
-                if left >= per:
-                    put(capacity - per * n, (n,) * per, left // per)
-                    left %= per
-                else:
-                    put(capacity - left * n, (n,) * left, 1)
-                    left = 0
+                new = (int(count[n]) // per, per) if count[n] >= per else (1, int(count[n]))
+                put(capacity - new[1] * n, (n,) * new[1], new[0])
+                count[n] -= new[0] * new[1]
                 continue
             gap = gaps[at]
             lengths, times = open_[gap].pop()
-            used = min(left, times)
+            used = int(min(count[n], times))
             if times > used:
                 open_[gap].append([lengths, times - used])
             if not open_[gap]:
                 del open_[gap]
                 gaps.pop(at)
             put(gap - n, (*lengths, n), used)
-            left -= used
+            count[n] -= used
     out.extend((lengths, times) for found in open_.values() for lengths, times in found)
     return out
 
