@@ -19,6 +19,8 @@ from .words import Shingles, first_of_runs, mix, shingle, slices, split_words
 
 #: Classes, and bytes of text, that a checking task holds on each of its two sides at most.
 BLOCK_CLASSES, BLOCK_BYTES = 800, 8_000_000
+#: Bits of the filter that keeps texts without candidates from being shuffled.
+FILTER_BITS = 1 << 25
 
 
 @dataclass
@@ -158,19 +160,43 @@ def indexed(docs: DataFrame, width: int, schemes: list[Scheme]) -> DataFrame:
     return docs.mapInArrow(work, "sig long, cid long")
 
 
-def texts_of(docs: DataFrame) -> DataFrame:
-    """key and text of each class, once for every partition that has it."""
+def bitmap(numbers: DataFrame) -> np.ndarray:
+    """A bitmap of FILTER_BITS bits with two set for each class number in the column cid.
+
+    Its size is fixed, so it can be sent to every task: one that is not in it is surely not among
+    the numbers. With far more numbers than bits it lets all pass, which costs time only.
+    """
+    at = [F.col("cid").bitwiseAND(FILTER_BITS - 1), F.shiftrightunsigned("cid", 32).bitwiseAND(FILTER_BITS - 1)]
+    bits = numbers.select(F.explode(F.array(*at)).alias("p"))
+    one = F.expr("shiftleft(1L, CAST(p & 31L AS INT))")
+    words = bits.groupBy(F.shiftright("p", 5).alias("w")).agg(F.bit_or(one).alias("v")).toPandas()  # at most FILTER_BITS / 32 rows
+    out = np.zeros(FILTER_BITS // 32, np.uint32)
+    out[words["w"].to_numpy(np.int64)] = words["v"].to_numpy(np.int64).astype(np.uint32)
+    return out
+
+
+def contains(bits: np.ndarray, cid: np.ndarray) -> np.ndarray:
+    out = np.ones(len(cid), bool)
+    for p in (cid & (FILTER_BITS - 1), (cid.view(np.uint64) >> np.uint64(32)).astype(np.int64) & (FILTER_BITS - 1)):
+        out &= (bits[p >> 5] >> (p & 31).astype(np.uint32) & 1).astype(bool)
+    return out
+
+
+def texts_of(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
+    """key and text of each class whose number the bitmap may hold, once for every partition that has it."""
 
     def work(batches):
         seen: set[bytes] = set()
         for batch in batches:
             for b in slices(batch, 1):
                 keys = keys_of(b.column(1))
+                may = contains(wanted, np.array([class_number(k) for k in keys], np.int64)).tolist()
                 keep = []
-                for k in keys:
-                    keep.append(k not in seen)
-                    seen.add(k)
-                mask = pa.array(keep)
+                for k, m in zip(keys, may):
+                    keep.append(m and k not in seen)
+                    if m:
+                        seen.add(k)
+                mask = pa.array(keep, pa.bool_())
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()).filter(mask), b.column(1).filter(mask)], names=["key", "text"])
 
     return docs.mapInArrow(work, "key binary, text string")
@@ -267,7 +293,7 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     running = Window.partitionBy("sig").orderBy("cid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     edges = sigs.withColumn("a", F.min("cid").over(running)).where("a <> cid").select("a", F.col("cid").alias("b")).distinct()
     groups = components(edges)
-    placed = materialise(classes.join(groups.withColumnRenamed("node", "cid"), "cid").select("key", "n", "bytes", "members", "root", band(F.col("n")).alias("band")), "join-groups")
+    placed = materialise(classes.join(groups.withColumnRenamed("node", "cid"), "cid").select("key", "cid", "n", "bytes", "members", "root", band(F.col("n")).alias("band")), "join-groups")
     sizes = placed.groupBy("root", "band").agg(F.count("*").alias("c"), F.sum("bytes").alias("b"))
     whole = Window.partitionBy("root")
     sizes = sizes.select(
@@ -298,7 +324,7 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     bucket = F.array(pair(F.concat(F.lit("s"), F.pmod(F.xxhash64("root"), F.lit(buckets)).cast("string")), F.lit(2)))
     dealt = tasked.withColumn("block", block).select("key", "members", F.when(small, bucket).otherwise(F.concat(same, above, below)).alias("tasks"))
     compared = (
-        dealt.join(texts_of(docs), "key").select("key", "members", "text", F.explode("tasks").alias("t"))
+        dealt.join(texts_of(docs, bitmap(placed)), "key").select("key", "members", "text", F.explode("tasks").alias("t"))
         .select("key", "members", "text", "t.task", "t.side").groupBy("task")
         .applyInPandas(lambda pdf: check(pdf, width, percent), "key binary, root binary, links long")
     )
