@@ -73,36 +73,65 @@ def shape(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def nearest_quantile(df: DataFrame, column: str, shares: Sequence[float]) -> DataFrame:
-    """The values at the sorted places nearest to q * (n - 1), an upper place at a half; null without values.
+def long_form(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """column and v (double) of every value that isn't null."""
+    return df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns]))).where("v is not null")
+
+
+def ordered_counts(values: DataFrame) -> DataFrame:
+    """column, v, n, before, total: each distinct value with its count and how many smaller ones there are.
 
-    Places come from the counts of distinct values, so no single task orders the whole column.
+    Values are dealt into ranges at approximate quantiles, which are literals of the plan; running
+    sums are taken within ranges, and the ranges' totals, one row for each column and range, tell
+    where each range starts. So no task orders a whole column.
     """
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("c"))
-    running = counts.withColumn("upto", F.sum("c").over(Window.orderBy("v")))
-    n = F.max("upto")
-    return running.agg(n.alias("n"), F.array_sort(F.collect_list(F.struct("upto", "v"))).alias("all")).select(
-        *[F.element_at(F.filter("all", lambda x: x["upto"] > F.floor(F.lit(q) * (F.col("n") - 1) + 0.5)), 1)["v"].alias(f"q{round(q * 100)}") for q in shares]
+    spark = values.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counts = values.groupBy("column", "v").agg(F.count("*").alias("n"))
+    shares = F.array(*[F.lit(i / parts) for i in range(1, parts)]) if parts > 1 else F.array(F.lit(0.5))
+    splits = F.broadcast(values.groupBy("column").agg(F.array_distinct(F.percentile_approx("v", shares, F.lit(10 * parts))).alias("_splits")))  # one row a column
+    ranged = counts.join(splits, "column").withColumn("_range", F.size(F.filter("_splits", lambda x: x <= F.col("v")))).drop("_splits")
+    totals = ranged.groupBy("column", "_range").agg(F.sum("n").alias("_n"))  # at most `parts` rows a column
+    of_column = Window.partitionBy("column")
+    starts = totals.select(
+        "column", "_range", F.sum("_n").over(of_column).alias("total"),
+        F.coalesce(F.sum("_n").over(of_column.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"),
+    )
+    within = Window.partitionBy("column", "_range").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    return ranged.withColumn("_before", F.coalesce(F.sum("n").over(within), F.lit(0))).join(starts, ["column", "_range"]).select(
+        "column", "v", "n", (F.col("_start") + F.col("_before")).alias("before"), "total"
     )
 
 
-def outliers(df: DataFrame, columns: Sequence[str], error: int = 1_000_000) -> DataFrame:
-    """Values outside the quartiles by 1.5 of their range, and beyond 3 sample deviations.
+def at_places(ordered: DataFrame, places: Mapping[str, Column]) -> DataFrame:
+    """For each column the values at places (from 0) in its order, each place an expression of ``total``."""
+    hit = lambda p: F.max(F.when((F.col("before") <= p) & (p < F.col("before") + F.col("n")), F.col("v")))
+    return ordered.groupBy("column").agg(F.max("total").alias("n"), *[hit(p).alias(name) for name, p in places.items()])
 
-    Quartiles interpolate linearly (``percentile``), in the same pass for all columns.
-    """
+
+def nearest_quantile(df: DataFrame, column: str, shares: Sequence[float]) -> DataFrame:
+    """n and the values at the sorted places nearest to q * (n - 1), the upper one at a half."""
+    places = {f"q{round(q * 100)}": F.floor(F.lit(q) * (F.col("total") - 1) + 0.5) for q in shares}
+    return at_places(ordered_counts(long_form(df, [column])), places).drop("column")
+
+
+def outliers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Values outside the linearly interpolated quartiles by 1.5 of their range, and beyond 3 sample deviations."""
+    ordered = ordered_counts(long_form(df, columns))
+    at = {q: F.lit(q) * (F.col("total") - 1) for q in (0.25, 0.75)}
+    found = at_places(ordered, {f"{side}{round(q * 100)}": f(p) for q, p in at.items() for side, f in (("l", F.floor), ("h", F.ceil))})
+    between = lambda q: F.col(f"l{q}") + (F.col(f"h{q}") - F.col(f"l{q}")) * (q / 100 * (F.col("n") - 1) - F.floor(q / 100 * (F.col("n") - 1)))
+    limits = found.select("column", "n", between(25).alias("q1"), between(75).alias("q3"))
     d = lambda c: c.cast("double")
-    limits = summarise(
-        df, columns,
-        {"n": F.count, "q1": lambda c: F.percentile(d(c), 0.25), "q3": lambda c: F.percentile(d(c), 0.75), "mean": lambda c: F.avg(d(c)), "sd": lambda c: F.stddev_samp(d(c))},
-    )
-    values = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), d(F.col(c)).alias("v")) for c in columns])))
+    moments = summarise(df, columns, {"mean": lambda c: F.avg(d(c)), "sd": lambda c: F.stddev_samp(d(c))})
+    bounds = F.broadcast(moments.join(limits, "column", "left"))  # one row a column
     spread = F.col("q3") - F.col("q1")
-    joined = values.join(F.broadcast(limits), "column")  # one row a column
-    return joined.groupBy("column").agg(
-        F.count_if((F.col("v") < F.col("q1") - 1.5 * spread) | (F.col("v") > F.col("q3") + 1.5 * spread)).alias("iqr_outliers"),
-        F.count_if(F.abs(F.col("v") - F.col("mean")) > 3 * F.col("sd")).alias("z_outliers"),
-        F.max("n").alias("n"),
+    counted = bounds.join(ordered.select("column", "v", F.col("n").alias("c")), "column", "left")
+    add = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("c"))), F.lit(0))
+    return counted.groupBy("column").agg(
+        add((F.col("v") < F.col("q1") - 1.5 * spread) | (F.col("v") > F.col("q3") + 1.5 * spread)).alias("iqr_outliers"),
+        add(F.abs(F.col("v") - F.col("mean")) > 3 * F.col("sd")).alias("z_outliers"),
+        F.coalesce(F.max("n"), F.lit(0)).alias("n"),
     )
 
 
@@ -129,17 +158,12 @@ def pearson_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def ranked(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The columns replaced by their average ranks over their own values.
-
-    Each column's ranks come from the running counts of its distinct values: values are counted
-    first, so what is ordered as a whole is the list of distinct values.
-    """
+    """The columns replaced by their average ranks over their own values, found by value."""
+    ranks = ordered_counts(long_form(df, columns)).select("column", "v", (F.col("before") + (F.col("n") + 1) / 2.0).alias("_r"))
     out = df
     for c in columns:
-        counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("_v")).agg(F.count("*").alias("_n"))
-        before = F.coalesce(F.sum("_n").over(Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        ranks = counts.select("_v", (before + (F.col("_n") + 1) / 2.0).alias("_r"))
-        out = out.join(ranks, F.col(c) == F.col("_v"), "left").withColumn(c, F.col("_r")).drop("_v", "_r")
+        own = ranks.where(F.col("column") == c).select(F.col("v").alias("_v"), F.col("_r"))
+        out = out.join(own, F.col(c).cast("double") == F.col("_v"), "left").withColumn(c, F.col("_r")).drop("_v", "_r")
     return out
 
 

@@ -50,8 +50,7 @@ def outliers_iqr_z(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH t AS ({NUMBERS}), s AS (SELECT b, row_number() OVER (ORDER BY b) - 1 AS i, count(*) OVER () AS n FROM t WHERE b IS NOT NULL) SELECT max(n) AS n, max(b) FILTER (i = floor(0.25 * (n - 1) + 0.5)) AS q25, max(b) FILTER (i = floor(0.75 * (n - 1) + 0.5)) AS q75 FROM s")
 def nearest_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = rows(spark, sf_dir, NUMBERS)
-    return explore.nearest_quantile(d, "b", (0.25, 0.75)).withColumn("n", F.lit(d.where("b is not null").count()).cast("long"))
+    return explore.nearest_quantile(rows(spark, sf_dir, NUMBERS), "b", (0.25, 0.75))
 
 
 _PAIRS = [(a, b) for i, a in enumerate(COLUMNS) for b in COLUMNS[i + 1 :]]
