@@ -159,10 +159,9 @@ def pearson_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def ranked(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The columns replaced by their average ranks over their own values, found by value."""
-    ranks = ordered_counts(long_form(df, columns)).select("column", "v", (F.col("before") + (F.col("n") + 1) / 2.0).alias("_r"))
     out = df
     for c in columns:
-        own = ranks.where(F.col("column") == c).select(F.col("v").alias("_v"), F.col("_r"))
+        own = ordered_counts(long_form(df, [c])).select(F.col("v").alias("_v"), (F.col("before") + (F.col("n") + 1) / 2.0).alias("_r"))
         out = out.join(own, F.col(c).cast("double") == F.col("_v"), "left").withColumn(c, F.col("_r")).drop("_v", "_r")
     return out
 
