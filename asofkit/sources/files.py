@@ -132,3 +132,28 @@ def rating_date(params_date: str, as_of: str):
 
 def pandas_rows(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     return spark.createDataFrame(pd.DataFrame(rows), schema)
+
+
+def extract_seasons(archive: str, seasons: Sequence[str], names: Sequence[str]) -> dict[str, dict[str, bytes]]:
+    """The named files of each season's folder in a tar.gz; a missing folder raises, a missing file is left out."""
+    import tarfile
+
+    out: dict[str, dict[str, bytes]] = {s: {} for s in seasons}
+    folders = set()
+    with tarfile.open(archive, "r:gz") as tar:
+        for m in tar:
+            parts = m.name.split("/")
+            for s in seasons:
+                if s in parts:
+                    folders.add(s)
+                    rest = "/".join(parts[parts.index(s) + 1 :])
+                    if m.isfile() and rest in names:
+                        out[s][rest] = tar.extractfile(m).read()
+    if lost := sorted(set(seasons) - folders):
+        raise FileNotFoundError(f"{archive} has no folder for {lost}")
+    return out
+
+
+def as_text(body: bytes, encoding: str) -> str:
+    """A body in its declared encoding; utf-8-sig drops a byte-order mark, a wrong encoding raises."""
+    return body.decode(encoding)
