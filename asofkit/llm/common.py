@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -51,6 +54,23 @@ def discard(df: DataFrame | None) -> None:
         p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of plans that are done."""
+    for _ in range(2):  # what the first round frees may hold more
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
+
+
+def release() -> None:
+    """Give a Python worker's freed memory back, as workers live on after a stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not every C library has it
+        pass
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` doesn't have yet."""
     have = {c.lower() for c in df.columns}

@@ -8,7 +8,6 @@ distinct within a block already.
 
 from __future__ import annotations
 
-import gc
 import math
 import zlib
 from dataclasses import dataclass
@@ -18,16 +17,16 @@ import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, table
+from .common import discard, drop_shuffles, materialise, release, table
 from .words import first_of_runs, mix, slices, split_words
 
 #: Bytes of text in a block (a longer single text is a block of its own).
-BLOCK_BYTES = 14_000_000
+BLOCK_BYTES = 10_000_000
 #: Tokens whose word pairs are summed in one bucket, about.
-BUCKET_TOKENS = 1_500_000
+BUCKET_TOKENS = 1_000_000
 #: Histories that are split over buckets are at most so many, so their totals can be sent to all.
 SPLIT_HISTORIES = 100_000
 #: Counts up to this are discounted.
@@ -41,7 +40,7 @@ END = "\n"
 def shrink(*arrays: np.ndarray) -> bytes:
     """Arrays of whole numbers or doubles as one compressed string; bytes of one weight stay together."""
     head = ";".join(f"{a.dtype.str}{len(a)}" for a in arrays).encode()
-    body = b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() for a in arrays)
+    body = b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes() for a in arrays)
     return zstandard.ZstdCompressor(level=1).compress(len(head).to_bytes(4, "little") + head + body)
 
 
@@ -135,6 +134,7 @@ def blocks(docs: DataFrame, held: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([name]), pa.nulls(1, pa.int32()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([data])], names=names
                 )
+                release()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         work, "block long, code int, word string, n long, ids array<long>, data binary"
@@ -248,12 +248,6 @@ def backoff(stats: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return bottom, (1 - kept / bottom) / (1 - stats[:, -1])
 
 
-def drop_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of plans that are done."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def score(docs: DataFrame, held: int = 2) -> DataFrame:
     """Score every whole text with a model of the documents outside fold ``held``.
 
@@ -272,17 +266,20 @@ def score(docs: DataFrame, held: int = 2) -> DataFrame:
     """
     spark = docs.sparkSession
     made = materialise(blocks(docs, held), "lm-blocks")
-    words = made.where("word is not null").select("block", "code", "word", "n").repartition("word")
-    numbers = words.groupBy("word").agg(F.sum("n").alias("c")).withColumn("number", F.monotonically_increasing_id())
-    vocabulary = materialise(numbers, "lm-words")
+    words = made.where("word is not null").select("block", "code", "word", "n", F.monotonically_increasing_id().alias("row"))
+    # A word's number is that of its first row; one shuffle gives all blocks both number and count.
+    same = Window.partitionBy("word")
+    known = words.select("block", "code", F.min("row").over(same).alias("number"), F.sum("n").over(same).alias("c"), "row", (F.col("word") == END).alias("end"))
+    known = materialise(known.select("block", "code", "number", "c", (F.col("row") == F.col("number")).alias("first"), "end"), "lm-words")
+    drop_shuffles(spark)
+    types = known.where("first")
     of = [F.count_if(F.col("c") == r) for r in range(1, DISCOUNTED + 2)]
-    got = vocabulary.agg(F.sum("c"), F.count_if(F.col("c") > 0), F.sum(F.when(F.col("word") == END, F.col("c"))), *of).first()
+    got = types.agg(F.sum("c"), F.count_if(F.col("c") > 0), F.sum(F.when(F.col("end"), F.col("c"))), *of).first()
     tokens, n_train = got[0] or 0, got[2] or 0
     unigrams = Unigrams.of(tokens, [0, *got[3:]], got[1])
     buckets = max(1, math.ceil(tokens / BUCKET_TOKENS))
     split_above = max(BUCKET_TOKENS // 2, tokens // SPLIT_HISTORIES)
-
-    known = made.where("word is not null").select("block", "code", "word").join(vocabulary, "word").select(F.col("block").alias("of_block"), "code", "number", "c")
+    own_words = known.select(F.col("block").alias("of_block"), "code", "number", "c")
     tokens_of = made.where("ids is not null").select("block", "ids", "data")
 
     def prepare(data: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
@@ -290,9 +287,10 @@ def score(docs: DataFrame, held: int = 2) -> DataFrame:
         return data.assign(vocabulary=[shrink(words["number"].to_numpy(np.int64), words["c"].to_numpy(np.int64))])
 
     ready = materialise(
-        tokens_of.groupBy("block").cogroup(known.groupBy("of_block")).applyInPandas(prepare, "block long, ids array<long>, data binary, vocabulary binary"), "lm-ready"
+        tokens_of.groupBy("block").cogroup(own_words.groupBy("of_block")).applyInPandas(prepare, "block long, ids array<long>, data binary, vocabulary binary"), "lm-ready"
     )
     discard(made)
+    discard(known)
     drop_shuffles(spark)
 
     def ask(frames):
@@ -300,6 +298,7 @@ def score(docs: DataFrame, held: int = 2) -> DataFrame:
             for r in pdf.itertuples():
                 for bucket, pairs in request(Block.of(r.data, r.vocabulary, n_train, buckets, split_above)):
                     yield pd.DataFrame({"bucket": [bucket], "block": [r.block], "pairs": [pairs]})
+                release()
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("block")
@@ -310,6 +309,7 @@ def score(docs: DataFrame, held: int = 2) -> DataFrame:
             rows.append((block, int(pdf["bucket"].iat[0]), shrink(count, *stats[own].T), None, None, None))
         rows.append((None, None, None, None, None, n.tolist()))
         rows.extend((None, None, None, int(hs[i]), stats[i].tolist(), None) for i in np.flatnonzero(split))
+        release()
         return pd.DataFrame(rows, columns=["block", "bucket", "reply", "history", "stats", "n"])
 
     schema = "block long, bucket int, reply binary, history long, stats array<double>, n array<long>"
@@ -351,6 +351,7 @@ def score(docs: DataFrame, held: int = 2) -> DataFrame:
         first = np.cumsum(b.lengths) - b.lengths
         add = lambda x: np.add.reduceat(x, first)
         ids = r.ids
+        release()
         return pd.DataFrame(
             {
                 "doc_id": pd.array([None if x is None or x != x else int(x) for x in ids], "Int64"),
