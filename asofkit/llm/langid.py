@@ -6,11 +6,13 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import table
+from .common import release, table
 
 UNKNOWN = "und"
 _LETTER = re.compile("[A-Za-z]")
@@ -172,21 +174,23 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     Only the text counts. Null texts and texts without a letter are 'und' with score 0 and
     rejected, as is everything without a model. Ties go to the first language in order.
     """
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    given = docs.select(F.struct(*cols).alias("doc"), F.col("text").cast("string").alias("text"))
-
-    def predict(batches):
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            if model is None:
-                out = [UNKNOWN] * len(texts), [0.0] * len(texts), [True] * len(texts)
-            else:
-                out = model.predict(texts)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(out[0], pa.string()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.bool_())], names=["doc", "lang_pred", "score", "rejected"]
-            )
-
-    return given.mapInArrow(predict, f"doc {given.schema['doc'].dataType.simpleString()}, lang_pred string, score double, rejected boolean")
+    kind = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
+
+    # Only the texts go to Python; the rows' other columns stay where they are.
+    def predict(texts: pd.Series) -> pd.DataFrame:
+        out = [], [], []
+        for at in range(0, len(texts), 1000):
+            part = texts.iloc[at : at + 1000].tolist()
+            got = model.predict(part) if model else ([UNKNOWN] * len(part), [0.0] * len(part), [True] * len(part))
+            for column, values in zip(out, got):
+                column.extend(values)
+        release()
+        return pd.DataFrame(dict(zip(("lang_pred", "score", "rejected"), out)))
+
+    # Declared nondeterministic so that a later filter doesn't make it run twice.
+    judged = F.pandas_udf(predict, kind).asNondeterministic()
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), judged(F.col("text").cast("string")).alias("found"))
+    return given.select("doc", "found.*")
 
 
 def fold_of(doc_id, folds: int):
