@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import numbered, table
-from .tokens import default_path, encode
+from .common import numbered, release, table
+from .tokens import default_path, encode, forget
 
 
 def exact_complement(count: np.ndarray, gap: int, pieces: int) -> tuple[int, ...] | None:
@@ -156,6 +156,8 @@ def pieces(docs: DataFrame, capacity: int, path: str, end_id: int = 0) -> DataFr
                     [pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
+        forget()
+        release()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         cut, "doc_id long, piece int, start long, length long, ids_crc32 long"
