@@ -5,22 +5,26 @@ from __future__ import annotations
 import hashlib
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import discard, drop_shuffles, materialise, release, table
 from .components import components
 from .words import Shingles, first_of_runs, mix, shingle, slices, split_words
 
 #: Classes, and bytes of text, that a checking task holds on each of its two sides at most.
-BLOCK_CLASSES, BLOCK_BYTES = 800, 8_000_000
+BLOCK_CLASSES, BLOCK_BYTES = 1500, 8_000_000
 #: Bits of the filter that keeps texts without candidates from being shuffled.
 FILTER_BITS = 1 << 25
+#: Bytes of signatures shuffled at a time, against the bytes of the texts.
+SIGNATURE_SHARE = 0.8
 
 
 @dataclass
@@ -136,12 +140,13 @@ def profile(docs: DataFrame, width: int) -> DataFrame:
                     [b.column(0), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array([class_number(k) for k in keys], pa.int64()), size],
                     names=["doc_id", "n_shingles", "key", "cid", "bytes"],
                 )
+        release()
 
     return docs.mapInArrow(work, "doc_id long, n_shingles long, key binary, cid long, bytes long")
 
 
-def indexed(docs: DataFrame, width: int, schemes: list[Scheme]) -> DataFrame:
-    """sig, cid: the signatures of each class, once for every partition that has it."""
+def indexed(docs: DataFrame, width: int, schemes: list[Scheme], turn: int = 0, turns: int = 1) -> DataFrame:
+    """sig, cid: the signatures of each class that have their turn, once for every partition that has it."""
 
     def work(batches):
         seen: set[bytes] = set()
@@ -154,8 +159,12 @@ def indexed(docs: DataFrame, width: int, schemes: list[Scheme]) -> DataFrame:
                         seen.add(k)
                         keep[i] = True
                 doc, sig = signatures(sets, schemes, keep)
+                if turns > 1:
+                    now = sig.view(np.uint64) % np.uint64(turns) == turn
+                    doc, sig = doc[now], sig[now]
                 cid = np.array([class_number(k) for k in keys], np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(cid[doc])], names=["sig", "cid"])
+        release()
 
     return docs.mapInArrow(work, "sig long, cid long")
 
@@ -183,10 +192,11 @@ def contains(bits: np.ndarray, cid: np.ndarray) -> np.ndarray:
 
 
 def texts_of(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
-    """key and text of each class whose number the bitmap may hold, once for every partition that has it."""
+    """key and compressed text of each class whose number the bitmap may hold, once for every partition that has it."""
 
     def work(batches):
         seen: set[bytes] = set()
+        packer = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for b in slices(batch, 1):
                 keys = keys_of(b.column(1))
@@ -197,63 +207,75 @@ def texts_of(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
                     if m:
                         seen.add(k)
                 mask = pa.array(keep, pa.bool_())
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()).filter(mask), b.column(1).filter(mask)], names=["key", "text"])
+                packed = [packer.compress((t or "").encode()) for t in b.column(1).filter(mask).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()).filter(mask), pa.array(packed, pa.binary())], names=["key", "text"])
+        release()
 
-    return docs.mapInArrow(work, "key binary, text string")
+    return docs.mapInArrow(work, "key binary, text binary")
 
 
-def overlaps(sets: Shingles) -> np.ndarray:
-    """How many shingles each two texts share, exactly."""
-    n = sets.n_texts
+def overlaps(sets: Shingles, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """How many shingles each of some texts (rows) shares with each of some (columns), exactly."""
     order = np.argsort(sets.id, kind="stable")
     ids, doc = sets.id[order], sets.doc[order]
     first = np.flatnonzero(first_of_runs(ids))
     df = np.diff(np.r_[first, len(ids)])
     each = np.repeat(df, df)
-    out = np.zeros((n, n), np.float32)
+    row, column = np.full(sets.n_texts, -1), np.full(sets.n_texts, -1)
+    row[rows], column[columns] = np.arange(len(rows)), np.arange(len(columns))
+    out = np.zeros((len(rows), len(columns)), np.float32)
     few = each <= 16
     i, d = ids[few], doc[few]
     for step in range(1, 16):
         same = np.flatnonzero(i[step:] == i[:-step]) if len(i) > step else np.empty(0, np.int64)
         if not len(same):
             break
-        out += np.bincount(d[same] * n + d[same + step], minlength=n * n).reshape(n, n).astype(np.float32)
-    out += out.T
+        for x, y in ((d[same], d[same + step]), (d[same + step], d[same])):
+            ok = (row[x] >= 0) & (column[y] >= 0)
+            out += np.bincount(row[x[ok]] * len(columns) + column[y[ok]], minlength=out.size).reshape(out.shape).astype(np.float32)
     many = ~few
     i, d = ids[many], doc[many]
-    column = np.cumsum(first_of_runs(i)) - 1 if len(i) else i
-    width = 2048
-    for c in range(0, int(column.max(initial=-1)) + 1, width):
-        part = (column >= c) & (column < c + width)
-        x = np.zeros((n, width), np.float32)
-        x[d[part], column[part] - c] = 1
-        out += x @ x.T
+    place = np.cumsum(first_of_runs(i)) - 1 if len(i) else i
+    width = 1024
+    for c in range(0, int(place.max(initial=-1)) + 1, width):
+        part = (place >= c) & (place < c + width)
+        x = np.zeros((sets.n_texts, width), np.float32)
+        x[d[part], place[part] - c] = 1
+        out += x[rows] @ x[columns].T
     return out
 
 
 def check(pdf: pd.DataFrame, width: int, percent: int) -> pd.DataFrame:
     """key, root and links of the classes of one task that are linked in it."""
     pdf = pdf.drop_duplicates(["key", "side"]).reset_index(drop=True)
-    sets = shingle(pa.array(pdf["text"], pa.string()), width, hashes=False)
-    n = sets.counts.astype(np.float32)
-    both = overlaps(sets)
-    linked = 100 * both >= percent * (n[:, None] + n[None, :] - both)
-    linked &= (n > 0)[:, None] & (n > 0)[None, :]
+    unpack = zstandard.ZstdDecompressor()
+    sets = shingle(pa.array([unpack.decompress(t).decode() for t in pdf["text"]], pa.string()), width, hashes=False)
     side = pdf["side"].to_numpy()
-    linked &= (side[:, None] != side[None, :]) | (side == 2)[:, None]
-    np.fill_diagonal(linked, False)
+    rows, columns = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    n = sets.counts.astype(np.float32)
+    both = overlaps(sets, rows, columns)
+    linked = 100 * both >= percent * (n[rows][:, None] + n[columns][None, :] - both)
+    linked &= (n[rows] > 0)[:, None] & (n[columns] > 0)[None, :]
+    linked &= rows[:, None] != columns[None, :]
     weight = pdf["members"].to_numpy().astype(np.float64)
-    links = (linked @ weight).astype(np.int64)
+    links = np.zeros(len(pdf))
+    links[rows] = linked @ weight[columns]
+    links[columns] = linked.T @ weight[rows]
+    a, b = np.nonzero(linked)
+    a, b = rows[a], columns[b]
     root = np.arange(len(pdf))
     while True:
-        least = np.minimum(root, np.where(linked, root[None, :], len(pdf)).min(axis=1)) if len(pdf) else root
+        least = root.copy()
+        np.minimum.at(least, a, root[b])
+        np.minimum.at(least, b, root[a])
         least = least[least]
         if (least == root).all():
             break
         root = least
     some = links > 0
+    release()
     keys = pdf["key"].to_numpy()
-    return pd.DataFrame({"key": keys[some], "root": keys[root[some]], "links": links[some]})
+    return pd.DataFrame({"key": keys[some], "root": keys[root[some]], "links": links[some].astype(np.int64)})
 
 
 def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -274,6 +296,7 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     such rows alone has null. Repeated rows link to each other; extra columns are ignored; an
     empty table gives an empty result.
     """
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = materialise(profile(docs, width), "join-profile")
     full = rows.where(F.col("n_shingles") > 0)
@@ -288,11 +311,23 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     # One row a band; their number grows with the logarithm of the longest text.
     found = {r["band"]: r["count"] for r in classes.groupBy(band(F.col("n")).alias("band")).count().collect()}
     allocate(schemes, [found.get(b, 0) for b in range(len(schemes))])
-    sigs = indexed(docs, width, schemes)
+    # Signatures of many turns are shuffled turn by turn, so that at no time they take more room
+    # than SIGNATURE_SHARE of the texts; each turn leaves its edges only.
+    pairs = zip(schemes, schemes[1:])
+    expected = 16 * sum(found.get(b, 0) * sum(s.segments + s.wide * s.high / s.segments for s in two) for b, two in enumerate(pairs))
+    text_bytes = classes.agg(F.sum("bytes")).first()[0] or 1
+    turns = max(1, math.ceil(expected / (SIGNATURE_SHARE * text_bytes)))
     # Edges to the smallest class of each signature, by a running minimum that holds no group.
     running = Window.partitionBy("sig").orderBy("cid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edges = sigs.withColumn("a", F.min("cid").over(running)).where("a <> cid").select("a", F.col("cid").alias("b")).distinct()
-    groups = components(edges)
+    edges = []
+    for turn in range(turns):
+        sigs = indexed(docs, width, schemes, turn, turns)
+        edges.append(materialise(sigs.withColumn("a", F.min("cid").over(running)).where("a <> cid").select("a", F.col("cid").alias("b")).distinct(), "join-edges"))
+        del sigs
+        drop_shuffles(spark)
+    groups = components(reduce(DataFrame.unionByName, edges))
+    for e in edges:
+        discard(e)
     placed = materialise(classes.join(groups.withColumnRenamed("node", "cid"), "cid").select("key", "cid", "n", "bytes", "members", "root", band(F.col("n")).alias("band")), "join-groups")
     sizes = placed.groupBy("root", "band").agg(F.count("*").alias("c"), F.sum("bytes").alias("b"))
     whole = Window.partitionBy("root")
@@ -303,9 +338,9 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     by_band = Window.partitionBy("root").orderBy("band")
     near = lambda f, d: F.coalesce(F.when(f("band", 1).over(by_band) == F.col("band") + d, f("blocks", 1).over(by_band)), F.lit(0))
     sizes = sizes.select("*", near(F.lead, 1).alias("above"), near(F.lag, -1).alias("below"))
-    small = (F.col("all") <= BLOCK_CLASSES // 2) & (F.col("all_bytes") <= BLOCK_BYTES // 2)
+    small = (F.col("all") <= BLOCK_CLASSES // 4) & (F.col("all_bytes") <= BLOCK_BYTES // 4)
     sums = sizes.where(small).select("root", "all", "all_bytes").distinct().agg(F.sum("all"), F.sum("all_bytes")).first()
-    buckets = max(1, math.ceil((sums[0] or 0) / (BLOCK_CLASSES // 2)), math.ceil((sums[1] or 0) / (BLOCK_BYTES // 2)))
+    buckets = max(1, math.ceil((sums[0] or 0) / (BLOCK_CLASSES // 4)), math.ceil((sums[1] or 0) / (BLOCK_BYTES // 4)))
     tasked = placed.join(sizes, ["root", "band"])
     block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
 
