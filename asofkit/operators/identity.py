@@ -24,9 +24,39 @@ def odd_variants(crosswalk: DataFrame, folded: str) -> DataFrame:
     return crosswalk.where(F.exists(folded, lambda v: ~F.arrays_overlap(tokens(v), last)))
 
 
+def _spread(df: DataFrame, key: str, i: str) -> DataFrame:
+    """The least and greatest id of each key, which tell whether it has one id, however many rows share it."""
+    return df.groupBy(key).agg(F.min(i).alias("_lo"), F.max(i).alias("_hi"))
+
+
 def _unique(pairs: DataFrame, left: str, right: str, passed: int) -> DataFrame:
-    """Left ids with exactly one distinct candidate."""
-    return pairs.groupBy(left).agg(F.count_distinct(right).alias("_n"), F.min(right).alias(right)).where("_n = 1").select(left, right, F.lit(passed).alias("match_pass"))
+    """Left ids with exactly one distinct candidate, from candidates' least and greatest ids."""
+    ends = pairs.groupBy(left).agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+    return ends.where("_lo = _hi").select(left, F.col("_lo").alias(right), F.lit(passed).alias("match_pass"))
+
+
+def _contained(left: DataFrame, right: DataFrame, left_id: str, right_id: str) -> DataFrame:
+    """left_id, _lo and _hi for the names one of which has the other's tokens in order.
+
+    Different token lists are compared once, whatever number of rows has them. The contained list's
+    rarest token is in the other one too, so a list is looked up by that token alone.
+    """
+    lists = right.groupBy("_t").agg(F.min(right_id).alias("_lo"), F.max(right_id).alias("_hi")).withColumnRenamed("_t", "_b")
+    asked = left.select(F.col("_t").alias("_a")).distinct()
+
+    def met(short: DataFrame, s: str, long: DataFrame, t: str) -> DataFrame:
+        each = lambda d, c: d.select("*", F.explode(F.array_distinct(c)).alias("_k"))
+        within = each(long, t)
+        often = within.groupBy("_k").agg(F.count("*").alias("_f"))
+        kept = [F.col(c) for c in short.columns if c != s]
+        rare = F.min_by("_k", F.struct("_f", "_k")).alias("_k")
+        # A list with a token that no other has can't be contained.
+        some = each(short, s).join(often, "_k").groupBy(s, *kept).agg(rare, F.count("*").alias("_n")).where(F.col("_n") == F.size(F.array_distinct(s))).drop("_n")
+        return some.join(within, "_k").select("_a", "_b", "_lo", "_hi")
+
+    pairs = met(asked, "_a", lists, "_b").unionByName(met(lists, "_b", asked, "_a")).where(either_subsequence(F.col("_a"), F.col("_b")))
+    ends = pairs.groupBy("_a").agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+    return left.join(ends, F.col("_t") == F.col("_a")).select(left_id, "_lo", "_hi")
 
 
 def match_names(left: DataFrame, right: DataFrame, left_id: str, right_id: str, name: str, passes: Sequence[int] = (1, 2, 3, 4)) -> DataFrame:
@@ -34,7 +64,8 @@ def match_names(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
 
     Pass 1 compares whole folded names, 2 the last token and the first letter, 3 the sorted
     tokens, each an equality join on a derived key; 4 looks for one name's tokens in order within
-    the other, among pairs that share a first or last token, so it needs no product of all pairs.
+    the other, among pairs that share the contained name's rarest token, so it needs no product of
+    all pairs. Candidates are aggregated by key or token list before they meet the left names.
     A later pass sees only what earlier ones left unmatched on the left; several candidates of
     one pass are no match and go on.
     """
@@ -52,12 +83,9 @@ def match_names(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     found = None
     for p in passes:
         if p < 4:
-            pairs = todo.select(left_id, keys[p].alias("_k")).join(others.select(right_id, keys[p].alias("_k")), "_k")
+            pairs = todo.select(left_id, keys[p].alias("_k")).join(_spread(others.select(right_id, keys[p].alias("_k")), "_k", right_id), "_k")
         else:
-            ends = lambda df, i, t: df.select(i, F.col("_t").alias(t), F.explode(F.array_distinct(F.array(F.element_at("_t", 1), F.element_at("_t", -1)))).alias("_k"))
-            within = lambda df, i, t: df.select(i, F.col("_t").alias(t), F.explode(F.array_distinct("_t")).alias("_k"))
-            near = ends(todo, left_id, "_a").join(within(others, right_id, "_b"), "_k").unionByName(within(todo, left_id, "_a").join(ends(others, right_id, "_b"), "_k"))
-            pairs = near.where(either_subsequence(F.col("_a"), F.col("_b")))
+            pairs = _contained(todo, others, left_id, right_id)
         got = _unique(pairs, left_id, right_id, p)
         found = got if found is None else found.unionByName(got)
         todo = todo.join(got.select(left_id), left_id, "left_anti")
@@ -67,7 +95,7 @@ def match_names(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
 def token_overlap(left: DataFrame, right: DataFrame, left_id: str, right_id: str, name: str) -> DataFrame:
     """left_id and right_id where exactly one right name shares a token."""
     words = lambda df, i: df.select(i, F.explode(F.array_distinct(tokens(F.col(name)))).alias("_w"))
-    pairs = words(left, left_id).join(words(right, right_id), "_w").select(left_id, right_id)
+    pairs = words(left, left_id).join(_spread(words(right, right_id), "_w", right_id), "_w")
     return _unique(pairs, left_id, right_id, 0).drop("match_pass")
 
 
