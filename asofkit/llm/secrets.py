@@ -29,7 +29,8 @@ ENCODINGS = (
     ("base64", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/]+$", _UPPER + _LOWER + _DIGITS + "+/"),
     ("base64url", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9_-]+$", _UPPER + _LOWER + _DIGITS + "-_"),
 )
-BINS = 20
+#: Bins of p; the first edge is the least cut. A cut is raised on this many standard errors.
+BINS, SURE = 100, 3.0
 
 
 def with_value(value: Column, use) -> Column:
@@ -130,37 +131,47 @@ def band(length: Column) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """Structs (start, end, length, p) of the tokens that have an encoding."""
-    tested = F.transform(
-        located(text, CANDIDATE), lambda m: with_value(battery(m["match"]), lambda b: F.struct(m["start"].alias("start"), m["end"].alias("end"), b["length"].alias("length"), b["p"].alias("p")))
-    )
-    return F.filter(tested, lambda c: c["p"].isNotNull())
+    """Structs (start, end, length, p, match) of the tokens that have an encoding."""
+
+    def tested(m: Column) -> Column:
+        return with_value(battery(m["match"]), lambda b: F.struct(m["start"].alias("start"), m["end"].alias("end"), b["length"].alias("length"), b["p"].alias("p"), m["match"].alias("match")))
+
+    return F.filter(F.transform(located(text, CANDIDATE), tested), lambda c: c["p"].isNotNull())
+
+
+def cut_of(n: list[int], rate: float) -> float:
+    """The least p of a random token, from the histogram n of different tokens' p in BINS bins.
+
+    Random tokens have uniform p, so the upper half tells how many of them each bin holds; what
+    lies beyond that below 0.5 are other tokens. The cut is the lowest bin edge above which these
+    are at most ``rate`` of all, or not shown by ``SURE`` standard errors to be more. It is at least
+    the first edge, which loses one random token in BINS. A cut raised to x loses a share x.
+    """
+    half = BINS // 2
+    top = sum(n[half:])
+    for k in range(1, half):
+        low, x = sum(n[k:half]), k / BINS
+        excess = low - (1 - 2 * x) * top
+        if excess - SURE * (low + (1 - 2 * x) ** 2 * (top + 1)) ** 0.5 <= rate * (low + top):
+            return x
+    return half / BINS
 
 
 def thresholds(docs: DataFrame, rate: float = 0.05) -> dict[int, float]:
     """For each band of lengths the least p that a random token must have, from all documents.
 
-    Random tokens have uniform p, so the upper half of a band's histogram tells how many of them
-    each bin holds; what a bin has beyond that are other tokens. The cut is the lowest bin edge
-    above which these are at most ``rate`` of all (the estimated false-discovery rate). Bands
+    Every different token counts once, so copies of a token or a document move no cut. Bands
     differ in the power of the tests, so each is controlled alone. The histogram has at most
     32 * BINS rows.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     c = docs.select(F.explode(candidates(text)).alias("c"))
-    hist = c.groupBy(band(F.col("c.length")).alias("band"), F.least(F.floor(F.col("c.p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin")).count().collect()
-    out = {}
-    for b in sorted({r["band"] for r in hist}):
-        n = [0] * BINS
-        for r in hist:
-            if r["band"] == b:
-                n[r["bin"]] = r["count"]
-        level = sum(n[BINS // 2 :]) / (BINS - BINS // 2)
-        out[b] = 2.0
-        for k in range(BINS - 1, 0, -1):
-            if sum(n[k:]) and (sum(n[k:]) - level * (BINS - k)) / sum(n[k:]) <= rate:
-                out[b] = k / BINS
-    return out
+    bins = F.least(F.floor(F.col("c.p") * BINS), F.lit(BINS - 1)).cast("int")
+    different = c.groupBy("c.match").agg(F.first(band(F.col("c.length"))).alias("band"), F.first(bins).alias("bin"))
+    out: dict[int, list[int]] = {}
+    for r in different.groupBy("band", "bin").count().collect():
+        out.setdefault(r["band"], [0] * BINS)[r["bin"]] = r["count"]
+    return {b: cut_of(n, rate) for b, n in sorted(out.items())}
 
 
 def spans(text: Column, cuts: dict[int, float]) -> Column:

@@ -68,6 +68,22 @@ def test_random_tokens_are_found_and_redacted(spark):
     assert (out.n_chars == out.text.str.len()).all()
 
 
+def test_cuts_lose_few_random_tokens(spark):
+    rng = random.Random(6)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    made = ["".join(rng.choice(letters) for _ in range(40)) for _ in range(1001)]
+    p = spark.createDataFrame([(t,) for t in made], "text string").select("text", secrets.battery(F.col("text"))["p"].alias("p")).where("p is not null").collect()
+    hot = next(r["text"] for r in p if 0.3 < r["p"] < 0.36)
+    cuts = lambda texts: secrets.thresholds(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert cuts([*made, *[hot] * 9000]) == cuts(made)  # copies move no cut
+    assert cuts(made)[5] <= 0.02
+    for few in ([hot], made[:3], made[:10]):  # one token alone is found whatever its p above the floor
+        assert cuts(few)[5] == 0.01
+    repeated = [0] * secrets.BINS
+    repeated[20] = 1000
+    assert secrets.cut_of([x + 5 for x in repeated], 0.05) == 0.21 and secrets.cut_of(repeated, 0.05) > 0.2
+
+
 def test_secrets_odd_rows(odd, empty):
     assert secrets.scan(odd).count() == 13 and secrets.scan(empty).count() == 0
     out = secrets.redact(odd)
