@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,18 +40,24 @@ def rule_for(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float, tolerance: float, max_steps: int) -> DataFrame:
-    """Personalised PageRank of every kind of seed: (kind, host, score), each kind summing to 1.
+def steps_for(damping: float, tolerance: float) -> int:
+    """After so many steps every walk has less than ``tolerance`` of its mass on its way."""
+    return math.ceil(math.log(tolerance) / math.log(damping)) + 1
 
-    seeds: kind, host, mass (summing to 1 for each kind). edges: kind, src, dst, share (of what
-    leaves src). Mass goes out step by step until less than ``tolerance`` is on its way; what
-    hosts without links would keep returns to the seeds, which the final scaling amounts to.
-    Every step is a written table, so a lost executor repeats one step at most.
+
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float, tolerance: float, max_steps: int | None = None) -> DataFrame:
+    """Personalised PageRank of every kind of seed: (kind, host, m, score), each kind's score summing to 1.
+
+    seeds: kind, host, mass. edges: kind, src, dst, share (of what leaves src). Mass goes out step
+    by step for as many steps as leave less than ``tolerance`` of it on its way (or ``max_steps``);
+    m is what passed a host, and score is scaled, as what hosts without links would keep returns to
+    the seeds. Every step is a written table, so a lost executor repeats one step at most.
     """
     steps = [materialise(seeds.select("kind", "host", F.col("mass").alias("m")), "walk")]
-    for _ in range(max_steps):
-        left = steps[-1].groupBy("kind").agg(F.sum("m").alias("m")).agg(F.max("m")).first()[0] or 0.0
-        if left < tolerance:
+    enough = steps_for(damping, tolerance)
+    for _ in range(enough if max_steps is None else min(enough, max_steps)):
+        # A host's mass, not their sum: of exposures every host may have much.
+        if (steps[-1].agg(F.max("m")).first()[0] or 0.0) == 0.0:
             break
         at = steps[-1].withColumnRenamed("host", "src")
         steps.append(materialise(at.join(edges, ["kind", "src"]).groupBy("kind", F.col("dst").alias("host")).agg(F.sum(F.col("m") * F.col("share") * damping).alias("m")), "walk"))
@@ -59,19 +66,22 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float, tolerance: flo
         discard(s)
     whole = {r["kind"]: r["m"] for r in total.groupBy("kind").agg(F.sum("m").alias("m")).collect()}  # one row a kind
     scale = reduce(lambda c, k: F.when(F.col("kind") == k, F.lit(1.0 / whole[k])).otherwise(c), whole, F.lit(1.0))
-    return total.select("kind", "host", (F.col("m") * scale).alias("score"))
+    return total.select("kind", "host", "m", (F.col("m") * scale).alias("score"))
 
 
 def judge(
-    pages: DataFrame, rules=RULES, damping: float = 0.85, tolerance: float = 1e-4, max_steps: int = 40, seed_share: float = 0.5, least: float = 0.05
+    pages: DataFrame, rules=RULES, damping: float = 0.85, tolerance: float = 1e-4, max_steps: int | None = None, seed_share: float = 0.5, least: float = 0.05
 ) -> DataFrame:
     """Judge every page by its url's longest fitting rule, or else by its host.
 
     A host is a trusted (blocked) seed if a rule allows (blocks) more than ``seed_share`` of its
     pages. Trust follows the absolute links between hosts, distrust follows them backwards: who
-    links to blocked hosts is distrusted. A host is blocked if its distrust exceeds its trust and
-    is at least ``least`` of an average blocked seed's; other hosts, unlinked ones too, are
-    allowed. Relative links and links within a host are no edges.
+    links to blocked hosts is distrusted. Both are divided among the linked hosts, so they rank but
+    don't decide. A host is blocked if its exposure is at least ``least`` and exceeds its backing;
+    other hosts, unlinked ones too, are allowed. Exposure is the chance that a walk along the
+    host's own links, which stops with 1 - ``damping`` at each, meets a blocked seed; backing is the
+    trusted seeds' share of what walks from all hosts bring to it. Neither depends on how many
+    other hosts do the same. Relative links and links within a host are no edges.
 
     Null urls or such without '://' have an empty host and path, fit no rule and are allowed. Null
     html has no links. Repeated pages count each; extra columns are ignored; an empty table gives
@@ -93,6 +103,7 @@ def judge(
     hosts = known.groupBy("host").agg(share("allow").alias("a"), share("block").alias("b"))
     marked = hosts.select("host", F.when(F.col("a") > seed_share, "trust").when(F.col("b") > seed_share, "distrust").alias("kind")).where("kind is not null")
     seeds = materialise(marked, "seeds")
+    blocked = seeds.where("kind = 'distrust'").select("host")
     n = {r["kind"]: r["count"] for r in seeds.groupBy("kind").count().collect()}
     mass = reduce(lambda c, k: F.when(F.col("kind") == k, F.lit(1.0 / n[k])).otherwise(c), n, F.lit(0.0))
     links = (
@@ -106,11 +117,20 @@ def judge(
         links.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
     )
     out = both.groupBy("kind", "src").agg(F.sum("w").alias("all"))
-    edges = materialise(both.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("w") / F.col("all")).alias("share")), "edges")
-    ranks = propagate(seeds.withColumn("mass", mass), edges, damping, tolerance, max_steps)
-    score = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("score"))), F.lit(0.0)).alias(k)
-    scores = ranks.groupBy("host").agg(score("trust"), score("distrust"))
-    bad = (F.col("distrust") > F.col("trust")) & (F.col("distrust") >= least / max(1, n.get("distrust", 0)))
+    shares = materialise(both.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("w") / F.col("all")).alias("share")), "edges")
+    onward = shares.where("kind = 'trust'")
+    # Exposure comes back over the host's own links; a blocked seed ends the walk.
+    back = onward.select(F.lit("exposure").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "share")
+    back = back.join(blocked.withColumnRenamed("host", "dst"), "dst", "left_anti").select("kind", "src", "dst", "share")
+    edges = materialise(shares.unionByName(onward.withColumn("kind", F.lit("all"))).unionByName(back), "edges")
+    linked = links.select(F.col("src").alias("host")).union(links.select("dst")).distinct()
+    one = F.lit(1.0).alias("mass")
+    starts = seeds.withColumn("mass", mass).unionByName(blocked.select(F.lit("exposure").alias("kind"), "host", one)).unionByName(linked.select(F.lit("all").alias("kind"), "host", one))
+    ranks = propagate(starts, edges, damping, tolerance, max_steps)
+    of = lambda k, c, name: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col(c))), F.lit(0.0)).alias(name)
+    scores = ranks.groupBy("host").agg(of("trust", "score", "trust"), of("distrust", "score", "distrust"), of("exposure", "m", "exposure"), of("trust", "m", "good"), of("all", "m", "all"))
+    backing = F.when(F.col("all") > 0, F.col("good") * float(n.get("trust", 0)) / F.col("all")).otherwise(0.0)
+    bad = (F.col("exposure") >= least) & (F.col("exposure") > backing)
     verdict = F.coalesce(F.col("r.verdict"), F.when(bad, "block").otherwise("allow"))
     return base.join(scores, "host", "left").select(
         "page_id", "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"),

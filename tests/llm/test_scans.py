@@ -210,3 +210,19 @@ def test_propagation_equals_power_iteration(spark):
     for h, r in out.items():
         assert r["trust"] == pytest.approx(trust[h], abs=1e-6) and r["distrust"] == pytest.approx(distrust[h], abs=1e-6)
     assert {h: r["verdict"] for h, r in out.items()} == {"bad.net": "block", "spam.io": "block", "farm.io": "block", "good.org": "allow", "news.io": "allow", "blog.io": "allow", "lone.io": "allow"}
+
+
+@pytest.mark.parametrize("farm", [5, 300])
+def test_a_link_farm_is_blocked_whatever_its_size(spark, farm):
+    link = lambda *hosts: " ".join(f'<a href="https://{h}/p">t</a>' for h in hosts)
+    pages = [("bad.net", "/x", ""), ("good.org", "/fr/1", link("news.io")), ("news.io", "/1", link("farm0.io", *[f"n{i}.io" for i in range(40)], "bad.net")), ("n0.io", "/1", link("n1.io"))]
+    pages += [(f"other{i}.net", "/x", "") for i in range(30)] + [(f"farm{i}.io", "/1", link("bad.net")) for i in range(farm)]
+    pages += [("far.io", "/1", link("farm1.io", "n1.io"))]
+    df = spark.createDataFrame([(i, f"https://{h}{p}", html) for i, (h, p, html) in enumerate(pages)], "page_id long, url string, html string")
+    out = {r["host"]: r["verdict"] for r in urlgraph.judge(df, tolerance=0.02).collect()}
+    assert {out[f"farm{i}.io"] for i in range(farm)} == {"block"} and out["far.io"] == "block"
+    assert [out[h] for h in ("good.org", "news.io", "n0.io")] == ["allow"] * 3
+
+
+def test_steps_follow_from_the_tolerance():
+    assert 0.85 ** urlgraph.steps_for(0.85, 1e-4) < 1e-4 < 0.85 ** (urlgraph.steps_for(0.85, 1e-4) - 3)
