@@ -8,11 +8,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import release, table
+from .common import discard, materialise, release, table
 
 UNKNOWN = "und"
 _LETTER = re.compile("[A-Za-z]")
@@ -94,76 +94,91 @@ def cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c.astype(np.float32)
 
 
+def sampled(rows: DataFrame, per_language: int) -> DataFrame:
+    """At most ``per_language`` different texts of each language, those of the least hashes.
+
+    A copy counts once and every language with a text has one. Each task sends its least hashes
+    only, so what meets at one place is bounded by the tasks.
+    """
+    hashed = rows.withColumn("h", F.xxhash64("text"))
+
+    def least(batches):
+        kept: dict[str, np.ndarray] = {}
+        for b in batches:
+            lang, h = np.array(b.column(0).to_pylist(), object), b.column(1).to_numpy()
+            for x in set(lang.tolist()):
+                kept[x] = np.unique(np.r_[kept.get(x, h[:0]), h[lang == x]])[:per_language]
+        for x, h in kept.items():
+            yield pa.RecordBatch.from_arrays([pa.array([x] * len(h), pa.string()), pa.array(h, pa.int64())], names=["lang", "h"])
+
+    first = hashed.select("lang", "h").mapInArrow(least, "lang string, h long").distinct()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    chosen = first.withColumn("_n", place).where(F.col("_n") <= per_language).drop("_n")
+    return hashed.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).select("text", "lang")
+
+
 def fit(train: DataFrame, per_language: int = 400, features: int = 4096, clusters: int = 3, slack: float = 0.4, short: int = 128) -> Model | None:
     """Learn centroids from the columns text and lang of a bounded sample.
 
-    About ``per_language`` documents of each language are taken by a hash of their text; their
-    whole texts count. The ``features`` n-grams in most of them are kept, weighted by inverse
-    document frequency. ``slack`` times the smallest similarity of a fitted document of about
-    that length is the floor at or below which a text belongs to none; for texts of under ``short``
-    n-grams it is 0. No labelled text gives None.
+    ``per_language`` different texts of each language at most are taken by a hash; their whole
+    texts count. ``features`` n-grams are kept, those of the best ranks by documents within any
+    language (more for many languages, so that each has 256 of its own), weighted by inverse document
+    frequency. ``slack`` times the smallest similarity of a fitted text of about that length is
+    the floor at or below which a text belongs to none; for texts of under ``short`` n-grams it is 0. No labelled text gives None.
     """
     rows = train.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row a language
+    sample = materialise(sampled(rows, per_language), "sample")
+    counts = {r["lang"]: r["count"] for r in sample.groupBy("lang").count().collect()}  # one row a language
     if not counts:
+        discard(sample)
         return None
-    rate = F.lit(0.0)
-    for lang, n in counts.items():
-        rate = F.when(F.col("lang") == lang, min(1.0, per_language / n)).otherwise(rate)
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < rate * 1_000_000)
 
     def frequencies(batches):
-        seen = np.zeros(1 << 24, np.int32)
         for b in batches:
-            for text in b.column(0).to_pylist():
-                grams, _ = codes([text])
-                own = np.zeros(len(seen), bool) if len(grams) > 1_000_000 else None
-                if own is None:
-                    g = np.sort(grams)
-                    seen[g[np.r_[True, g[1:] != g[:-1]]]] += 1
-                else:
-                    own[grams] = True
-                    seen += own
-        g = np.flatnonzero(seen)
-        g = g[(g & 0xFFFF) != 0x2020]
-        g = g[(g >> 8) != 0x2020]
-        yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int32)), pa.array(seen[g])], names=["gram", "n"])
-
-    common = (
-        sample.select("text").mapInArrow(frequencies, "gram int, n int").groupBy("gram").agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "gram").limit(features).collect()
-    )
+            for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                g = np.unique(codes([text])[0])
+                g = g[((g & 0xFFFF) != 0x2020) & ((g >> 8) != 0x2020)]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.astype(np.int32))], names=["lang", "gram"])
+
+    each = sample.mapInArrow(frequencies, "lang string, gram int").groupBy("lang", "gram").agg(F.count("*").alias("n"))
+    ranked = each.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")))
+    wanted = min(max(features, 256 * len(counts)), 32_767)
+    common = ranked.groupBy("gram").agg(F.min("rank").alias("rank"), F.sum("n").alias("n")).orderBy("rank", F.desc("n"), "gram").limit(wanted).collect()
     if not common:
+        discard(sample)
         return None
-    n_docs = sum(min(c, per_language) for c in counts.values())
     df = np.array([r["n"] for r in common])
-    blank = Model([], np.array([r["gram"] for r in common]), np.log((1 + n_docs) / (1 + df)) + 1, np.zeros((1, len(df)), np.float32), np.zeros(1))
+    blank = Model([], np.array([r["gram"] for r in common]), np.log((1 + sum(counts.values())) / (1 + df)) + 1, np.zeros((1, len(df)), np.float32), np.zeros(1))
 
     def vectorise(batches):
         for b in batches:
             x = [v for part in blank.vectors(b.column(0).to_pylist(), 64) for v in zip(*part)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(1), pa.array([v.astype(np.float16).tobytes() for v, _ in x], pa.binary()), pa.array([int(n) for _, n in x], pa.int64())], names=["lang", "x", "n"]
-            )
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([v.astype(np.float16).tobytes() for v, _ in x], pa.binary())], names=["lang", "x"])
 
-    # At most about per_language rows of 2 * features bytes for each language.
-    got = sample.mapInArrow(vectorise, "lang string, x binary, n long").collect()
+    # At most per_language rows of 2 * wanted bytes for each language.
+    got = sorted(sample.mapInArrow(vectorise, "lang string, x binary").collect(), key=lambda r: (r["lang"], r["x"]))
     langs = np.array([r["lang"] for r in got])
     x = np.stack([np.frombuffer(r["x"], np.float16) for r in got]).astype(np.float32)
-    order = np.lexsort(([r["x"] for r in got], langs)) if len(got) < 2 else np.array(sorted(range(len(got)), key=lambda i: (langs[i], got[i]["x"])))
-    langs, x, n = langs[order], x[order], np.array([r["n"] for r in got])[order]
     names, parts = [], []
     for lang in sorted(set(langs.tolist())):
         c = cluster(x[langs == lang], clusters)
         names += [lang] * len(c)
         parts.append(c)
     centroids = np.concatenate(parts)
-    near = np.max(np.where(np.array(names)[None, :] == langs[:, None], x @ centroids.T, 0), axis=1)
-    size = np.log2(np.maximum(n, 1)).astype(int)
+
+    def nearness(batches):
+        own = np.array(names)
+        for b in batches:
+            for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                found = [(int(n), float((centroids[own == lang] @ v).max())) for part in blank.vectors([text], 64) for v, n in zip(*part)]
+                yield pa.RecordBatch.from_arrays([pa.array([int(np.log2(max(n, 1))) for n, _ in found], pa.int32()), pa.array([s for _, s in found], pa.float64())], names=["size", "near"])
+
+    # One row a length.
+    quantile = {r["size"]: r["q"] for r in sample.mapInArrow(nearness, "size int, near double").groupBy("size").agg(F.min("near").alias("q")).collect()}
+    discard(sample)
     floors = np.zeros(32)
     for b in range(32):  # a length without fitted texts takes the floor of the next shorter one
-        floors[b] = slack * near[size == b].min() if (size == b).any() else floors[b - 1] if b else 0.0
-    # A text of a few words says too little to be far from all languages unless it has nothing in common.
+        floors[b] = slack * quantile[b] if b in quantile else floors[b - 1] if b else 0.0
     floors[: int(np.log2(short))] = 0.0
     return Model(names, blank.grams, blank.idf, centroids, floors)
 

@@ -176,6 +176,19 @@ def test_language_odd_rows(spark, documents, odd, empty):
     assert langid.identify(empty, model).count() == 0
 
 
+def test_language_sample_is_bounded_and_fair(spark):
+    words = {"en": "the house stands on the hill where children play", "es": "la casa está sobre una colina donde juegan niños", "xx": "zug wub qaz fyx vok jym"}
+    rng = random.Random(3)
+    mixed = lambda x: " ".join(rng.choice(words[x].split()) for _ in range(30))
+    rows = [(mixed(x), x) for x in ("en", "es") for _ in range(60)] + [("a hot copy of one text", "en")] * 3000 + [(words["xx"], "xx")] * 500
+    df = spark.createDataFrame(rows, "text string, lang string")
+    taken = [tuple(r) for r in langid.sampled(df, 20).collect()]
+    n = {x: sum(lang == x for _, lang in taken) for x in words}
+    assert n == {"en": 20, "es": 20, "xx": 1} and len(set(taken)) == len(taken)
+    model = langid.fit(df, per_language=20, features=60)
+    assert set(model.languages) == set(words) and model.predict([words["xx"]])[0] == ["xx"]
+
+
 def test_urls_and_rules(spark):
     rows = ["http://A.Example.NET/en/x?y#z", "https://example.net", "ftp://x.net/en/", "https://b.example.com/de/1", "https://org/fr/", "https://forg/fr/", "no scheme", None, "a://b://c/d", "x://h?q/en/"]
     df = spark.createDataFrame([(i, u, None) for i, u in enumerate(rows)], "page_id long, url string, html string")
