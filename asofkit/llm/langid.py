@@ -117,14 +117,15 @@ def sampled(rows: DataFrame, per_language: int) -> DataFrame:
     return hashed.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).select("text", "lang")
 
 
-def fit(train: DataFrame, per_language: int = 400, features: int = 4096, clusters: int = 3, slack: float = 0.4, short: int = 128) -> Model | None:
+def fit(train: DataFrame, per_language: int = 400, features: int = 4096, clusters: int = 3, slack: float = 0.4, low: float = 0.05) -> Model | None:
     """Learn centroids from the columns text and lang of a bounded sample.
 
     ``per_language`` different texts of each language at most are taken by a hash; their whole
     texts count. ``features`` n-grams are kept, those of the best ranks by documents within any
     language (more for many languages, so that each has 256 of its own), weighted by inverse document
-    frequency. ``slack`` times the smallest similarity of a fitted text of about that length is
-    the floor at or below which a text belongs to none; for texts of under ``short`` n-grams it is 0. No labelled text gives None.
+    frequency. ``slack`` times the ``low`` quantile of the similarities of the fitted texts, whole
+    and cut to every shorter length, is the floor at or below which a text of about that length
+    belongs to none. No labelled text gives None.
     """
     rows = train.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     sample = materialise(sampled(rows, per_language), "sample")
@@ -170,16 +171,17 @@ def fit(train: DataFrame, per_language: int = 400, features: int = 4096, cluster
         own = np.array(names)
         for b in batches:
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                found = [(int(n), float((centroids[own == lang] @ v).max())) for part in blank.vectors([text], 64) for v, n in zip(*part)]
+                sizes = [1 << k for k in range(2, 32) if 1 << k < len(text)]
+                cuts = [text[at : at + c] for c in sizes for at in sorted({0, (len(text) - c) // 2})]
+                found = [(int(n), float((centroids[own == lang] @ v).max())) for part in blank.vectors([*cuts, text], 64) for v, n in zip(*part)]
                 yield pa.RecordBatch.from_arrays([pa.array([int(np.log2(max(n, 1))) for n, _ in found], pa.int32()), pa.array([s for _, s in found], pa.float64())], names=["size", "near"])
 
     # One row a length.
-    quantile = {r["size"]: r["q"] for r in sample.mapInArrow(nearness, "size int, near double").groupBy("size").agg(F.min("near").alias("q")).collect()}
+    quantile = {r["size"]: r["q"] for r in sample.mapInArrow(nearness, "size int, near double").groupBy("size").agg(F.percentile("near", F.lit(low)).alias("q")).collect()}
     discard(sample)
     floors = np.zeros(32)
     for b in range(32):  # a length without fitted texts takes the floor of the next shorter one
         floors[b] = slack * quantile[b] if b in quantile else floors[b - 1] if b else 0.0
-    floors[: int(np.log2(short))] = 0.0
     return Model(names, blank.grams, blank.idf, centroids, floors)
 
 

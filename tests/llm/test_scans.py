@@ -176,6 +176,17 @@ def test_language_odd_rows(spark, documents, odd, empty):
     assert langid.identify(empty, model).count() == 0
 
 
+def test_short_foreign_and_gibberish_texts_are_rejected(spark, documents):
+    model = langid.fit(documents.select("text", "lang"))
+    odd = [
+        "Hyvää huomenta kaikille, tänään on kaunis päivä ja lähdemme metsään kävelylle", "Dzień dobry wszystkim, dzisiaj jest piękny dzień i idziemy na spacer do lasu",
+        "Herkese günaydın, bugün güzel bir gün ve ormana yürüyüşe gidiyoruz hepimiz", "qwzx jklp vbnm xzqw kjhg wqzx plmk zxqv bnmk qjxz vkqw zzxq jwkp",
+    ]
+    assert model.predict(odd)[2] == [True] * 4 and (model.floors[4:] > 0).all()
+    own = [r["text"][:70] for r in documents.where("lang IS NOT NULL AND length(text) >= 70").select("text").collect()]
+    assert np.mean(model.predict(own)[2]) < 0.02
+
+
 def test_language_sample_is_bounded_and_fair(spark):
     words = {"en": "the house stands on the hill where children play", "es": "la casa está sobre una colina donde juegan niños", "xx": "zug wub qaz fyx vok jym"}
     rng = random.Random(3)
