@@ -14,20 +14,23 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"  # a run of 18 or more is the whole run from its f
 HEX = r"[0-9a-f]{16,}"  # likewise
 KINDS = ("assign", "access", "hex", "random")
 
-#: What the battery tests: runs of at least 20 characters of the usual encodings.
-CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
+#: What the battery tests: runs of at least 16 characters of the usual encodings, and their parts
+#: between '/', '-' and '_' that are as long, or UUIDs.
+CANDIDATE = r"[A-Za-z0-9+/_-]{16,}={0,2}"
+UUID = r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}"
+PART = rf"{UUID}|[A-Za-z0-9+]{{16,}}={{0,2}}"
 _DIGITS, _UPPER, _LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Encoding, what its strings look like, its alphabet. The first that fits is inferred; a digit
-#: and a letter, and for the mixed ones both cases too, must occur, as one class alone is a word or a number.
+#: and a letter, or for the mixed ones both cases, must occur, as one class alone is a word or a number.
 ENCODINGS = (
     ("hex", r"^(?=.*[0-9])(?=.*[a-f])[0-9a-f]+$", _DIGITS + "abcdef"),
     ("HEX", r"^(?=.*[0-9])(?=.*[A-F])[0-9A-F]+$", _DIGITS + "ABCDEF"),
     ("base32", r"^(?=.*[2-7])(?=.*[A-Z])[A-Z2-7]+$", _UPPER + "234567"),
     ("base36", r"^(?=.*[0-9])(?=.*[a-z])[a-z0-9]+$", _DIGITS + _LOWER),
     ("BASE36", r"^(?=.*[0-9])(?=.*[A-Z])[A-Z0-9]+$", _DIGITS + _UPPER),
-    ("base62", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9]+$", _DIGITS + _UPPER + _LOWER),
-    ("base64", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/]+$", _UPPER + _LOWER + _DIGITS + "+/"),
-    ("base64url", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9_-]+$", _UPPER + _LOWER + _DIGITS + "-_"),
+    ("base62", r"^(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9]+$", _DIGITS + _UPPER + _LOWER),
+    ("base64", r"^(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/]+$", _UPPER + _LOWER + _DIGITS + "+/"),
+    ("base64url", r"^(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9_-]+$", _UPPER + _LOWER + _DIGITS + "-_"),
 )
 #: Bins of p; the first edge is the least cut. A cut is raised on this many standard errors.
 BINS, SURE = 100, 3.0
@@ -123,7 +126,8 @@ def battery(token: Column) -> Column:
 
         return with_value(alphabet, values)
 
-    return with_value(F.regexp_replace(token, "=+$", ""), coded)
+    bare = F.regexp_replace(token, "=+$", "")
+    return with_value(F.when(bare.rlike(f"^{UUID}$"), F.replace(bare, F.lit("-"), F.lit(""))).otherwise(bare), coded)
 
 
 def band(length: Column) -> Column:
@@ -131,12 +135,18 @@ def band(length: Column) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """Structs (start, end, length, p, match) of the tokens that have an encoding."""
+    """Structs (start, end, length, p, match) of the tokens that have an encoding: whole runs and their parts."""
 
     def tested(m: Column) -> Column:
         return with_value(battery(m["match"]), lambda b: F.struct(m["start"].alias("start"), m["end"].alias("end"), b["length"].alias("length"), b["p"].alias("p"), m["match"].alias("match")))
 
-    return F.filter(F.transform(located(text, CANDIDATE), tested), lambda c: c["p"].isNotNull())
+    def pieces(m: Column) -> Column:
+        parts = F.filter(located(m["match"], PART), lambda x: x["match"] != m["match"])
+        placed = F.transform(parts, lambda x: F.struct((m["start"] + x["start"]).alias("start"), (m["start"] + x["end"]).alias("end"), x["match"].alias("match")))
+        return F.concat(F.array(m), placed)
+
+    runs = F.flatten(F.transform(located(text, CANDIDATE), pieces))
+    return F.filter(F.transform(runs, tested), lambda c: c["p"].isNotNull())
 
 
 def cut_of(n: list[int], rate: float) -> float:
@@ -177,7 +187,8 @@ def thresholds(docs: DataFrame, rate: float = 0.05) -> dict[int, float]:
 def spans(text: Column, cuts: dict[int, float]) -> Column:
     """All spans as structs (start, kind, end), sorted; kind is the place in KINDS.
 
-    Tokens that the battery finds are added where they touch no span of the fixed patterns.
+    Tokens that the battery finds are added where they touch no span of the fixed patterns, and
+    parts only where their whole run is not found.
     """
     assign = F.filter(located(text, ASSIGN), lambda m: F.char_length(F.regexp_extract(m["match"], ASSIGN, 2)) >= ASSIGN_LEAST)
     base = F.concat(spans_of(assign, 0), spans_of(located(text, ACCESS), 1), spans_of(located(text, HEX), 2))
@@ -191,7 +202,10 @@ def spans(text: Column, cuts: dict[int, float]) -> Column:
                 cut = F.when(band(c["length"]) == b, x).otherwise(cut)
             return (c["p"] >= cut) & ~F.exists(base, lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"]))
 
-        return F.array_sort(F.concat(base, spans_of(F.filter(found, passes), 3)))
+        def outer(ok: Column) -> Column:
+            return F.filter(ok, lambda c: ~F.exists(ok, lambda w: (w["start"] <= c["start"]) & (c["end"] <= w["end"]) & (w["match"] != c["match"])))
+
+        return F.array_sort(F.concat(base, spans_of(with_value(F.filter(found, passes), outer), 3)))
 
     return with_value(base, joined)
 

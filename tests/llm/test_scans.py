@@ -84,6 +84,21 @@ def test_cuts_lose_few_random_tokens(spark):
     assert secrets.cut_of([x + 5 for x in repeated], 0.05) == 0.21 and secrets.cut_of(repeated, 0.05) > 0.2
 
 
+def test_parts_of_runs_are_tested(spark):
+    rng = random.Random(8)
+    some = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    lower = "abcdefghijklmnopqrstuvwxyz0123456789"
+    mixed = lower + "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    h = some("0123456789abcdef", 32)
+    uuid = "-".join((h[:8], h[8:12], h[12:16], h[16:20], h[20:]))
+    made = [("https://example.com/my_app/", some(mixed, 30)), ("/api-v1/", some(mixed, 30)), ("id-", some(lower, 30)), ("id-", uuid), ("", uuid), ("key ", some(mixed, 17)), ("", "qWeRtYpLkJhGfDsAzXcV")]
+    df = spark.createDataFrame([(i, a + t) for i, (a, t) in enumerate(made)], "i int, text string")
+    out = {r["i"]: {r["text"][s["start"] : s["end"]] for s in r["s"]} for r in df.select("i", "text", secrets.candidates(F.col("text")).alias("s")).collect()}
+    assert all(t in out[i] for i, (_, t) in enumerate(made))
+    found = df.select("i", secrets.spans(F.col("text"), dict.fromkeys(range(3, 8), 0.0)).alias("s")).orderBy("i").collect()
+    assert [[(s["start"], s["end"]) for s in r["s"]] for r in found][0] == [(len(made[0][0]), sum(map(len, made[0])))]
+
+
 def test_secrets_odd_rows(odd, empty):
     assert secrets.scan(odd).count() == 13 and secrets.scan(empty).count() == 0
     out = secrets.redact(odd)
