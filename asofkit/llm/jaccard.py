@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, drop_shuffles, materialise, release, table
+from .common import discard, drop_shuffles, fresh, materialise, release, table
 from .components import components
 from .words import Shingles, first_of_runs, mix, shingle, slices, split_words
 
@@ -24,7 +24,9 @@ BLOCK_CLASSES, BLOCK_BYTES = 1500, 8_000_000
 #: Bits of the filter that keeps texts without candidates from being shuffled.
 FILTER_BITS = 1 << 25
 #: Bytes of signatures shuffled at a time, against the bytes of the texts.
-SIGNATURE_SHARE = 0.8
+SIGNATURE_SHARE = 1.5
+#: Classes of one signature, and bytes of sketches, that a filtering task holds, about.
+LIST_CLASSES, LIST_BYTES = 2000, 16_000_000
 
 
 @dataclass
@@ -34,8 +36,10 @@ class Scheme:
     The sets of a linked pair with sizes r and s differ in at most (r + s)(1 - t)/(1 + t)
     shingles, ``differ`` for the band's largest. Shingles fall by hash into ``segments``, of which
     the first ``wide`` count twice as they are matched up to one deletion, the others once as they
-    are matched exactly. These weights sum to differ + 1 + spare, so a linked pair agrees in
-    segments of a weight of spare + 1 at least. Hence up to ``spare`` empty segments need not be indexed.
+    are matched exactly. These weights sum to differ + 1 + spare + hot, so a linked pair agrees in
+    segments of a weight of spare + hot + 1 at least. Hence each set's first ``spare`` empty
+    segments need not be indexed, nor need the ``hot`` of its other narrow ones whose lists are the
+    longest: with one order for all sets, the last of the segments that a pair agrees in stays for both.
     """
 
     low: int
@@ -44,6 +48,7 @@ class Scheme:
     segments: int = 1
     wide: int = 0
     spare: int = 0
+    hot: int = 0
 
 
 def bands(largest: int, percent: int) -> list[Scheme]:
@@ -62,15 +67,17 @@ def allocate(schemes: list[Scheme], classes: list[int]) -> None:
     """Choose each band's segments, wide ones and spare weight by expected cost.
 
     ``classes`` counts the sets of every band in the whole corpus. The cost is the signatures
-    indexed plus the pairs of unrelated sets that would meet in empty segments.
+    indexed plus the pairs of unrelated sets that would meet in empty segments. A sixteenth of the
+    segments is free to be left out where the counted lists turn out to be long.
     """
     for b, s in enumerate(schemes):
+        s.hot = -(-s.differ // 16) if s.differ >= 4 else 0
         n = classes[b] + (classes[b - 1] if b else 0)
         size = (s.low + s.high) / 2
         best = None
         for spare in range(0, 25 if s.differ else 1):
             for wide in range(0, min(3, s.differ) + 1):
-                m = s.differ + 1 + spare - wide
+                m = s.differ + 1 + s.hot + spare - wide
                 if m < max(wide, 1):
                     continue
                 empty = math.exp(-size / m)
@@ -83,7 +90,10 @@ def allocate(schemes: list[Scheme], classes: list[int]) -> None:
 
 
 def signatures(sets: Shingles, schemes: list[Scheme], keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the kept texts and their signatures: subset hashes by segment, and deletions in wide ones."""
+    """Places of the kept texts and their signatures: subset hashes by segment, and deletions in wide ones.
+
+    The lowest bit of a signature is that of its scheme's number, the next is set for narrow segments.
+    """
     highs = np.array([s.high for s in schemes])
     counts = sets.counts
     band = np.searchsorted(highs, counts)
@@ -106,16 +116,67 @@ def signatures(sets: Shingles, schemes: list[Scheme], keep: np.ndarray) -> tuple
         segment = np.arange(total) - base[owner]
         salt = mix((scheme[owner].astype(np.uint64) << np.uint64(40)) + segment.astype(np.uint64) + np.uint64(1))
         narrow = segment >= wide[owner]
-        empties = np.bincount(owner[narrow & (size == 0)], minlength=len(m))
-        emit = ~narrow | (size > 0) | (empties > spare)[owner]
+        empty = narrow & (size == 0)
+        before = np.cumsum(empty)
+        nth = before - np.r_[0, before][base[owner]]  # of the set's empty segments
+        emit = ~empty | (nth > spare[owner])
+        marks = (scheme & 1).astype(np.uint64)[owner] | narrow.astype(np.uint64) << np.uint64(1)
+        clear = ~np.uint64(3)
         docs.append(owner[emit])
-        sigs.append(mix(sums[emit] ^ salt[emit]))
+        sigs.append(mix(sums[emit] ^ salt[emit]) & clear | marks[emit])
         deleted = ~narrow[slot]
         docs.append(doc[deleted])
-        sigs.append(mix((sums[slot] - value)[deleted] ^ salt[slot][deleted]))
+        sigs.append(mix((sums[slot] - value)[deleted] ^ salt[slot][deleted]) & clear | marks[slot][deleted])
     return np.concatenate(docs), np.concatenate(sigs).view(np.int64)
 
 
+def sketches(sets: Shingles) -> list[bytes]:
+    """For each set the parities of its shingles' counts in as many hash cells as it has shingles, about.
+
+    The cells are a power of two, at least 64; folding halves makes the sketch of fewer cells. Two
+    sets differ in at least as many shingles as their sketches of the same cells differ in bits.
+    """
+    n = sets.counts
+    cells = 64 << np.maximum(np.ceil(np.log2(np.maximum(n, 1) * 0.75 / 64)), 0).astype(np.int64)
+    base = np.cumsum(cells) - cells
+    at = base[sets.doc] + (mix(sets.hash ^ np.uint64(0x1B873593CC9E2D51)) & (cells - 1)[sets.doc].astype(np.uint64)).astype(np.int64)
+    bits = np.packbits((np.bincount(at, minlength=int(cells.sum())) & 1).astype(np.uint8))
+    return [bits[a : a + c].tobytes() if k else b"" for a, c, k in zip((base // 8).tolist(), (cells // 8).tolist(), n.tolist())]
+
+
+def may_link(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Edges a, b that connect those classes of each list (sig) that their sketches don't tell apart.
+
+    Every class is compared with all those of its list that aren't connected to it by then.
+    """
+    out_a, out_b = [], []
+    pdf = pdf.drop_duplicates(["sig", "cid"]).sort_values("sig", kind="stable")
+    sig, cid, n, sketch = pdf["sig"].to_numpy(), pdf["cid"].to_numpy(), pdf["n"].to_numpy(), pdf["sketch"].tolist()
+    starts = np.flatnonzero(first_of_runs(sig))
+    for at, end in zip(starts.tolist(), [*starts[1:].tolist(), len(sig)]):
+        size = min(len(x) for x in sketch[at:end])
+        bits = np.empty((end - at, size // 8), np.uint64)
+        for i, x in enumerate(sketch[at:end]):
+            bits[i] = np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, size // 8), axis=0)
+        ids, count = cid[at:end], n[at:end]
+        left = np.arange(1, end - at)
+        queue = [0]
+        while len(left):
+            if queue:
+                i = queue.pop()
+            else:
+                i, left = int(left[0]), left[1:]
+            apart = np.bitwise_count(bits[left] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            near = (apart * (100 + percent) <= (count[left] + count[i]) * (100 - percent)) & (100 * np.minimum(count[left], count[i]) >= percent * np.maximum(count[left], count[i]))
+            found = left[near]
+            left = left[~near]
+            out_a.append(np.full(len(found), ids[i]))
+            out_b.append(ids[found])
+            queue.extend(found.tolist())
+    none = np.empty(0, np.int64)
+    return pd.DataFrame({"a": np.concatenate([none, *out_a]), "b": np.concatenate([none, *out_b])})
+
+
 def keys_of(texts: pa.Array) -> list[bytes]:
     """A 128-bit digest of each text's word sequence; texts of one sequence are one class."""
     values, offsets = split_words(texts)
@@ -128,21 +189,25 @@ def class_number(key: bytes) -> int:
 
 
 def profile(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, the class's key and its short number, and the text's bytes, for every row."""
+    """doc_id, text_hash, n_shingles, the class's key and its short number, the text's bytes and its sketch, for every row."""
 
     def work(batches):
         for batch in batches:
             for b in slices(batch, 1):
-                counts = shingle(b.column(1), width, hashes=False).counts
+                sets = shingle(b.column(1), width)
                 keys = keys_of(b.column(1))
                 size = pc.fill_null(pc.binary_length(b.column(1)), 0).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array([class_number(k) for k in keys], pa.int64()), size],
-                    names=["doc_id", "n_shingles", "key", "cid", "bytes"],
-                )
+                    [
+                        b.column(0), b.column(2), pa.array(sets.counts, pa.int64()), pa.array(keys, pa.binary()), pa.array([class_number(k) for k in keys], pa.int64()), size,
+                        pa.array(sketches(sets), pa.binary()),
+                    ],
+                    names=["doc_id", "text_hash", "n_shingles", "key", "cid", "bytes", "sketch"],
+                )
         release()
 
-    return docs.mapInArrow(work, "doc_id long, n_shingles long, key binary, cid long, bytes long")
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    return hashed.mapInArrow(work, "doc_id long, text_hash long, n_shingles long, key binary, cid long, bytes long, sketch binary")
 
 
 def indexed(docs: DataFrame, width: int, schemes: list[Scheme], turn: int = 0, turns: int = 1) -> DataFrame:
@@ -278,56 +343,97 @@ def check(pdf: pd.DataFrame, width: int, percent: int) -> pd.DataFrame:
     return pd.DataFrame({"key": keys[some], "root": keys[root[some]], "links": links[some].astype(np.int64)})
 
 
-def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """Every document with its links and its component under Jaccard similarity of word shingles.
-
-    Words are runs without ASCII white space, A-Z in lower case; a document's set has its distinct
-    shingles of ``width`` words, or with fewer words the whole sequence. Two documents link when
-    100 * intersection >= percent * union. Null, empty and blank texts have empty sets and no links.
+def candidates(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """Edges a, b between class numbers, whose components hold every linked pair of classes.
 
-    Texts of one word sequence are a class and are indexed once. Classes that share a signature
-    are candidates; candidate groups are found by contraction, and in each group all classes are
-    compared by their whole texts, exactly. Large groups are cut into blocks by size band, and
-    each task compares two blocks, so no task holds more than BLOCK_CLASSES classes or
-    BLOCK_BYTES bytes of each side (a single longer text excepted). A copy costs no comparison.
-
-    Returns doc_id, n_shingles, component_id (the smallest id in the component) and n_links (other
-    documents linked to), one row for each given. A null id is never the smallest; a component of
-    such rows alone has null. Repeated rows link to each other; extra columns are ignored; an
-    empty table gives an empty result.
+    Signatures lead to lists of classes. Each class leaves its longest lists, as many as its scheme
+    may spare; equal lists are compared once; and in a list only those classes become connected that
+    their sketches don't tell apart. Long lists are cut into blocks, and each task gets two.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = materialise(profile(docs, width), "join-profile")
-    full = rows.where(F.col("n_shingles") > 0)
-    classes = materialise(
-        full.groupBy("key").agg(F.first("cid").alias("cid"), F.first("n_shingles").alias("n"), F.first("bytes").alias("bytes"), F.min("doc_id").alias("least"), F.count("*").alias("members")),
-        "join-classes",
-    )
     largest = classes.agg(F.max("n")).first()[0] or 0
     schemes = bands(largest, percent)
-    bound = [s.high for s in schemes]
-    band = lambda n: F.size(F.filter(F.array(*[F.lit(h) for h in bound]), lambda h: h < n))
+    band = band_of(schemes)
     # One row a band; their number grows with the logarithm of the longest text.
     found = {r["band"]: r["count"] for r in classes.groupBy(band(F.col("n")).alias("band")).count().collect()}
     allocate(schemes, [found.get(b, 0) for b in range(len(schemes))])
-    # Signatures of many turns are shuffled turn by turn, so that at no time they take more room
-    # than SIGNATURE_SHARE of the texts; each turn leaves its edges only.
+    # Signatures far larger than the texts, as of very short ones, are shuffled in turns, so that
+    # at no time they take more room than SIGNATURE_SHARE of the texts.
     pairs = zip(schemes, schemes[1:])
     expected = 16 * sum(found.get(b, 0) * sum(s.segments + s.wide * s.high / s.segments for s in two) for b, two in enumerate(pairs))
     text_bytes = classes.agg(F.sum("bytes")).first()[0] or 1
     turns = max(1, math.ceil(expected / (SIGNATURE_SHARE * text_bytes)))
-    # Edges to the smallest class of each signature, by a running minimum that holds no group.
-    running = Window.partitionBy("sig").orderBy("cid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edges = []
+    # A running minimum and the row before hold no list; a class in several partitions counts once.
+    in_list = Window.partitionBy("sig").orderBy("cid")
+    running = in_list.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    shared = []
     for turn in range(turns):
-        sigs = indexed(docs, width, schemes, turn, turns)
-        edges.append(materialise(sigs.withColumn("a", F.min("cid").over(running)).where("a <> cid").select("a", F.col("cid").alias("b")).distinct(), "join-edges"))
+        sigs = indexed(docs, width, schemes, turn, turns).select("sig", "cid", F.min("cid").over(running).alias("first"), F.lag("cid").over(in_list).alias("before"))
+        shared.append(materialise(sigs.where("first <> cid and before <> cid").select("sig", "first", "cid"), "join-shared"))
         del sigs
         drop_shuffles(spark)
-    groups = components(reduce(DataFrame.unionByName, edges))
-    for e in edges:
-        discard(e)
+    lists = reduce(DataFrame.unionByName, shared)
+    length = lists.groupBy("sig").agg((F.count("*") + 1).alias("g"), F.first("first").alias("first"))
+    members = lists.select("sig", "cid").unionByName(length.select("sig", F.col("first").alias("cid"))).join(length.select("sig", "g"), "sig")
+    hots = F.array(*[F.lit(s.hot) for s in [*schemes, schemes[-1]]])
+    spared = F.get(hots, F.col("band") + F.when(F.col("band") % 2 == F.col("sig").bitwiseAND(1), 0).otherwise(1))
+    longest = Window.partitionBy("cid", "scheme").orderBy(F.desc("narrow"), F.desc("g"), "sig")
+    members = members.join(classes.select("cid", band(F.col("n")).alias("band")), "cid").select(
+        "sig", "cid", F.col("sig").bitwiseAND(2).alias("narrow"), F.col("sig").bitwiseAND(1).alias("scheme"), "g", spared.alias("spared")
+    )
+    members = materialise(members.withColumn("place", F.row_number().over(longest)).where("narrow = 0 or place > spared").select("sig", "cid"), "join-members")
+    lists = members.groupBy("sig").agg(F.count("*").alias("g"), F.min("cid").alias("first"), F.bit_xor(F.xxhash64("cid")).alias("all")).where("g > 1")
+    lists = lists.groupBy("g", "first", "all").agg(F.min("sig").alias("sig")).select("sig", "g")
+    dealt = materialise(members.join(lists, "sig").join(classes.select("cid", "n", "sketch"), "cid").select("sig", "g", "cid", "n", "sketch"), "join-lists")
+    for x in (*shared, members):
+        discard(x)
+    short = F.col("g") <= LIST_CLASSES
+    size = dealt.where(short).agg(F.count("*"), F.sum(F.length("sketch"))).first()
+    buckets = max(1, math.ceil(size[0] / (8 * LIST_CLASSES)), math.ceil((size[1] or 0) / LIST_BYTES))
+    blocks = F.ceil(F.col("g") / LIST_CLASSES).cast("int")
+    own = F.pmod(F.xxhash64("cid"), blocks).cast("int")
+    name = lambda *parts: F.concat_ws("/", *[p.cast("string") for p in parts])
+    others = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.when(o != own, name(F.col("sig"), F.least(own, o), F.greatest(own, o))))
+    tasks = F.when(short, F.array(F.pmod(F.xxhash64("sig"), F.lit(buckets)).cast("string"))).otherwise(F.filter(others, lambda t: t.isNotNull()))
+    edges = dealt.select("sig", "cid", "n", "sketch", F.explode(tasks).alias("task")).groupBy("task").applyInPandas(lambda pdf: may_link(pdf, percent), "a long, b long")
+    edges = materialise(edges.distinct(), "join-edges")
+    discard(dealt)
+    return edges
+
+
+def band_of(schemes: list[Scheme]):
+    bound = [s.high for s in schemes]
+    return lambda n: F.size(F.filter(F.array(*[F.lit(h) for h in bound]), lambda h: h < n))
+
+
+def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """Every document with its links and its component under Jaccard similarity of word shingles.
+
+    Words are runs without ASCII white space, A-Z in lower case; a document's set has its distinct
+    shingles of ``width`` words, or with fewer words the whole sequence. Two documents link when
+    100 * intersection >= percent * union. Null, empty and blank texts have empty sets and no links.
+
+    Texts of one word sequence are a class and are indexed once. Classes that share a signature
+    and that their sketches don't tell apart are candidates; in each connected group of these all
+    classes are compared by their whole texts, exactly. Large groups are cut into blocks by size
+    band, and each task compares two blocks, so no task holds more than BLOCK_CLASSES classes or
+    BLOCK_BYTES bytes of each side (a single longer text excepted). A copy costs no comparison.
+
+    Returns doc_id, n_shingles, component_id (the smallest id in the component), n_links (other
+    documents linked to) and text_hash (xxhash64 of the text), one row for each given. A null id is
+    never the smallest; a component of such rows alone has null. Repeated rows link to each other;
+    extra columns are ignored; very long texts are compared whole; an empty table gives an empty result.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = materialise(profile(docs, width), "join-profile")
+    full = rows.where(F.col("n_shingles") > 0)
+    one = [F.first(c).alias(a) for c, a in (("cid", "cid"), ("n_shingles", "n"), ("bytes", "bytes"), ("sketch", "sketch"))]
+    classes = materialise(full.groupBy("key").agg(*one, F.min("doc_id").alias("least"), F.count("*").alias("members")), "join-classes")
+    largest = classes.agg(F.max("n")).first()[0] or 0
+    band = band_of(bands(largest, percent))
+    edges = candidates(docs, classes, width, percent)
+    groups = components(edges)
+    discard(edges)
     placed = materialise(classes.join(groups.withColumnRenamed("node", "cid"), "cid").select("key", "cid", "n", "bytes", "members", "root", band(F.col("n")).alias("band")), "join-groups")
     sizes = placed.groupBy("root", "band").agg(F.count("*").alias("c"), F.sum("bytes").alias("b"))
     whole = Window.partitionBy("root")
@@ -374,23 +480,26 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     return rows.join(named, "key", "left").select(
         "doc_id", "n_shingles",
         F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-        F.when(F.col("n_shingles") > 0, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"),
+        F.when(F.col("n_shingles") > 0, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"), "text_hash",
     )
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar(table(spark, sf_dir, "documents"), width=3, percent=90)
+    return similar(table(spark, sf_dir, "documents"), width=3, percent=90).drop("text_hash")
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The documents, with all their columns, of which each component keeps the one of smallest id.
 
-    Documents without words are in no component and stay. Rows of one id count as one document.
-    Rows without id stay, since nothing tells them apart.
+    Documents without words are in no component and stay. Rows without id stay, since nothing
+    tells them apart. Of several rows with the smallest id in one component, the one with the
+    smallest text stays; rows of one id in different components are judged each in its own.
     """
-    found = materialise(similar(docs, width, percent).select("doc_id", "component_id"), "join-kept")
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
-    out = docs.join(keep, F.col("doc_id").cast("long") == F.col("kept"), "left_semi")
-    if not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id"])
+    found = materialise(similar(docs, width, percent).select("doc_id", "component_id", "text_hash"), "join-kept")
+    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept"), F.col("text_hash").alias("kept_hash"), "component_id").distinct()
+    hashed = F.xxhash64(F.col("text").cast("string"))
+    out = docs.join(keep.select("kept", "kept_hash"), (F.col("doc_id").cast("long") == F.col("kept")) & (hashed == F.col("kept_hash")), "left_semi")
+    if not found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").isEmpty():
+        place, at = fresh(out, "place"), Window.partitionBy(F.col("doc_id").cast("long")).orderBy("text", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+        out = out.withColumn(place, F.row_number().over(at)).where(F.col(place) == 1).drop(place)
     return out.unionByName(docs.where("doc_id is null"))
