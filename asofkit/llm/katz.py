@@ -17,16 +17,16 @@ import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import discard, drop_shuffles, materialise, release, table
 from .words import first_of_runs, mix, slices, split_words
 
 #: Bytes of text in a block (a longer single text is a block of its own).
-BLOCK_BYTES = 10_000_000
+BLOCK_BYTES = 5_000_000
 #: Tokens whose word pairs are summed in one bucket, about.
-BUCKET_TOKENS = 1_000_000
+BUCKET_TOKENS = 600_000
 #: Histories that are split over buckets are at most so many, so their totals can be sent to all.
 SPLIT_HISTORIES = 100_000
 #: Counts up to this are discounted.
@@ -267,12 +267,12 @@ def score(docs: DataFrame, held: int = 2) -> DataFrame:
     spark = docs.sparkSession
     made = materialise(blocks(docs, held), "lm-blocks")
     words = made.where("word is not null").select("block", "code", "word", "n", F.monotonically_increasing_id().alias("row"))
-    # A word's number is that of its first row; one shuffle gives all blocks both number and count.
-    same = Window.partitionBy("word")
-    known = words.select("block", "code", F.min("row").over(same).alias("number"), F.sum("n").over(same).alias("c"), "row", (F.col("word") == END).alias("end"))
-    known = materialise(known.select("block", "code", "number", "c", (F.col("row") == F.col("number")).alias("first"), "end"), "lm-words")
+    # A word's number is that of one of its rows. Counts are summed before they are shuffled and then
+    # joined back, where AQE splits the rows of a word that all blocks have.
+    types = materialise(words.groupBy("word").agg(F.min("row").alias("number"), F.sum("n").alias("c")).withColumn("end", F.col("word") == END), "lm-types")
+    drop_shuffles(spark)
+    known = materialise(words.select("block", "code", "word").join(types.select("word", "number", "c"), "word").select("block", "code", "number", "c"), "lm-words")
     drop_shuffles(spark)
-    types = known.where("first")
     of = [F.count_if(F.col("c") == r) for r in range(1, DISCOUNTED + 2)]
     got = types.agg(F.sum("c"), F.count_if(F.col("c") > 0), F.sum(F.when(F.col("end"), F.col("c"))), *of).first()
     tokens, n_train = got[0] or 0, got[2] or 0
@@ -289,8 +289,8 @@ def score(docs: DataFrame, held: int = 2) -> DataFrame:
     ready = materialise(
         tokens_of.groupBy("block").cogroup(own_words.groupBy("of_block")).applyInPandas(prepare, "block long, ids array<long>, data binary, vocabulary binary"), "lm-ready"
     )
-    discard(made)
-    discard(known)
+    for x in (made, known, types):
+        discard(x)
     drop_shuffles(spark)
 
     def ask(frames):

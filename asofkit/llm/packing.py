@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import numbered, release, table
 from .tokens import default_path, encode, forget
+from .words import slices
 
 
 def exact_complement(count: np.ndarray, gap: int, pieces: int) -> tuple[int, ...] | None:
@@ -139,8 +140,7 @@ def pieces(docs: DataFrame, capacity: int, path: str, end_id: int = 0) -> DataFr
 
     def cut(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                b = batch.slice(at, 1000)
+            for b in slices(batch, 1):
                 ids, place = encode(b.column(1), path)
                 doc, piece, start, length, crc = [], [], [], [], []
                 for i, d in enumerate(b.column(0).to_pylist()):
@@ -170,7 +170,7 @@ def pack(docs: DataFrame, capacity: int = 2048, path: str | None = None) -> Data
     Only documents longer than ``capacity`` are cut. The plan is made from the counts of the at
     most ``capacity`` lengths; each piece then takes its place by its number among the pieces of
     its length, which is found without bringing them together. Null texts are empty: the end id
-    alone. Null ids, repeated rows and extra columns are ordinary; an empty table packs to none.
+    alone. Very long texts are cut into pieces as any text above ``capacity``. Null ids, repeated rows and extra columns are ordinary; an empty table packs to none.
 
     Returns doc_id, piece, start, length, ids_crc32, sequence_id and offset.
     """

@@ -34,10 +34,12 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, bundles: int = 4096) ->
     the bytes, tokens or rows, at most 3 * ``bundles`` of them, are placed one by one; the others
     fall by hash into ``bundles`` bundles that are placed as wholes. So the driver handles at
     most 4 * ``bundles`` vectors, whatever the input. A group larger than a whole shard is cut by
-    document id into parts of an eighth of a shard; every other group stays together.
+    a written hash of its rows into parts of an eighth of a shard, whether or not these have ids, and
+    ``cut`` is true for its rows; every other group stays together. Very long texts are ordinary: one
+    above a shard's bytes has a shard of its own.
 
     Returns doc_id, size (UTF-8 bytes + 1), tokens, text_crc32, law ('bytes'), shard, slot
-    (gapless from 0 within the shard) and grown_shard (null). Null doc_ids are ordinary rows, an
+    (gapless from 0 within the shard), grown_shard (null) and cut. Null doc_ids are ordinary rows, an
     empty table gives an empty result, extra columns are ignored, repeated rows count each.
     """
     spark = docs.sparkSession
@@ -49,6 +51,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, bundles: int = 4096) ->
             F.regexp_count(text, F.lit(WORD)).cast("long").alias("tokens"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.sha2(text.cast("binary"), 256).alias("group"),
+            F.xxhash64("doc_id", F.monotonically_increasing_id()).alias("salt"),
         ),
         "shard-base",
     )
@@ -70,7 +73,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, bundles: int = 4096) ->
     huge = {i.g: 8 * math.ceil(max(i.b / caps[0], i.r / caps[2])) for i in items if i.g and (i.b > caps[0] or i.r > caps[2])}
     part_of = F.lit(0)
     for g, n in huge.items():  # fewer than 2 * n_shards
-        part_of = F.when(F.col("group") == g, F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")).otherwise(part_of)
+        part_of = F.when(F.col("group") == g, F.pmod("salt", F.lit(n)).cast("int")).otherwise(part_of)
     entries = [(i.g, 0, i.k, i.b, i.t, i.r) for i in items if i.g not in huge]
     if huge:
         cut = base.where(F.col("group").isin(*huge)).groupBy("group", part_of.alias("p")).agg(*sums).collect()
@@ -86,10 +89,10 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, bundles: int = 4096) ->
         base.withColumns({"part": part_of, "bundle": bundle})
         .join(one, ["group", "part"], "left")
         .join(many, "bundle", "left")
-        .select("doc_id", "size", "tokens", "text_crc32", F.lit("bytes").alias("law"), F.coalesce("s1", "s2").alias("shard"))
+        .select("doc_id", "size", "tokens", "text_crc32", F.lit("bytes").alias("law"), F.coalesce("s1", "s2").alias("shard"), F.col("group").isin(*huge).alias("cut"))
     )
     return numbered(placed, "shard", "slot", "shard-slots").select(
-        "doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens"
+        "doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens", "cut"
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -15,9 +16,21 @@ CACHE_WORDS = 300_000
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Words that the file's rules keep whole: Latin letters in lower case, composed.
 _PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u024f]+")
+#: The rules under which words can be encoded apart (fixed values of the word-level file).
+_NORMAL = ["NFC", "Replace", "Lowercase"]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _loaded: dict[str, tuple] = {}
 
 
+def by_words(rules: dict) -> bool:
+    """Whether a tokenizer file's rules are those that ``encode`` may apply word by word."""
+    steps = (rules.get("normalizer") or {}).get("normalizers", [])
+    parts = (rules.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    plain = [s["type"] for s in steps] == _NORMAL and steps[1]["pattern"] == {"Regex": r"\s+"} and steps[1]["content"] == " "
+    split = [p["type"] for p in parts] == ["Split", "ByteLevel"] and parts[0]["pattern"] == {"Regex": _SPLIT} and not parts[1]["add_prefix_space"]
+    return plain and split and not rules.get("post_processor") and (rules.get("model") or {}).get("type") == "BPE"
+
+
 def _byte_letters() -> dict[int, str]:
     """The printable character that byte-level vocabularies write for each byte."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -41,7 +54,8 @@ def _load(path: str):
 
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = True  # their strings in a text are ordinary text
-        _loaded[path] = (t, t.model, {})
+        with open(path, encoding="utf-8") as f:
+            _loaded[path] = (t, t.model, {}, by_words(json.load(f)))
     return _loaded[path]
 
 
@@ -52,7 +66,7 @@ def _ids_of(words: list[str], path: str) -> list[bytes]:
     so it is encoded apart, which leaves far fewer distinct words. Plain ones go to the merging
     model directly; all others take the whole way through the tokenizer.
     """
-    tokenizer, model, cache = _load(path)
+    tokenizer, model, cache, _ = _load(path)
     if len(cache) > CACHE_WORDS:
         cache.clear()
     out = []
@@ -76,7 +90,7 @@ def _ids_of(words: list[str], path: str) -> list[bytes]:
 
 def forget() -> None:
     """Empty the caches, at the end of a task."""
-    for _, _, cache in _loaded.values():
+    for _, _, cache, _ in _loaded.values():
         cache.clear()
 
 
@@ -85,7 +99,12 @@ def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
 
     The file's rules never join two words across ASCII white space, so a text's ids are those of
     its words one after another, and each distinct word is encoded once. Null is an empty text.
+    A file of other rules encodes whole texts.
     """
+    tokenizer, _, _, apart = _load(path)
+    if not apart:
+        each = [np.array(tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4") for t in texts.to_pylist()]
+        return np.concatenate([np.empty(0, "<u4"), *each]), np.r_[0, np.cumsum([len(x) for x in each], dtype=np.int64)]
     words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
     starts = words.offsets.to_numpy().astype(np.int64)
     coded = words.values.slice(starts[0], starts[-1] - starts[0]).dictionary_encode()

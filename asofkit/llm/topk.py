@@ -30,13 +30,14 @@ class SortedLists:
         self.order = np.argsort(x, axis=0, kind="stable").T.copy()  # dimension, place
         self.value = np.take_along_axis(x, self.order.T, axis=0).T.copy()
 
-    def search(self, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, q: np.ndarray, own: int, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best rows for ``q`` but the one with id ``own``.
 
         Sorted access goes down all lists in step, from the end that the sign of the query's
         component favours, at doubling depths; each row met is scored by random access. It stops
         when the bound for rows not met yet, the product of the query with the last values read,
-        is below the kth score. An equal bound goes on, as an unseen row may have a smaller id.
+        is below the kth score, here or, as ``floor``, elsewhere. An equal bound goes on, as an unseen
+        row may have a smaller id. Rows below the floor are left out.
         """
         n, dims = len(self.ids), np.flatnonzero(q)
         up = q[dims] > 0
@@ -60,9 +61,9 @@ class SortedLists:
             top = best(scores, self.ids[found], k)
             found, scores = found[top], scores[top]
             edge = np.where(up, self.value[dims, n - depth], self.value[dims, depth - 1])
-            if len(scores) == k and scores[-1] > edge @ q[dims]:
+            if max(floor, scores[-1] if len(scores) == k else -np.inf) > edge @ q[dims]:
                 break
-        return self.ids[found], scores
+        return self.ids[found][scores >= floor], scores[scores >= floor]
 
 
 def top_k(vectors: DataFrame, k: int = 10, scale: int = 1024, every: int = 100, block: int = 8192, query_block: int = 4096) -> DataFrame:
@@ -77,7 +78,9 @@ def top_k(vectors: DataFrame, k: int = 10, scale: int = 1024, every: int = 100,
 
     Rows are dealt into blocks of about ``block`` rows and queries into blocks of about
     ``query_block``; each pair of blocks is one bounded task, and only its k best per query
-    leave it. Returns query_id, rank (from 1), vec_id and score.
+    leave it. Each query is searched in one block first; its kth score there is a floor for the
+    bound in all others. Scaled components above 2^53 / the vectors' length in product lose the last
+    digits of a score, as doubles do. Extra columns are ignored. Returns query_id, rank (from 1), vec_id and score.
     """
     e = F.col("embedding")
     ok = F.col("vec_id").isNotNull() & e.isNotNull() & (F.size(e) > 0) & ~F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -94,18 +97,27 @@ def top_k(vectors: DataFrame, k: int = 10, scale: int = 1024, every: int = 100,
 
     def cell(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
+        floors = pdf.pop("floor").fillna(-np.inf)
         dims = pdf["x"].map(len)
         for d, part in pdf.groupby(dims):
             q, c = part[part["q"]], part[~part["q"]]
             if not len(q) or not len(c):
                 continue
             lists = SortedLists(c["vec_id"].to_numpy(), np.stack(c["x"].to_numpy()))
-            for own, x in zip(q["vec_id"].tolist(), q["x"]):
-                ids, scores = lists.search(np.asarray(x), own, k)
+            for own, x, floor in zip(q["vec_id"].tolist(), q["x"], floors[q.index].tolist()):
+                ids, scores = lists.search(np.asarray(x), own, k, floor)
                 out.append(pd.DataFrame({"query_id": own, "vec_id": ids, "score": scores}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
 
-    found = cands.unionByName(asks).groupBy("cb", "qb").applyInPandas(cell, "query_id long, vec_id long, score long")
+    schema = "query_id long, vec_id long, score long"
+    home = F.pmod(F.col("qb"), F.lit(n_blocks))
+    found = materialise(cands.unionByName(asks).where(F.col("cb") == home).withColumn("floor", F.lit(None).cast("double")).groupBy("cb", "qb").applyInPandas(cell, schema), "topk-first")
+    if n_blocks > 1:
+        # Equal scores at the kth place make one floor; a query that is asked twice shares it.
+        kth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        floors = found.distinct().withColumn("r", kth).where(F.col("r") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("floor"))
+        others = cands.where(F.col("cb") != home).withColumn("floor", F.lit(None).cast("double")).unionByName(asks.where(F.col("cb") != home).join(floors, "vec_id", "left"))
+        found = found.unionByName(others.groupBy("cb", "qb").applyInPandas(cell, schema))
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -11,11 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .words import slices
 
 # Fixed values of ISO/IEC 13818-1 and the identifiers that this multiplexer uses.
 PACKET, SYNC = 188, 0x47
 PAT_PID, PMT_PID, ES_PID, PROGRAM = 0x0000, 0x1000, 0x0100, 1
 STREAM_TYPE, STREAM_ID = 0x06, 0xBD  # private data in PES packets, private stream 1
+#: Streams whose elementary packets have no header beyond their length.
+BARE = (0xBC, 0xBE, 0xBF, 0xF0, 0xF1, 0xF2, 0xF8, 0xFF)
 CLOCK, TICK = 90_000, 3_600  # 90 kHz, 25 access units a second
 #: Payload bytes in one elementary packet.
 UNIT = 576 * 32
@@ -104,12 +107,33 @@ def mux(payload: bytes, unit: int = UNIT) -> bytes:
     return b"".join(out)
 
 
+def _sections(packets: list[tuple[bool, bytes]]):
+    """Whole table sections from a table's packets, each (a section begins in it, its payload)."""
+    buffer = None
+    for begins, data in packets:
+        if begins:
+            at = data[0] if data else 0
+            parts = [(buffer or b"") + data[1 : 1 + at] if buffer is not None else b"", data[1 + at :]]
+        else:
+            parts = [(buffer or b"") + data if buffer is not None else b""]
+        buffer = None
+        for x in parts:
+            while len(x) >= 3 and x[0] != 0xFF:
+                n = 3 + ((x[1] & 0x0F) << 8 | x[2])
+                if len(x) < n:
+                    break
+                yield x[:n]
+                x = x[n:]
+            buffer = x if x and x[0] != 0xFF else None
+
+
 def demux(stream: bytes) -> dict:
-    """Parse a transport stream; raises ValueError if it is no such stream or has no program.
+    """Parse a transport stream; raises ValueError, and nothing else, if it is none or has no program.
 
-    Returns the first program's elementary stream and what was found on the way: packets, table
-    checksum errors, continuity errors, and for each elementary packet its time stamp (-1: none),
-    size, number of its first transport packet and whether that is a random-access point.
+    Returns the first program's first elementary stream and what was found on the way: packets,
+    table checksum errors, continuity errors, packets sent twice (they count once), units cut short,
+    and for each elementary packet its time stamp (-1: none), size, number of its first transport
+    packet and whether that is a random-access point. Payload before the first elementary packet is left out.
     """
     if len(stream) % PACKET:
         raise ValueError("not a whole number of transport packets")
@@ -123,49 +147,71 @@ def demux(stream: bytes) -> dict:
     flags = np.where((control & 2 > 0) & (field > 1), m[:, 5], 0)
     bad_tables = 0
 
-    def section(which: int) -> bytes:
+    def of(which: int) -> tuple[np.ndarray, int]:
+        """Packets with payload of one kind, without those that repeat the one before, and how many did."""
+        own = np.flatnonzero((pid == which) & (control & 1 > 0))
+        again = np.r_[False, (m[own][1:] == m[own][:-1]).all(axis=1)] if len(own) else np.zeros(0, bool)
+        return own[~again], int(again.sum())
+
+    def section(which: int, table_id: int) -> bytes:
         nonlocal bad_tables
-        for i in np.flatnonzero((pid == which) & begins & (control & 1 > 0)).tolist():
-            data = m[i, start[i] :].tobytes()
-            data = data[1 + data[0] :]
-            n = 3 + ((data[1] & 0x0F) << 8 | data[2])
-            if n <= len(data) and crc32_mpeg(data[:n]) == 0:
-                return data[:n]
-            bad_tables += 1
+        own, _ = of(which)
+        for data in _sections([(bool(begins[i]), m[i, start[i] :].tobytes()) for i in own.tolist()]):
+            if len(data) >= 12 and crc32_mpeg(data) == 0:
+                if data[0] == table_id:
+                    return data
+            else:
+                bad_tables += 1
         raise ValueError(f"no valid table in packets {which:#x}")
 
-    pat = section(PAT_PID)
-    programs = [(pat[i] << 8 | pat[i + 1], (pat[i + 2] & 0x1F) << 8 | pat[i + 3]) for i in range(8, len(pat) - 4, 4)]
-    pmt = section(next(p for n, p in programs if n))
+    pat = section(PAT_PID, 0)
+    entries = [(pat[i] << 8 | pat[i + 1], (pat[i + 2] & 0x1F) << 8 | pat[i + 3]) for i in range(8, len(pat) - 7, 4)]
+    programs = [(n, p) for n, p in entries if n]  # number 0 leads to network tables
+    if not programs:
+        raise ValueError("no program")
+    pmt = section(programs[0][1], 2)
     streams, i = [], 12 + ((pmt[10] & 0x0F) << 8 | pmt[11])
-    while i < len(pmt) - 4:
+    while i + 5 <= len(pmt) - 4:
         streams.append((pmt[i], (pmt[i + 1] & 0x1F) << 8 | pmt[i + 2]))
         i += 5 + ((pmt[i + 3] & 0x0F) << 8 | pmt[i + 4])
-    own = np.flatnonzero((pid == streams[0][1]) & (control & 1 > 0))
+    if not streams:
+        raise ValueError("a program without streams")
+    own, repeats = of(streams[0][1])
     step = np.diff(counter[own].astype(np.int32)) & 0x0F
-    bad_counters = int((step != 1).sum())
+    told = flags[own][1:] & 0x80 > 0  # a jump that the stream announces
+    bad_counters = int(((step != 1) & ~told).sum())
     inside = np.arange(PACKET) >= start[own][:, None]
     body, size = m[own][inside], PACKET - start[own]
     heads = np.flatnonzero(begins[own])
     ends = np.r_[0, np.cumsum(size)]
     bounds = np.r_[ends[heads], ends[-1]]
-    parts, stamps, sizes = [], [], []
+    parts, stamps, sizes, cut = [], [], [], 0
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
         h = body[a : min(b, a + 19)].tobytes()
-        if h[:3] != b"\x00\x00\x01":
+        if h[:3] != b"\x00\x00\x01" or len(h) < 6:
             raise ValueError("no elementary packet where one should begin")
-        n, extra = h[4] << 8 | h[5], h[8]
-        stamps.append((h[9] >> 1 & 7) << 30 | h[10] << 22 | (h[11] >> 1) << 15 | h[12] << 7 | h[13] >> 1 if h[7] & 0x80 else -1)
-        data = body[a + 9 + extra : a + 6 + n if n else b]
+        n, stamp, at = h[4] << 8 | h[5], -1, a + 6
+        if h[3] not in BARE:
+            if len(h) < 9:
+                raise ValueError("an elementary packet without its header")
+            at = a + 9 + h[8]
+            if h[7] & 0x80 and len(h) >= 14:
+                stamp = (h[9] >> 1 & 7) << 30 | h[10] << 22 | (h[11] >> 1) << 15 | h[12] << 7 | h[13] >> 1
+        end = a + 6 + n if n else b
+        cut += end > b
+        data = body[min(at, b) : min(end, b)]
+        stamps.append(stamp)
         parts.append(data)
         sizes.append(len(data))
     return {
         "payload": np.concatenate(parts).tobytes() if parts else b"",
         "packets": len(m),
-        "programs": [n for n, _ in programs if n],
+        "programs": [n for n, _ in programs],
         "streams": streams,
         "bad_tables": bad_tables,
         "bad_counters": bad_counters,
+        "repeats": repeats,
+        "cut": int(cut),
         "stamps": stamps,
         "sizes": sizes,
         "first_packets": own[heads].tolist(),
@@ -186,20 +232,20 @@ def describe(found: dict) -> str:
     kinds = ",".join(f"{k:#04x}:{p:#06x}" for k, p in found["streams"])
     return (
         f"packets={found['packets']};streams={kinds};tables_bad={found['bad_tables']};continuity_bad={found['bad_counters']};"
-        f"units={len(found['sizes'])};largest={max(found['sizes'])};pts={min(found['stamps'])}-{max(found['stamps'])};random_access={len(points)}:{index}"
+        f"units={len(found['sizes'])};largest={max(found['sizes'], default=0)};pts={min(found['stamps'], default=-1)}-{max(found['stamps'], default=-1)};random_access={len(points)}:{index}"
     )
 
 
 def with_streams(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and the text stored as a transport stream in the binary column media.
 
-    Null texts are empty; ids may be null; extra columns are ignored; an empty table gives none.
+    Null texts are empty; ids may be null; repeated rows are stored each; a very long text makes one
+    long stream; extra columns are ignored; an empty table gives none.
     """
 
     def build(batches):
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
+            for part in slices(b, 1, rows=500):
                 n, media = [], []
                 for text in part.column(1).to_pylist():
                     size, payload = pad(text)
@@ -215,7 +261,7 @@ def read_streams(streams: DataFrame) -> DataFrame:
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pts array<long>, random_access array<long>"
 
     def parse(batches):
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch, 2, rows=500)):
             rows = []
             for doc, n, media in zip(*(c.to_pylist() for c in b.columns)):
                 try:

@@ -19,7 +19,7 @@ RULES = (
 )
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-_LINK = r"(?is)<a\s[^>]*?href\s*=\s*[\"']?\s*([a-z][a-z0-9+.-]*://[^\"'\s>]+)"
+_LINK = r"(?is)<(?:a|area|link|form|iframe|base)\s[^>]*?(?:href|action|src)\s*=\s*[\"']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^\"'\s>]+)"
 
 
 def host_of(url: Column) -> Column:
@@ -40,6 +40,20 @@ def rule_for(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
+def sites(hosts: DataFrame) -> DataFrame:
+    """src, dst, w between each host of more than two labels and the host without its first label, both ways.
+
+    The parts of a site belong together as far as its own name says; w is the number of pages
+    below. Hosts of digits and dots alone are addresses and have no such parts.
+    """
+    labels = F.split("host", r"\.")
+    parents = F.transform(F.sequence(F.lit(0), F.size("l") - 2), lambda i: F.array_join(F.slice("l", i + 1, F.size("l")), "."))
+    named = hosts.where(~F.col("host").rlike(r"^[0-9.:]*$")).select("pages", labels.alias("l")).where((F.size("l") > 2) & ~F.exists("l", lambda x: x == ""))
+    steps = named.select("pages", parents.alias("p")).select("pages", F.explode(F.zip_with(F.slice("p", F.lit(1), F.size("p") - 1), F.slice("p", F.lit(2), F.size("p") - 1), lambda a, b: F.struct(a.alias("src"), b.alias("dst")))).alias("e"))
+    up = steps.groupBy("e.src", "e.dst").agg(F.sum("pages").cast("double").alias("w"))
+    return up.unionByName(up.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
+
+
 def steps_for(damping: float, tolerance: float) -> int:
     """After so many steps every walk has less than ``tolerance`` of its mass on its way."""
     return math.ceil(math.log(tolerance) / math.log(damping)) + 1
@@ -75,8 +89,9 @@ def judge(
     """Judge every page by its url's longest fitting rule, or else by its host.
 
     A host is a trusted (blocked) seed if a rule allows (blocks) more than ``seed_share`` of its
-    pages. Trust follows the absolute links between hosts, distrust follows them backwards: who
-    links to blocked hosts is distrusted. Both are divided among the linked hosts, so they rank but
+    pages. Edges are the links between hosts, absolute or by '//', and those of a site: each host of
+    more than two labels with the host without its first label, both ways. Trust follows the edges,
+    distrust follows them backwards: who links to blocked hosts is distrusted. Both are divided among the linked hosts, so they rank but
     don't decide. A host is blocked if its exposure is at least ``least`` and exceeds its backing;
     other hosts, unlinked ones too, are allowed. Exposure is the chance that a walk along the
     host's own links, which stops with 1 - ``damping`` at each, meets a blocked seed; backing is the
@@ -94,13 +109,13 @@ def judge(
             host.alias("host"),
             path.alias("path"),
             rule_for(host, path, rules).alias("r"),
-            F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(F.col("html"), F.lit("")), F.lit(_LINK), F.lit(1)), host_of)).alias("links"),
+            F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(F.col("html"), F.lit("")), F.lit(_LINK), F.lit(1)), lambda u: host_of(F.when(u.startswith("//"), F.concat(F.lit("http:"), u)).otherwise(u)))).alias("links"),
         ),
         "pages",
     )
     known = base.where(F.col("host") != "")
     share = lambda v: F.sum(F.when(F.col("r.verdict") == v, 1).otherwise(0)) / F.count("*")
-    hosts = known.groupBy("host").agg(share("allow").alias("a"), share("block").alias("b"))
+    hosts = known.groupBy("host").agg(share("allow").alias("a"), share("block").alias("b"), F.count("*").alias("pages"))
     marked = hosts.select("host", F.when(F.col("a") > seed_share, "trust").when(F.col("b") > seed_share, "distrust").alias("kind")).where("kind is not null")
     seeds = materialise(marked, "seeds")
     blocked = seeds.where("kind = 'distrust'").select("host")
@@ -112,7 +127,7 @@ def judge(
         .groupBy("src", "dst")
         .agg(F.count("*").cast("double").alias("w"))
     )
-    links = materialise(links, "links")
+    links = materialise(links.unionByName(sites(hosts)).groupBy("src", "dst").agg(F.sum("w").alias("w")), "links")
     both = links.select(F.lit("trust").alias("kind"), "src", "dst", "w").unionByName(
         links.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
     )

@@ -80,20 +80,52 @@ def test_signatures_meet_for_every_linked_pair():
     rng = np.random.default_rng(5)
     for percent in (50, 80, 90):
         schemes = jaccard.bands(300, percent)
-        for spare, wide in ((0, 0), (2, 0), (1, 1), (0, 2)):
+        for spare, wide, hot in ((0, 0, 0), (2, 0, 0), (1, 1, 0), (0, 2, 2), (1, 1, 3)):
             for s in schemes:
                 w = min(wide, s.differ)
-                s.spare, s.wide, s.segments = spare, w, max(1, s.differ + 1 + spare - w)
+                s.spare, s.wide, s.hot, s.segments = spare, w, hot, max(1, s.differ + 1 + spare + hot - w)
             for _ in range(60):
                 n = int(rng.integers(1, 250))
                 a = rng.choice(10_000, n, replace=False)
                 most = n * (100 - percent) // 100
-                b = np.r_[a[int(rng.integers(0, most + 1)) :], rng.integers(20_000, 30_000, 0)]
+                lost = int(rng.integers(0, most + 1))
+                new = int(rng.integers(0, (100 * (n - lost) // percent - n) + 1))  # replaced and added ones
+                b = np.r_[a[lost:], rng.choice(10_000, new, replace=False) + 20_000]
                 both, union = len(np.intersect1d(a, b)), len(np.union1d(a, b))
                 assert 100 * both >= percent * union
                 sets = words.Shingles(2, np.r_[np.zeros(len(a), int), np.ones(len(b), int)], np.r_[a, b], words.mix(np.r_[a, b]))
                 doc, sig = jaccard.signatures(sets, schemes, np.ones(2, bool))
-                assert set(sig[doc == 0]) & set(sig[doc == 1])
+                met = set(sig[doc == 0]) & set(sig[doc == 1])
+                assert met
+                # Each set may leave ``hot`` narrow signatures of a scheme in one order that both share.
+                for order in (lambda x: x, lambda x: -x, lambda x: (x * 7919) % 10_007):
+                    kept = []
+                    for d in (0, 1):
+                        own = [x for x in sig[doc == d].tolist() if x & 2]
+                        left = {x for bit in (0, 1) for x in sorted((y for y in own if y & 1 == bit), key=order)[:hot]}
+                        kept.append(set(sig[doc == d].tolist()) - left)
+                    assert kept[0] & kept[1]
+                few = [np.frombuffer(x, np.uint64) for x in jaccard.sketches(sets)]
+                cells = min(map(len, few))
+                x, y = (np.bitwise_xor.reduce(f.reshape(-1, cells), axis=0) for f in few)
+                assert np.bitwise_count(x ^ y).sum() <= len(a) + len(b) - 2 * both
+
+
+def test_lists_connect_what_sketches_dont_tell_apart():
+    rng = np.random.default_rng(9)
+    base = rng.choice(10**6, 300, replace=False)
+    made = [np.r_[base[k : 290 + k], rng.integers(10**6, 10**7, 3)] for k in range(6)] + [rng.choice(10**6, 300) + 10**8 for _ in range(5)]
+    made = [np.unique(x) for x in made]
+    sets = words.Shingles(len(made), np.repeat(np.arange(len(made)), [len(x) for x in made]), np.concatenate(made), words.mix(np.concatenate(made)))
+    frame = [{"sig": g, "cid": i, "n": len(made[i]), "sketch": x} for g in (4, 8) for i, x in enumerate(jaccard.sketches(sets))]
+    import pandas as pd
+
+    edges = jaccard.may_link(pd.DataFrame(frame), 80)
+    root = {}
+    for a, b in edges.itertuples(index=False):
+        root.setdefault(a, set()).add(b)
+        root.setdefault(b, set()).add(a)
+    assert set(root) == set(range(6))
 
 
 def test_components(spark):

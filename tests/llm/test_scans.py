@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -130,10 +131,16 @@ def test_mixing_reaches_its_targets(spark):
 
 
 def test_mixing_odd_rows(odd, empty):
-    out, names = mixing.replicate(odd, power=1.0)
-    assert names["copy"] == "_copy" and out.count() >= 0 and mixing.replicate(empty)[0].count() == 0
-    twice = out.where("doc_id = 2").select(names["copies"]).distinct().count()
-    assert twice <= 1
+    out, names = mixing.replicate(odd, power=0.5, epochs=40)
+    assert names["copy"] == "_copy" and mixing.replicate(empty)[0].count() == 0
+    rows = out.toPandas()
+    # Every row of an id, null ids too, has that id's count; each row is there as often as it says.
+    given = Counter((None if r["doc_id"] is None else r["doc_id"], r["text"], r["source"]) for r in odd.collect())
+    for (d, text, source), part in rows.astype(object).where(rows.notna(), None).groupby(["doc_id", "text", "source"], dropna=False):
+        d, text, source = (None if x != x else x for x in (d, text, source))
+        n = part[names["copies"]].iloc[0]
+        assert set(part[names["copies"]]) == {n} and len(part) == n * given[(d, text, source)] and set(part[names["copy"]]) == set(range(1, n + 1))
+    assert rows["doc_id"].isna().any() and rows["source"].isna().any() and set(rows["rate"]) == {"z"}
 
 
 def test_streams_round_trip():
@@ -159,6 +166,42 @@ def test_streams_show_damage():
         ts.demux(b"no stream")
 
 
+def _packet(pid, section, counter=0, pointer=0):
+    return (bytes([0x47, 0x40 | pid >> 8, pid & 0xFF, 0x10 | counter, pointer]) + b"\xff" * pointer + section)[:188].ljust(188, b"\xff")
+
+
+def test_damaged_streams_raise_value_errors_alone():
+    good = ts.mux(bytes(range(256)) * 300)
+    only_network = _packet(0, ts._section(0, 1, bytes([0, 0, 0xE0, 16])))
+    no_streams = ts._PAT + _packet(ts.PMT_PID, ts._section(2, 1, bytes([0xE1, 0, 0xF0, 0])))
+    far = _packet(0, ts._section(0, 1, bytes([0, 1, 0xF0, 0])), pointer=250 % 184)
+    for stream in (only_network, no_streams, far, bytes([0x47, 0x40, 0, 0x10, 250]) + bytes(183), ts._PAT, ts._PAT + ts._PMT):
+        try:
+            ts.describe(ts.demux(stream))
+        except ValueError:
+            pass
+    rng = np.random.default_rng(1)
+    for _ in range(400):
+        broken = np.frombuffer(good, np.uint8).copy()
+        at = rng.integers(0, len(broken), 12)
+        broken[at[at % 188 != 0]] = rng.integers(0, 256, int((at % 188 != 0).sum()))
+        try:
+            ts.describe(ts.demux(broken.tobytes()))
+        except ValueError:
+            pass
+
+
+def test_repeated_packets_count_once_and_tables_may_span_packets():
+    payload = bytes(range(256)) * 40
+    stream = ts.mux(payload)
+    twice = stream[: 188 * 5] + stream[188 * 4 : 188 * 5] + stream[188 * 5 :]
+    found = ts.demux(twice)
+    assert found["payload"] == payload and found["bad_counters"] == 0 and found["repeats"] == 1
+    long = ts._section(2, 1, bytes([0xE1, 0, 0xF0, 200]) + bytes([0x0E, 198]) + bytes(198) + bytes([6, 0xE1, 0, 0xF0, 0]))
+    pmt = _packet(ts.PMT_PID, long) + bytes([0x47, ts.PMT_PID >> 8, ts.PMT_PID & 0xFF, 0x11]) + long[183:].ljust(184, b"\xff")
+    assert ts.demux(ts._PAT + pmt + stream[376:])["payload"] == payload
+
+
 def test_stream_query(spark, texts, odd, empty):
     for r in queries.QUERIES["op7_transport_streams"](spark, DATA).collect():
         data = texts[r["doc_id"]].encode()
@@ -263,5 +306,17 @@ def test_a_link_farm_is_blocked_whatever_its_size(spark, farm):
     assert [out[h] for h in ("good.org", "news.io", "n0.io")] == ["allow"] * 3
 
 
+def test_parts_of_a_site_reach_each_other(spark):
+    pages = [("a.shop.io", "/1"), ("b.shop.io", "/1"), ("10.0.0.1", "/1"), ("shop.io", "/1"), ("x.bad.net", "/1"), ("deep.a.shop.io", "/1")]
+    df = spark.createDataFrame([(i, f"https://{h}{p}", "<a href='//news.io/x'>n</a>" if h == "shop.io" else None) for i, (h, p) in enumerate(pages)], "page_id long, url string, html string")
+    hosts = df.select(urlgraph.host_of(F.col("url")).alias("host")).groupBy("host").agg(F.count("*").alias("pages"))
+    got = {(r["src"], r["dst"], r["w"]) for r in urlgraph.sites(hosts).collect()}
+    up = {("a.shop.io", "shop.io", 2.0), ("b.shop.io", "shop.io", 1.0), ("x.bad.net", "bad.net", 1.0), ("deep.a.shop.io", "a.shop.io", 1.0)}
+    assert got == up | {(b, a, w) for a, b, w in up}
+    rules = (("block", "a.shop.io", "/"), ("allow", "org", "/fr/"))
+    out = {r["host"]: (r["verdict"], r["distrust"] > 0) for r in urlgraph.judge(df, rules).collect()}
+    assert out["b.shop.io"] == ("block", True) and out["shop.io"][1] and out["10.0.0.1"] == ("allow", False) and out["x.bad.net"] == ("allow", False)
+
+
 def test_steps_follow_from_the_tolerance():
     assert 0.85 ** urlgraph.steps_for(0.85, 1e-4) < 1e-4 < 0.85 ** (urlgraph.steps_for(0.85, 1e-4) - 3)

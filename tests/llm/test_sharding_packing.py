@@ -83,3 +83,45 @@ def test_plan_uses_exact_complements_first():
             used[x] += n
     assert {n: int(c) for n, c in enumerate(used) if c} == {n: c for n, c in counts.items() if c}
     assert sum(n for _, n in made) <= -(-sum(n * c for n, c in counts.items()) // 100) + 10
+
+
+def plain_pack(items, n_shards):
+    """Items (dimension vectors) to shards, by a loop over plain numbers."""
+    caps = [max(sum(v[d] for v in items) / n_shards, 1e-9) for d in range(3)]
+    left = [[1.0] * 3 for _ in range(n_shards)]
+    out = [0] * len(items)
+    for i in sorted(range(len(items)), key=lambda i: -max(v / c for v, c in zip(items[i], caps))):
+        need = [v / c for v, c in zip(items[i], caps)]
+        dots = [sum(a * b for a, b in zip(row, need)) for row in left]
+        best = max(dots)
+        out[i] = next(s for s, d in enumerate(dots) if d >= best - 1e-12)
+        left[out[i]] = [a - b for a, b in zip(left[out[i]], need)]
+    return out
+
+
+def test_placement_equals_a_plain_packer():
+    rng = np.random.default_rng(2)
+    v = rng.integers(1, 10_000, (300, 3)).astype(float) ** 1.5
+    assert sharding.place(v, 8).tolist() == plain_pack(v.tolist(), 8)
+
+
+def test_a_large_group_without_ids_is_cut(spark):
+    df = spark.range(4000).selectExpr("cast(null AS long) AS doc_id", "'one text of all rows' AS text")
+    out = sharding.shard_documents(df).groupBy("shard").agg(F.sum("size").alias("b"), F.min("cut").alias("cut")).collect()
+    sizes = [r["b"] for r in out]
+    assert len(out) == 8 and max(sizes) < 1.2 * min(sizes) and all(r["cut"] for r in out)
+
+
+def test_a_tokenizer_of_other_rules_encodes_whole_texts(tmp_path):
+    import json
+
+    rules = json.loads(open(tokens.default_path(), encoding="utf-8").read())
+    assert tokens.by_words(rules)
+    rules["normalizer"] = None
+    other = tmp_path / "t.json"
+    other.write_text(json.dumps(rules))
+    assert not tokens.by_words(rules)
+    texts = ["Upper CASE words, and lower.", None, ""]
+    ids, at = tokens.encode(pa.array(texts), str(other))
+    t = tokens._load(str(other))[0]
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
