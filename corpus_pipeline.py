@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from asofkit.llm import jaccard, langid, mixing, packing, secrets
-from asofkit.llm.common import materialise
+from asofkit.llm.common import discard, materialise
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents near to a language's centroids; those that the identifier rejects go."""
+    """Documents near to a language's centroids; those that the identifier rejects go, as do null texts and such without a letter."""
     found = langid.identify(docs, langid.fit(docs.select("text", "lang")))
     return found.where(~F.col("rejected")).select("doc.*")
 
@@ -51,5 +51,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(before)  # the given table is none of those that are written here
     return STAGES[-1][1](spark, docs, sf_dir)
