@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from asofkit.functions.text import either_subsequence, tokens
+from asofkit.functions.text import either_subsequence, full_club, tokens
 
 
 def canonical(df: DataFrame, code: str, name: str, season: str) -> DataFrame:
@@ -118,3 +118,55 @@ def one_to_one(df: DataFrame, a: str, b: str) -> DataFrame:
     """Rows of which either side occurs with another partner too."""
     w = lambda c, o: F.size(F.collect_set(o).over(Window.partitionBy(c)))
     return df.withColumns({"_a": w(a, b), "_b": w(b, a)}).where("_a > 1 or _b > 1").drop("_a", "_b")
+
+
+def unmapped_names(names: DataFrame, crosswalk: DataFrame, name: str, aliases: str) -> DataFrame:
+    """The different names that no row of the crosswalk has among its aliases (an array column)."""
+    known = crosswalk.select(F.explode(aliases).alias(name)).distinct()
+    return names.where(F.col(name).isNotNull()).select(name).distinct().join(known, name, "left_anti")
+
+
+def collect_names(tables: dict[str, tuple[DataFrame, Sequence[str]]]) -> DataFrame:
+    """source and name of all different names in the given columns of each source's table."""
+    out = None
+    for source, (df, columns) in tables.items():
+        names = df.select(F.lit(source).alias("source"), F.explode(F.array(*[F.col(c) for c in columns])).alias("name")).where("name is not null")
+        out = names if out is None else out.unionByName(names)
+    return out.distinct()
+
+
+def team_crosswalk(teams: DataFrame) -> DataFrame:
+    """season, team_id, team_code and team_name of every season; a code with two names in one season, or a team with two codes, raises when it is read.
+
+    teams: season, team_id, code, name; a row without a name takes the latest name of its code.
+    """
+    rows = teams.select("season", "team_id", F.col("code").alias("team_code"), F.col("name").alias("team_name")).distinct()
+    latest = rows.where(F.col("team_name").isNotNull()).groupBy("team_code").agg(F.max_by("team_name", F.struct("season", "team_name")).alias("_latest"))
+    of = lambda *k: rows.groupBy(*k)
+    codes = of("season", "team_id").agg(F.min("team_code").alias("team_code"), (F.min("team_code") != F.max("team_code")).alias("_two"))
+    names = of("season", "team_code").agg(F.min("team_name").alias("_name"), (F.min("team_name") != F.max("team_name")).alias("_names"))
+    out = codes.join(names, ["season", "team_code"], "left").join(latest, "team_code", "left")
+    bad = F.raise_error(F.concat(F.lit("more than one name or code for team "), F.col("team_id").cast("string"), F.lit(" of "), F.col("season"))).cast("string")
+    wrong = F.coalesce(F.col("_two"), F.lit(False)) | F.coalesce(F.col("_names"), F.lit(False))
+    return out.select("season", "team_id", "team_code", F.when(wrong, bad).otherwise(F.coalesce("_name", "_latest")).alias("team_name"))
+
+
+def draft_external_names(teams: DataFrame, names: DataFrame, sources: Sequence[str]) -> DataFrame:
+    """team_code, team_name and for each source the array of its names that share a word with this club alone.
+
+    teams: team_code, team_name (one row a code). names: source, name. Short forms count as full names.
+    """
+    ours = teams.select("team_code", full_club(F.col("team_name")).alias("_full"))
+    theirs = names.select("source", F.col("name").alias("_alias"), full_club(F.col("name")).alias("_full"))
+    found = token_overlap(theirs.select(F.struct("source", "_alias").alias("_id"), "_full"), ours, "_id", "team_code", "_full")
+    per = [F.array_sort(F.collect_set(F.when(F.col("_id.source") == s, F.col("_id._alias")))).alias(s) for s in sources]
+    drafted = found.groupBy("team_code").agg(*per)
+    none = F.array().cast("array<string>")
+    return teams.select("team_code", "team_name").join(drafted, "team_code", "left").select("team_code", "team_name", *[F.coalesce(s, none).alias(s) for s in sources])
+
+
+def refresh_external_names(existing: DataFrame, draft: DataFrame, sources: Sequence[str]) -> DataFrame:
+    """The existing rows, their empty cells filled from the draft, and the draft's new codes; no filled cell changes."""
+    d = draft.select("team_code", F.col("team_name").alias("_n"), *[F.col(s).alias(f"_{s}") for s in sources])
+    both = existing.join(d, "team_code", "full")
+    return both.select("team_code", F.coalesce("team_name", "_n").alias("team_name"), *[F.when(F.size(F.coalesce(s, F.array().cast("array<string>"))) > 0, F.col(s)).otherwise(F.coalesce(f"_{s}", s)).alias(s) for s in sources])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from asofkit.functions.text import folded
+from asofkit.functions.text import folded, full_club
 from asofkit.operators import identity
 from asofkit.session import load
 
@@ -24,10 +24,10 @@ def crosswalk_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Two lists of names that agree in different ways.
-LEFT = "SELECT c_custkey AS id, concat('ana', CAST(c_custkey % 40 AS VARCHAR(9)), ' ', lower(c_mktsegment), ' b', CAST(c_custkey AS VARCHAR(9))) AS name FROM customer WHERE c_custkey <= 120"
+LEFT = "SELECT c_custkey AS id, concat('ana', CAST(c_custkey % 40 AS VARCHAR(9)), ' ', lower(c_mktsegment), ' b', CAST(c_custkey AS VARCHAR(9))) AS name FROM customer"
 RIGHT = """SELECT c_custkey AS other, CASE c_custkey % 4 WHEN 0 THEN concat('ana', CAST(c_custkey % 40 AS VARCHAR(9)), ' ', lower(c_mktsegment), ' b', CAST(c_custkey AS VARCHAR(9)))
  WHEN 1 THEN concat('anton b', CAST(c_custkey AS VARCHAR(9))) WHEN 2 THEN concat('b', CAST(c_custkey AS VARCHAR(9)), ' ', lower(c_mktsegment), ' ana', CAST(c_custkey % 40 AS VARCHAR(9)))
- ELSE 'nobody' END AS name FROM customer WHERE c_custkey <= 150"""
+ ELSE 'nobody' END AS name FROM customer"""
 
 
 @query(f"""WITH l AS ({LEFT}), r AS ({RIGHT}),
@@ -42,8 +42,8 @@ def match_multi_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.match_names(fold_(rows(spark, sf_dir, LEFT)), fold_(rows(spark, sf_dir, RIGHT)), "id", "other", "name", passes=(1, 2, 3))
 
 
-SHORT = "SELECT c_custkey AS id, concat('ana', CAST(c_custkey AS VARCHAR(9)), ' b', CAST(c_custkey % 7 AS VARCHAR(9))) AS name FROM customer WHERE c_custkey <= 100"
-LONG = "SELECT c_custkey AS other, concat('ana', CAST(c_custkey AS VARCHAR(9)), ' ', lower(c_mktsegment), ' b', CAST(c_custkey % 14 AS VARCHAR(9))) AS name FROM customer WHERE c_custkey <= 150"
+SHORT = "SELECT c_custkey AS id, concat('ana', CAST(c_custkey AS VARCHAR(9)), ' b', CAST(c_custkey % 7 AS VARCHAR(9))) AS name FROM customer"
+LONG = "SELECT c_custkey AS other, concat('ana', CAST(c_custkey AS VARCHAR(9)), ' ', lower(c_mktsegment), ' b', CAST(c_custkey % 14 AS VARCHAR(9))) AS name FROM customer"
 
 
 @query(f"""WITH l AS ({SHORT}), r AS ({LONG})
@@ -52,10 +52,43 @@ def match_token_subsequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.match_names(rows(spark, sf_dir, SHORT), rows(spark, sf_dir, LONG), "id", "other", "name", passes=(4,))
 
 
-@query(f"""WITH l AS (SELECT id, unnest(list_distinct(string_split(name, ' '))) AS w FROM ({SHORT})), r AS (SELECT other, unnest(list_distinct(string_split(name, ' '))) AS w FROM ({LONG}) WHERE other % 3 = 0)
-SELECT id, min(other) AS other FROM l JOIN r USING (w) GROUP BY id HAVING count(DISTINCT other) = 1""")
+#: Every second name shares its first word with one name at most; the others share theirs with many.
+ONE = "SELECT c_custkey AS id, concat('ana', CAST(c_custkey AS VARCHAR(9)), CASE WHEN c_custkey % 2 = 0 THEN ' solo' ELSE concat(' b', CAST(c_custkey % 7 AS VARCHAR(9))) END) AS name FROM customer"
+OTHER = "SELECT c_custkey AS other, CASE WHEN c_custkey % 5 = 0 THEN concat('b', CAST(c_custkey % 7 AS VARCHAR(9)), ' x') ELSE concat('zed ana', CAST(c_custkey AS VARCHAR(9))) END AS name FROM customer"
+
+
+@query(f"""WITH l AS (SELECT id, unnest(list_distinct(string_split(name, ' '))) AS w FROM ({ONE})), r AS (SELECT other, unnest(list_distinct(string_split(name, ' '))) AS w FROM ({OTHER})),
+k AS (SELECT w, min(other) AS lo, max(other) AS hi FROM r GROUP BY w)
+SELECT id, min(lo) AS other FROM l JOIN k USING (w) GROUP BY id HAVING min(lo) = max(hi)""")
 def match_token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identity.token_overlap(rows(spark, sf_dir, SHORT), rows(spark, sf_dir, LONG).where("other % 3 = 0"), "id", "other", "name")
+    return identity.token_overlap(rows(spark, sf_dir, ONE), rows(spark, sf_dir, OTHER), "id", "other", "name")
+
+
+@query("""SELECT DISTINCT s_name AS name FROM supplier WHERE s_name NOT IN (SELECT replace(c_name, 'Customer', 'Supplier') FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT 'nobody')""")
+def unmapped_source_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = load(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.array(F.replace("c_name", F.lit("Customer"), F.lit("Supplier")), F.lit("nobody")).alias("aliases"))
+    return identity.unmapped_names(load(spark, sf_dir, "supplier").select(F.col("s_name").alias("name")), known, "name", "aliases")
+
+
+#: Club names as different sources write them; the number makes a club of each customer.
+CLUBS = "SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'Man Utd' WHEN 1 THEN 'Brighton & Hove Albion F.C.' WHEN 2 THEN 'Stoke-on-Trent AFC' ELSE concat('Club ', CAST(c_custkey AS VARCHAR(9)), ' cf') END AS name FROM customer"
+
+
+@query(f"SELECT id, CASE id % 4 WHEN 0 THEN 'manchester united' WHEN 1 THEN 'brighton and hove albion' WHEN 2 THEN 'stoke on trent' ELSE concat('club ', CAST(id AS VARCHAR)) END AS club FROM ({CLUBS})")
+def club_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows(spark, sf_dir, CLUBS).select("id", full_club(F.col("name")).alias("club"))
+
+
+@query("""SELECT c_custkey AS team_code, concat('team ', CAST(c_custkey AS VARCHAR)) AS team_name, concat('t', CAST(c_custkey AS VARCHAR), ' united') AS alpha,
+ CASE WHEN c_custkey % 3 = 0 THEN concat('kept ', CAST(c_custkey AS VARCHAR)) ELSE '' END AS beta FROM customer""")
+def external_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("team_code"), F.concat(F.lit("team "), F.col("c_custkey").cast("string")).alias("team_name"))
+    full = c.withColumn("team_name", F.concat(F.lit("t"), F.col("team_code").cast("string"), F.lit(" city")))
+    names = c.select(F.lit("alpha").alias("source"), F.concat(F.lit("t"), F.col("team_code").cast("string"), F.lit(" united")).alias("name"))
+    draft = identity.draft_external_names(full, names, ["alpha", "beta"]).drop("team_name").join(c, "team_code").select("team_code", "team_name", "alpha", "beta")
+    kept = c.where("team_code % 3 = 0").select("team_code", "team_name", F.array().cast("array<string>").alias("alpha"), F.array(F.concat(F.lit("kept "), F.col("team_code").cast("string"))).alias("beta"))
+    out = identity.refresh_external_names(kept, draft, ["alpha", "beta"])
+    return out.select("team_code", "team_name", F.array_join("alpha", "; ").alias("alpha"), F.array_join("beta", "; ").alias("beta"))
 
 
 @query("""WITH e AS (SELECT c_custkey AS code, concat('kept ', c_name) AS name FROM customer WHERE c_custkey % 3 = 0), d AS (SELECT c_custkey AS code, c_name AS name FROM customer)

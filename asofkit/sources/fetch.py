@@ -130,9 +130,22 @@ def game_endpoints(base: str) -> dict[str, Endpoint]:
     }
 
 
-#: Headers that rating and match files must have.
-RATING_HEADER = ("Rank", "Club", "Country", "Level", "Elo", "From", "To")
-MATCH_HEADER = ("Date", "HomeTeam", "AwayTeam", "FTHG", "FTAG", "FTR")
+def rating_endpoint(base: str) -> Endpoint:
+    """Ratings of all clubs on a day."""
+    return Endpoint(f"{base}/{{date}}", header=("Rank", "Club", "Country", "Level", "Elo", "From", "To"))
+
+
+def result_endpoint(base: str) -> Endpoint:
+    """A division's results of a season, with odds where they are."""
+    return Endpoint(f"{base}/{{season}}/{{division}}.csv", header=("Date", "HomeTeam", "AwayTeam", "FTHG", "FTAG", "FTR"))
+
+
+def centre_endpoints(base: str) -> dict[str, Endpoint]:
+    """The match centre's season tables and single matches."""
+    return {
+        "league": Endpoint(f"{base}/getLeagueData/{{league}}/{{year}}", keys=("dates", "players")),
+        "match": Endpoint(f"{base}/getMatchData/{{match}}", keys=("rosters",)),
+    }
 
 
 def open_event(events: Sequence[Mapping], now, captured: set[int], first: int = 1) -> int | None:

@@ -7,7 +7,6 @@ import hashlib
 from collections.abc import Sequence
 from datetime import UTC, datetime
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,6 +40,11 @@ def _listed(spark: SparkSession, base: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
 
 
+def names(spark: SparkSession, base: str) -> list[str]:
+    """The names in a folder, in order; none if it is absent."""
+    return _listed(spark, base)
+
+
 def as_of_partitions(spark: SparkSession, base: str) -> list[str]:
     """The as_of=... directories under a folder, oldest first."""
     return [n for n in _listed(spark, base) if n.startswith("as_of=")]
@@ -77,11 +81,6 @@ def json_lists(spark: SparkSession, path: str, lists: Sequence[str]) -> dict[str
     return {n: doc.select(F.inline(n)) for n in lists if n in doc.columns}
 
 
-def json_rows(spark: SparkSession, path: str) -> DataFrame:
-    """A top-level list of JSON objects."""
-    return spark.read.json(path, multiLine=True)
-
-
 def read_chunks(spark: SparkSession, base: str, schema: str) -> DataFrame:
     """The records of all chunks, one JSON object a line; blank lines are skipped, broken ones raise."""
     lines = spark.read.text(f"{base}/chunk=*/*").where(F.trim("value") != "")
@@ -97,7 +96,7 @@ def read_raw(spark: SparkSession, base: str) -> DataFrame:
     bodies = spark.read.format("binaryFile").option("pathGlobFilter", "data.*").option("recursiveFileLookup", "true").load(base)
     metas = spark.read.format("binaryFile").option("pathGlobFilter", "meta.json").option("recursiveFileLookup", "true").load(base)
     folder = lambda c: F.regexp_replace(c, "/[^/]*$", "")
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in ("source", "endpoint", "season", "url", "fetched_at", "sha256", "content_type")])
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in ("source", "endpoint", "season", "url", "fetched_at", "sha256", "content_type")] + [T.StructField("params", T.MapType(T.StringType(), T.StringType()))])
     meta = metas.select(folder("path").alias("folder"), F.from_json(F.col("content").cast("string"), schema).alias("meta"))
 
     def unpack(frames):
@@ -117,12 +116,6 @@ def picks(records: DataFrame) -> DataFrame:
     return records.select("entry", "event", "fetched_at", F.coalesce("contaminated", F.lit(False)).alias("contaminated"), F.inline("payload.picks"))
 
 
-def rosters(documents: DataFrame, column: str = "rosters") -> DataFrame:
-    """One row a player of a map of side to a map of id to object; ``side`` is the outer key."""
-    kept = [c for c in documents.columns if c != column]
-    return documents.select(*kept, F.explode(column).alias("side", "_players")).select(*kept, "side", F.explode("_players").alias("roster_id", "_p")).select(*kept, "side", "roster_id", "_p.*")
-
-
 def rating_date(params_date: str, as_of: str):
     """The date of a rating, from its parameters or else from the capture; a malformed one raises."""
     given = F.col(params_date)
@@ -130,10 +123,6 @@ def rating_date(params_date: str, as_of: str):
     return F.when(given.isNotNull() & parsed.isNull(), F.raise_error(F.concat(F.lit("malformed date: "), given)).cast("date")).otherwise(F.coalesce(parsed, F.to_date(as_of_time(as_of))))
 
 
-def pandas_rows(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
-    return spark.createDataFrame(pd.DataFrame(rows), schema)
-
-
 def extract_seasons(archive: str, seasons: Sequence[str], names: Sequence[str]) -> dict[str, dict[str, bytes]]:
     """The named files of each season's folder in a tar.gz; a missing folder raises, a missing file is left out."""
     import tarfile

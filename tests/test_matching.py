@@ -1,32 +1,41 @@
 """Entity matching over whole tables, where tokens are shared by many names."""
 
-import re
-
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from asofkit.functions.text import folded
 from asofkit.operators import identity
-from asofkit.plans import entities, registry
+from asofkit.plans import registry
 
 DATA = "/root/testdata/sf0.01"
-IDS = re.compile(r" WHERE c_custkey <= \d+| WHERE other % 3 = 0")
 
 
-@pytest.mark.parametrize("name", ["match_multi_pass", "match_token_subsequence", "match_token_overlap"])
-def test_all_customers_equal_the_sql_without_its_id_filters(spark, name):
+@pytest.mark.parametrize("name", ["match_multi_pass", "match_token_subsequence", "match_token_overlap", "unmapped_source_names", "club_names", "external_names"])
+def test_all_rows_equal_the_sql_and_are_some(spark, name):
     c = duckdb.connect()
-    c.sql(f"CREATE VIEW customer AS FROM '{DATA}/customer.parquet'")
-    whole = lambda sql: registry.rows(spark, DATA, IDS.sub("", sql)).withColumn("name", folded("name"))
-    if name == "match_multi_pass":
-        got = identity.match_names(whole(entities.LEFT), whole(entities.RIGHT), "id", "other", "name", passes=(1, 2, 3))
-    elif name == "match_token_subsequence":
-        got = identity.match_names(whole(entities.SHORT), whole(entities.LONG), "id", "other", "name", passes=(4,))
-    else:
-        got = identity.token_overlap(whole(entities.SHORT), whole(entities.LONG), "id", "other", "name")
-    want = c.sql(IDS.sub("", registry.SQL[name]))
-    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
+    for t in ("customer", "supplier"):
+        c.sql(f"CREATE VIEW {t} AS FROM '{DATA}/{t}.parquet'")
+    want = c.sql(registry.SQL[name])
+    got = registry.QUERIES[name](spark, DATA).select(*want.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall()) and got
+
+
+def test_team_crosswalk_refuses_two_names(spark):
+    rows = [("2020-21", 1, 10, "A"), ("2021-22", 2, 10, None), ("2021-22", 3, 11, "B")]
+    df = spark.createDataFrame(rows, "season string, team_id long, code long, name string")
+    assert sorted(map(tuple, identity.team_crosswalk(df).collect())) == [("2020-21", 1, 10, "A"), ("2021-22", 2, 10, "A"), ("2021-22", 3, 11, "B")]
+    for more in (("2020-21", 1, 10, "C"), ("2020-21", 1, 12, "A")):
+        with pytest.raises(Exception, match="more than one"):
+            identity.team_crosswalk(df.union(spark.createDataFrame([more], df.schema))).collect()
+
+
+def test_collected_names_and_odd_variants(spark):
+    df = spark.createDataFrame([("x", "y"), ("x", None)], "home string, away string")
+    assert sorted(map(tuple, identity.collect_names({"s": (df, ["home", "away"])}).collect())) == [("s", "x"), ("s", "y")]
+    cross = spark.createDataFrame([(1, ["jo smith", "jo jones"]), (2, ["al ray", "bo dee"])], "code int, folded array<string>")
+    assert [r["code"] for r in identity.odd_variants(cross, "folded").collect()] == [2]
+    pairs = spark.createDataFrame([(1, 1), (1, 2), (3, 3)], "a int, b int")
+    assert identity.one_to_one(pairs, "a", "b").count() == 2
 
 
 def test_shared_tokens_make_no_product_of_pairs(spark, monkeypatch):

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import types as T
 
 from asofkit import cli
-from asofkit.sources import fetch, files, schedule, writers
+from asofkit.sources import captures, contracts, fetch, files, schedule, writers
 from asofkit.streaming import snapshots
 
 
@@ -65,13 +65,16 @@ def test_writers(spark, tmp_path):
     assert writers.markdown(spark.createDataFrame([(1, None, 0.5)], "a int, b string, c double")).splitlines()[-1] == "| 1 |  | 0.5000 |"
 
 
-SCHEDULE = """▪ League, Matchday 1
-  Tue Dec 9 2025
-    18:45  Athletic Club (ESP)  v  Arsenal FC (ENG)  0-2 (0-0)
-           PSV (NED)  v  Union (BEL)  1-3
-▪ Finals, Final
-  Wed Jan 21
-    21:00  Chelsea FC (ENG)  v  Arsenal FC (ENG)         4-3 pen. 1-1 a.e.t. (1-1, 0-1)
+SCHEDULE = """= Harbour Cup
+
+▪ Round of Six | Pool B
+Fri Nov 28 2025
+  9:05 North Pier (FJI) v Lake-on-Sea 2 (TUV)
+  Old Mill (KIR)  v  Salt Works (NRU)  2-2 (1-0)
+▪ Last Two
+Sat Feb 7
+ 20:30  Lake-on-Sea 2 (TUV)   v   Old Mill (KIR)    1-0 a.e.t.
+ no match (x) v here
 """
 
 
@@ -79,13 +82,13 @@ def test_schedule(spark, tmp_path):
     (tmp_path / "s.txt").write_text(SCHEDULE)
     got = [tuple(r)[2:] for r in schedule.parse(schedule.read_lines(spark, str(tmp_path / "s.txt"))).orderBy("n").collect()]
     assert [(str(d), *rest) for d, *rest in got] == [
-        ("2025-12-09", "League, Matchday 1", "Athletic Club", "ESP", "Arsenal FC", "ENG"),
-        ("2025-12-09", "League, Matchday 1", "PSV", "NED", "Union", "BEL"),
-        ("2026-01-21", "Finals, Final", "Chelsea FC", "ENG", "Arsenal FC", "ENG"),
+        ("2025-11-28", "Round of Six | Pool B", "North Pier", "FJI", "Lake-on-Sea 2", "TUV"),
+        ("2025-11-28", "Round of Six | Pool B", "Old Mill", "KIR", "Salt Works", "NRU"),
+        ("2026-02-07", "Last Two", "Lake-on-Sea 2", "TUV", "Old Mill", "KIR"),
     ]
 
 
-@pytest.mark.parametrize(("text", "error"), [("▪ R\n  18:45 A (ENG)  v  B (ENG)\n", "before any date"), ("Tue Sep 16 2025\n 18:45 A (ENG)  v  B (ENG)\n", "before any round"), ("▪ R\nTue Sep 16\n A (ENG)  v  B (ENG)\n", "no year")])
+@pytest.mark.parametrize(("text", "error"), [("▪ R\n 9:05 A (FJI) v B (TUV)\n", "without a day"), ("Fri Nov 28 2025\n A (FJI) v B (TUV)\n", "without a round"), ("▪ R\nFri Nov 28\n A (FJI) v B (TUV)\n", "year of this day")])
 def test_schedule_errors(spark, tmp_path, text, error):
     (tmp_path / "s.txt").write_text(text)
     with pytest.raises(Exception, match=error):
@@ -122,3 +125,52 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["version"]) == 0 and cli.main(["ingest"]) == 10 and cli.main(["nonsense"]) == 2
     assert cli.main(["--root", str(tmp_path), "facts"]) == 0 and cli.main(["--root", str(tmp_path), "check"]) == 0
     assert cli.main(["--root", str(tmp_path), "dataset"]) == 1
+
+
+def _replies(table):
+    """A fetcher that answers from a table of url endings; an absent one is a server error."""
+
+    def send(url, timeout):
+        found = next((v for k, v in table.items() if url.endswith(k)), None)
+        return fetch.Response(500, b"") if found is None else fetch.Response(200, found if isinstance(found, bytes) else json.dumps(found).encode())
+
+    return fetch.Fetcher(spacing=0, retries=0, send=send, sleep=lambda s: None)
+
+
+def test_leagues_are_read_page_by_page():
+    page = lambda ids, more: {"standings": {"results": [{"entry": i} for i in ids], "has_next": more}}
+    f = _replies({"page_standings=1": page(range(50), True), "page_standings=2": page(range(50, 70), False), "/entry/7/": {"id": 7, "leagues": {"classic": [{"id": 1, "league_type": "x", "name": "us"}, {"id": 2, "league_type": "s"}]}}})
+    assert captures.league_entries(f, "http://g", 9) == list(range(70)) and captures.league_entries(f, "http://g", 9, 30) == list(range(30))
+    assert captures.private_leagues(f, "http://g", 7) == [(1, "us")]
+
+
+def test_captures_resume(spark, tmp_path):
+    squads = {f"/entry/{i}/event/3/picks/": {"picks": [{"element": i, "position": 1}], "automatic_subs": [1] if i == 2 else []} for i in range(1, 6) if i != 4}
+    out = captures.ownership(_replies(squads), tmp_path, "http://g", "2025-26", 3, "elite", range(1, 6), size=2)
+    assert (out.asked, out.written, out.failed, out.complete) == (5, 2, (4,), False)
+    squads["/entry/4/event/3/picks/"] = {"picks": []}
+    again = captures.ownership(_replies(squads), tmp_path, "http://g", "2025-26", 3, "elite", range(1, 6), size=2)
+    assert (again.written, again.skipped, again.complete) == (1, 2, True)
+    match = captures.match_data(_replies({"Data/8": {"rosters": {}}}), tmp_path, fetch.centre_endpoints("http://c")["match"], "2025-26", [8, 8])
+    assert match.written == 1
+
+
+def test_rating_backfill_resumes(tmp_path):
+    days = captures.rating_dates([datetime(2025, 1, 3).date(), datetime(2025, 1, 3).date(), datetime(2025, 1, 4).date()])
+    assert [str(d) for d in days] == ["2025-01-02", "2025-01-03"]
+    body = b"Rank,Club,Country,Level,Elo,From,To\n1,A,ENG,1,1800.5,2025-01-01,2025-01-09\n"
+    at = lambda: datetime(2025, 5, 1, tzinfo=UTC)
+    end = fetch.rating_endpoint("http://r")
+    first = captures.backfill_ratings(_replies({"2025-01-02": body}), tmp_path, end, "2024-25", days, now=at)
+    assert (first.written, [str(d) for d in first.failed]) == (1, ["2025-01-03"])
+    then = captures.backfill_ratings(_replies({"2025-01-03": body}), tmp_path, end, "2024-25", days, now=at)
+    assert (then.written, then.skipped, then.complete) == (1, 1, True) and len(list((tmp_path / "raw/ratings/daily/2024-25").iterdir())) == 2
+
+
+def test_contracts_hold_and_an_unknown_season_raises():
+    assert contracts.merged_for("2016-17")[1].encoding == "cp1252" and set(contracts.MERGED) == set(contracts.ERAS.values())
+    assert contracts.PLAYERS.groups["expected"][0] == "starts" and contracts.FIXTURES.key == ("fixture_id",)
+    with pytest.raises(KeyError, match="2031-32"):
+        contracts.merged_for("2031-32")
+    with pytest.raises(fetch.ShapeError):
+        fetch.result_endpoint("http://m").fetch(_replies({"E0.csv": b"Date,HomeTeam\n"}), season="2425", division="E0")
