@@ -55,8 +55,11 @@ def missing(df: DataFrame, columns: Sequence[str], flag: str | None = None) -> D
 
 
 def cardinality(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Distinct values, null counting as one."""
-    return summarise(df, columns, {"n_unique": lambda c: F.count_distinct(c) + F.max(c.isNull().cast("long"))})
+    """Distinct values, null counting as one; counted in two steps, so no row is repeated for each column of a wide aggregate."""
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in columns])))
+    found = long.groupBy("column", "v").agg(F.lit(1).alias("one")).groupBy("column").agg(F.count("*").alias("n_unique"))
+    every = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    return every.join(found, "column", "left").select("column", F.coalesce("n_unique", F.lit(0)).cast("long").alias("n_unique"))
 
 
 def shape(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -116,23 +119,25 @@ def nearest_quantile(df: DataFrame, column: str, shares: Sequence[float]) -> Dat
 
 
 def outliers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Values outside the linearly interpolated quartiles by 1.5 of their range, and beyond 3 sample deviations."""
-    ordered = ordered_counts(long_form(df, columns))
+    """Values outside the linearly interpolated quartiles by 1.5 of their range, and beyond 3 sample deviations.
+
+    The limits, one row a column, become literals of a last pass that counts without a shuffle of rows.
+    """
     at = {q: F.lit(q) * (F.col("total") - 1) for q in (0.25, 0.75)}
-    found = at_places(ordered, {f"{side}{round(q * 100)}": f(p) for q, p in at.items() for side, f in (("l", F.floor), ("h", F.ceil))})
+    found = at_places(ordered_counts(long_form(df, columns)), {f"{side}{round(q * 100)}": f(p) for q, p in at.items() for side, f in (("l", F.floor), ("h", F.ceil))})
     between = lambda q: F.col(f"l{q}") + (F.col(f"h{q}") - F.col(f"l{q}")) * (q / 100 * (F.col("n") - 1) - F.floor(q / 100 * (F.col("n") - 1)))
-    limits = found.select("column", "n", between(25).alias("q1"), between(75).alias("q3"))
+    limits = {r["column"]: r for r in found.select("column", between(25).alias("q1"), between(75).alias("q3")).collect()}
     d = lambda c: c.cast("double")
-    moments = summarise(df, columns, {"mean": lambda c: F.avg(d(c)), "sd": lambda c: F.stddev_samp(d(c))})
-    bounds = F.broadcast(moments.join(limits, "column", "left"))  # one row a column
-    spread = F.col("q3") - F.col("q1")
-    counted = bounds.join(ordered.select("column", "v", F.col("n").alias("c")), "column", "left")
-    add = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("c"))), F.lit(0))
-    return counted.groupBy("column").agg(
-        add((F.col("v") < F.col("q1") - 1.5 * spread) | (F.col("v") > F.col("q3") + 1.5 * spread)).alias("iqr_outliers"),
-        add(F.abs(F.col("v") - F.col("mean")) > 3 * F.col("sd")).alias("z_outliers"),
-        F.coalesce(F.max("n"), F.lit(0)).alias("n"),
-    )
+    moments = df.agg(*[F.avg(d(F.col(c))).alias(f"m_{c}") for c in columns], *[F.stddev_samp(d(F.col(c))).alias(f"s_{c}") for c in columns]).first()
+    made = []
+    for c in columns:
+        v, r = F.col(c).cast("double"), limits.get(c)
+        spread = 1.5 * (r["q3"] - r["q1"]) if r else 0.0
+        wide = F.count_if((v < r["q1"] - spread) | (v > r["q3"] + spread)) if r else F.lit(0).cast("long")
+        m, sd = moments[f"m_{c}"], moments[f"s_{c}"]
+        far = F.count_if(F.abs(v - m) > 3 * sd) if m is not None and sd is not None else F.lit(0).cast("long")
+        made += [wide.alias(f"iqr_outliers__{c}"), far.alias(f"z_outliers__{c}"), F.count(v).alias(f"n__{c}")]
+    return _long(df.agg(*made), columns, dict.fromkeys(("iqr_outliers", "z_outliers", "n")))
 
 
 def safe_corr(a: Column, b: Column) -> Column:
@@ -157,13 +162,52 @@ def pearson_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return row.select(F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(pairs)])))
 
 
+def pearson_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """a, b, n and r of all pairs of columns in order, over each pair's complete rows, for many columns.
+
+    Each partition sends sums of products of values and of their presence, four matrices of one row
+    a column; values are taken from their means first, which keeps the sums small.
+    """
+    k = len(columns)
+    means = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    centre = np.array([m if m is not None and np.isfinite(m) else 0.0 for m in means])
+
+    def gram(frames):
+        import pandas as pd
+
+        total = np.zeros((4, k, k))
+        for pdf in frames:
+            x = pdf.to_numpy(float) - centre
+            some = np.isfinite(x).astype(float)
+            x = np.where(some > 0, x, 0.0)
+            total += np.stack([some.T @ some, x.T @ some, (x * x).T @ some, x.T @ x])
+        yield pd.DataFrame({"part": np.repeat(np.arange(4), k), "row": np.tile(np.arange(k), 4), "sums": list(total.reshape(-1, k))})
+
+    parts = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).mapInPandas(gram, "part int, row int, sums array<double>")
+    g = np.zeros((4, k, k))
+    add = F.array(*[F.sum(F.get("sums", F.lit(i))) for i in range(k)])
+    for r in parts.groupBy("part", "row").agg(add.alias("s")).collect():  # 4 * k rows
+        g[r["part"], r["row"]] = r["s"]
+    n, sx, sxx, sxy = g
+    with np.errstate(all="ignore"):
+        cov = sxy / n - (sx / n) * (sx.T / n)
+        var = np.maximum(sxx / n - (sx / n) ** 2, 0.0)
+        r = cov / np.sqrt(var * var.T)
+    ok = (n >= 2) & (var > 1e-12 * np.maximum(1.0, sxx / np.maximum(n, 1))) & (var.T > 1e-12 * np.maximum(1.0, sxx.T / np.maximum(n, 1)))
+    rows = [(columns[i], columns[j], int(n[i, j]), float(np.clip(r[i, j], -1, 1)) if ok[i, j] else None) for i in range(k) for j in range(i + 1, k)]
+    return df.sparkSession.createDataFrame(rows, "a string, b string, n long, r double")
+
+
 def ranked(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The columns replaced by their average ranks over their own values, found by value."""
-    out = df
-    for c in columns:
-        own = ordered_counts(long_form(df, [c])).select(F.col("v").alias("_v"), (F.col("before") + (F.col("n") + 1) / 2.0).alias("_r"))
-        out = out.join(own, F.col(c).cast("double") == F.col("_v"), "left").withColumn(c, F.col("_r")).drop("_v", "_r")
-    return out
+    """The columns replaced by their average ranks over their own values, found by value, all at once.
+
+    Rows without any value are left out. Equal values of one column meet as one row on the side of
+    the ranks; AQE splits a value that most rows have.
+    """
+    item = lambda c: F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v"))
+    long = df.select(F.monotonically_increasing_id().alias("_i"), F.inline(F.array(*map(item, columns)))).where("v is not null")
+    own = ordered_counts(long_form(df, columns)).select("column", "v", (F.col("before") + (F.col("n") + 1) / 2.0).alias("_r"))
+    return long.join(own, ["column", "v"]).groupBy("_i").agg(*[F.max(F.when(F.col("column") == c, F.col("_r"))).alias(c) for c in columns]).drop("_i")
 
 
 def spearman_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -179,14 +223,20 @@ def high_pairs(pairs: DataFrame, above: float = 0.9, nulls_first: bool = False)
 def target_correlation(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
     """Pearson and Spearman correlation of each column with the target over their complete pairs.
 
-    The ranks are within the pairs of each column.
+    The ranks are within the pairs of each column, found by value, so no task orders a column.
     """
     t = F.col(target).cast("double")
     long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x"), t.alias("y")) for c in columns]))).where("x is not null and y is not null")
-    w = long.withColumns({"rx": average_rank("x", "column"), "ry": average_rank("y", "column")})
+    rank = lambda v, out: ordered_counts(long.select("column", F.col(v).alias("v"))).select("column", F.col("v").alias(v), (F.col("before") + (F.col("n") + 1) / 2.0).alias(out))
+    w = long.join(rank("x", "rx"), ["column", "x"]).join(rank("y", "ry"), ["column", "y"])
     return w.groupBy("column").agg(F.count("*").alias("n"), safe_corr(F.col("x"), F.col("y")).alias("pearson"), safe_corr(F.col("rx"), F.col("ry")).alias("spearman"))
 
 
+def sample(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """``n`` rows in the order of a seeded hash of all their columns: the same rows for the same table, however it is partitioned."""
+    return df.orderBy(F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in df.columns])).limit(n)
+
+
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, list[str]]:
     """Pearson's matrix of the rows complete in all columns that have values; returns it with those columns.
 

@@ -11,6 +11,8 @@ from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .explore import at_places, long_form, ordered_counts
+
 
 def usable(df: DataFrame, columns: Sequence[str], masked: Sequence[str] = ()) -> list[str]:
     """The columns that have values and aren't among the masked ones."""
@@ -34,9 +36,11 @@ class Prepared:
 
 def prepare(df: DataFrame, features: Sequence[str]) -> Prepared:
     """Fit on ``df``: exact medians, an indicator for each feature with nulls, population deviations (1 if 0)."""
-    med = df.agg(*[F.median(F.col(c).cast("double")).alias(c) for c in features], *[F.count_if(F.col(c).isNull()).alias(f"n_{c}") for c in features]).first()
-    medians = {c: float(med[c] if med[c] is not None else 0.0) for c in features}
-    indicators = [c for c in features if med[f"n_{c}"]]
+    lost = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in features]).first()
+    middle = (F.col("total") - 1) / 2
+    found = at_places(ordered_counts(long_form(df, features)), {"lo": F.floor(middle), "hi": F.ceil(middle)}).collect()  # one row a feature
+    medians = dict.fromkeys(features, 0.0) | {r["column"]: (r["lo"] + r["hi"]) / 2 for r in found}
+    indicators = [c for c in features if lost[c]]
     cols = {c: F.coalesce(F.col(c).cast("double"), F.lit(medians[c])) for c in features} | {f"{c}_missing": F.col(c).isNull().cast("double") for c in indicators}
     stats = df.agg(*[F.avg(v).alias(f"m_{k}") for k, v in cols.items()], *[F.stddev_pop(v).alias(f"s_{k}") for k, v in cols.items()]).first()
     return Prepared(medians, indicators, {k: (float(stats[f"m_{k}"] or 0), float(stats[f"s_{k}"] or 0) or 1.0) for k in cols})

@@ -89,16 +89,23 @@ def team_facts(fixtures: DataFrame, ratings: DataFrame, odds: DataFrame, others:
         rated = pit.asof_strict(rated, ratings.withColumnRenamed("team", who), who, "match_date", "as_of_date", ["elo"]).withColumnRenamed("elo", name)
     counted = pit.range_counts(rated, others, "team", "kickoff_time", DAYS).withColumnsRenamed({f"count_{n}": f"fixture_count_prior_{n}_days" for n in DAYS})
     win, draw, loss = facts.devig([F.col("own_0"), F.col("odds_d"), F.col("other_0")])
-    priced = facts.either_side(odds.select("season", "home", "away", "match_date", "odds_h", "odds_d", "odds_a"), "home", "away", [("odds_h", "odds_a")])
-    priced = priced.select("season", "team", "opponent", "match_date", win.alias("odds_win_prob"), draw.alias("odds_draw_prob"), loss.alias("odds_loss_prob"))
-    out = counted.join(priced.dropDuplicates(["season", "team", "opponent", "match_date"]), ["season", "team", "opponent", "match_date"], "left")
+    row = ["row"] if "row" in odds.columns else []
+    priced = facts.either_side(odds.select("season", "home", "away", "match_date", "odds_h", "odds_d", "odds_a", *row), "home", "away", [("odds_h", "odds_a")])
+    priced = priced.withColumns({"odds_h": F.col("own_0"), "odds_a": F.col("other_0")})
+    priced = priced.select("season", "team", "opponent", "match_date", "odds_h", "odds_d", "odds_a", *row, win.alias("odds_win_prob"), draw.alias("odds_draw_prob"), loss.alias("odds_loss_prob"))
+    # Of several prices of one match the first by ``row`` counts, or else the one of the lowest odds.
+    first = ["row"] if "row" in odds.columns else ["odds_h", "odds_d", "odds_a"]
+    priced = facts.dedupe_first(priced, ["season", "team", "opponent", "match_date"], first)
+    out = counted.join(priced, ["season", "team", "opponent", "match_date"], "left")
     return out.withColumnsRenamed({"team": "team_id", "opponent": "opponent_team_id"}).select(*TEAM_KEY, "opponent_team_id", "was_home", *CONTEXT)
 
 
 def points(player: DataFrame, rules: str) -> DataFrame:
-    """The thirteen points terms of each row, their total, and the published total."""
+    """The thirteen points terms of each row, their total, and the published total; negative minutes raise when they are read."""
+    bad = F.raise_error(F.concat(F.lit("negative minutes: "), F.to_json(F.struct(*PLAYER_KEY)))).cast("bigint")
+    minutes = F.when(F.col("minutes") < 0, bad).otherwise(F.col("minutes"))
     row: dict[str, Column] = {
-        "position": F.col("position"), "minutes": F.col("minutes"), "goals": F.col("goals_scored"), "assists": F.col("assists"), "conceded": F.col("goals_conceded"),
+        "position": F.col("position"), "minutes": minutes, "goals": F.col("goals_scored"), "assists": F.col("assists"), "conceded": F.col("goals_conceded"),
         "clearances": F.col("cbi"), "tackles": F.col("tackles"), "recoveries": F.col("recoveries"), "bonus": F.col("bonus_published"),
         **{c: F.col(c) for c in ("saves", "penalties_saved", "penalties_missed", "yellow_cards", "red_cards", "own_goals")},
     }

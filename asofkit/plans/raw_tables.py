@@ -120,17 +120,16 @@ def picks(spark: SparkSession, root: str, season: str) -> Lines:
 
 
 def archive(spark: SparkSession, root: str, season: str) -> Lines:
-    """The merged statistics of a season, with positions and teams from its list of players where they lack."""
+    """The merged statistics of a season, with the stable codes, and where they lack positions and teams, from its list of players."""
     latest = _latest(spark, root, "archive", "merged", season)
     if latest is None:
         return [Staged("player_fixture_stats", None, "no merged statistics")]
     era, spec = C.merged_for(season)
     raw = files.read_csv(spark, f"{latest}/data.csv.gz", spec.encoding)
-    players, listed = None, _latest(spark, root, "archive", "players", season)
-    if era in C.NEED_PLAYERS:
-        if listed is None:
-            return [Staged(spec.table, None, "its layout needs the list of players")]
-        players = files.read_csv(spark, f"{listed}/data.csv.gz", spec.encoding)
+    listed = _latest(spark, root, "archive", "players", season)
+    if listed is None and era in C.NEED_PLAYERS:
+        return [Staged(spec.table, None, "its layout needs the list of players")]
+    players = None if listed is None else files.read_csv(spark, f"{listed}/data.csv.gz", spec.encoding)
     kept, dropped = staging.stage_merged(raw, players)
     df, report = stage(kept, spec, season=season)
     note = f"left out {dropped.managers} managers, {dropped.duplicates} copies, {dropped.postponed} postponed; {_note(report)}"

@@ -78,19 +78,26 @@ def derive_teams(ours: DataFrame, theirs: DataFrame, expected: int = 20) -> Data
     return found.select("team_id", "name", "votes")
 
 
-def features_as_of(player: DataFrame, fixtures: DataFrame, registered: DataFrame, team: DataFrame, as_of: str, events: int) -> DataFrame:
+def features_as_of(player: DataFrame, fixtures: DataFrame, registered: DataFrame, team: DataFrame, as_of: str, events: int, season: str | None = None) -> DataFrame:
     """Features of every registered player for every fixture of their team in the first events after a cut-off.
 
     History is what kicked off before ``as_of``; the team is resolved by the fixture's own fact,
     else the latest earlier one, else the registration as of then. The team's context of the
-    target fixture is read as it is, and labels aren't gated by the cut-off.
+    target fixture is read as it is, and labels aren't gated by the cut-off. ``season`` is that of
+    the fixtures and registrations (those without a season column are taken to be of it); numbers
+    of teams and events begin anew in each, so they are never compared across seasons.
     """
     cut = F.lit(as_of).cast("timestamp")
+    if season is not None:
+        fixtures = fixtures.where(F.col("season") == season)
+        registered = registered.where(F.col("season") == season) if "season" in registered.columns else registered
     ahead = pit.horizon(fixtures, "kickoff_time", "event", as_of, events)
     known = player.where(F.col("kickoff_time") < cut)
     roster = registered.where(F.col("as_of_ts") <= cut).groupBy("player_id").agg(F.max_by(F.struct("player_code", "position", "team_id"), "as_of_ts").alias("_r")).select("player_id", "_r.*")
-    exact = player.join(ahead.select("season", "fixture_id"), ["season", "fixture_id"], "left_semi")
-    resolved = pit.resolve_three(roster, exact, known, "player_id", "team_id", "kickoff_time", as_of)
+    now = player.where(F.col("season") == season) if season is not None else player
+    exact = now.join(ahead.select("season", "fixture_id"), ["season", "fixture_id"], "left_semi")
+    earlier = known.where(F.col("season") == season) if season is not None else known
+    resolved = pit.resolve_three(roster, exact, earlier, "player_id", "team_id", "kickoff_time", as_of)
     sides = facts.either_side(ahead.select("season", "fixture_id", "event", "kickoff_time", "team_h", "team_a"), "team_h", "team_a", [])
     target = resolved.join(sides.withColumnsRenamed({"team": "team_id", "opponent": "opponent_team_id"}), "team_id")
     # All targets share the history before the cut-off: they stand in one block after it.
