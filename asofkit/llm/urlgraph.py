@@ -67,17 +67,29 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float, tolerance: flo
     m is what passed a host, and score is scaled, as what hosts without links would keep returns to
     the seeds. Every step is a written table, so a lost executor repeats one step at most.
     """
-    steps = [materialise(seeds.select("kind", "host", F.col("mass").alias("m")), "walk")]
+    at = materialise(seeds.select("kind", "host", F.col("mass").alias("m")), "walk")
+    gone = [at]  # steps that are not in the sum yet; ten at a time keep the plan small
+    total: DataFrame | None = None
+
+    def added(parts: list[DataFrame]) -> DataFrame:
+        out = materialise(reduce(DataFrame.unionByName, parts).groupBy("kind", "host").agg(F.sum("m").alias("m")), "ranks")
+        for p in parts:
+            if p is not at:
+                discard(p)
+        return out
+
     enough = steps_for(damping, tolerance)
     for _ in range(enough if max_steps is None else min(enough, max_steps)):
         # A host's mass, not their sum: of exposures every host may have much.
-        if (steps[-1].agg(F.max("m")).first()[0] or 0.0) == 0.0:
+        if (at.agg(F.max("m")).first()[0] or 0.0) == 0.0:
             break
-        at = steps[-1].withColumnRenamed("host", "src")
-        steps.append(materialise(at.join(edges, ["kind", "src"]).groupBy("kind", F.col("dst").alias("host")).agg(F.sum(F.col("m") * F.col("share") * damping).alias("m")), "walk"))
-    total = materialise(reduce(DataFrame.unionByName, steps).groupBy("kind", "host").agg(F.sum("m").alias("m")), "ranks")
-    for s in steps:
-        discard(s)
+        src = at.withColumnRenamed("host", "src")
+        at = materialise(src.join(edges, ["kind", "src"]).groupBy("kind", F.col("dst").alias("host")).agg(F.sum(F.col("m") * F.col("share") * damping).alias("m")), "walk")
+        gone.append(at)
+        if len(gone) == 10:
+            total, gone = added([*gone[:-1], *([total] if total is not None else [])]), [at]
+    total = added([*gone, *([total] if total is not None else [])])
+    discard(at)
     whole = {r["kind"]: r["m"] for r in total.groupBy("kind").agg(F.sum("m").alias("m")).collect()}  # one row a kind
     scale = reduce(lambda c, k: F.when(F.col("kind") == k, F.lit(1.0 / whole[k])).otherwise(c), whole, F.lit(1.0))
     return total.select("kind", "host", "m", (F.col("m") * scale).alias("score"))
