@@ -205,7 +205,8 @@ def ranked(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     the ranks; AQE splits a value that most rows have.
     """
     item = lambda c: F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v"))
-    long = df.select(F.monotonically_increasing_id().alias("_i"), F.inline(F.array(*map(item, columns)))).where("v is not null")
+    # Numbered before the values are dealt out, so that a row's values keep one number.
+    long = df.withColumn("_i", F.monotonically_increasing_id()).select("_i", F.inline(F.array(*map(item, columns)))).where("v is not null")
     own = ordered_counts(long_form(df, columns)).select("column", "v", (F.col("before") + (F.col("n") + 1) / 2.0).alias("_r"))
     return long.join(own, ["column", "v"]).groupBy("_i").agg(*[F.max(F.when(F.col("column") == c, F.col("_r"))).alias(c) for c in columns]).drop("_i")
 

@@ -221,3 +221,18 @@ def test_team_facts(spark):
     assert len(out) == 4 and out[(1, 10)]["elo_rating"] == 1500.0 and out[(2, 20)]["opponent_elo_rating"] == 1600.0
     assert out[(2, 10)]["fixture_count_prior_7_days"] == 2 and out[(2, 20)]["fixture_count_prior_7_days"] == 1
     assert out[(2, 10)]["odds_win_prob"] == 0.5 and out[(2, 20)]["odds_loss_prob"] == 0.5 and out[(1, 10)]["odds_win_prob"] is None
+
+
+def test_matrix_of_pairs_and_ranks_and_sample(spark):
+    rows = [(i % 7, float(i * i % 11), None if i % 3 == 0 else i % 5, 4) for i in range(60)]
+    df = spark.createDataFrame(rows, "a int, b double, c int, d int")
+    every = ["a", "b", "c", "d"]
+    near = lambda x: {(r["a"], r["b"]): None if r["r"] is None else round(r["r"], 9) for r in x.collect()}
+    assert near(explore.pearson_matrix(df, every)) == near(explore.pearson_pairs(df, every))
+    got = sorted(tuple(-1.0 if v is None else v for v in r) for r in explore.ranked(df, every).collect())
+    pdf = df.toPandas().rank(method="average").fillna(-1.0)
+    assert got == sorted(map(tuple, pdf.to_numpy().tolist()))
+    one, two = (sorted(map(str, explore.sample(d, 9, 3).collect())) for d in (df, df.repartition(7)))
+    assert one == two and len(one) == 9
+    wide = df.select("*", *[(F.col("b") * (i % 4 + 1) + F.col("a") * i).alias(f"x{i}") for i in range(120)])
+    assert explore.pearson_matrix(wide, wide.columns).count() == 124 * 123 // 2
