@@ -77,7 +77,24 @@ def target_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(explore.target_correlation(rows(spark, sf_dir, NUMBERS), ("a", "c", "d", "e"), "b"))
 
 
-@query()
+def _det(m: list[list[str]]) -> str:
+    """SQL of a determinant, by its first row."""
+    if len(m) == 1:
+        return m[0][0]
+    return "(" + " ".join(f"{'-' if j % 2 else '+'} {x} * {_det([r[:j] + r[j + 1 :] for r in m[1:]])}" for j, x in enumerate(m[0])) + ")"
+
+
+def _without(m: list[list[str]], i: int) -> list[list[str]]:
+    return [r[:i] + r[i + 1 :] for k, r in enumerate(m) if k != i]
+
+
+#: The columns with a variance. A diagonal element of an inverse is a quotient of determinants.
+_VARY = COLUMNS[:4]
+_R = [["1" if a == b else f"r{min(a, b)}{max(a, b)}" for b in _VARY] for a in _VARY]
+
+
+@query(f"WITH r AS (SELECT {', '.join(f'corr({a}, {b}) AS r{a}{b}' for a, b in _PAIRS if b in _VARY)} FROM ({NUMBERS}) WHERE {' AND '.join(f'{c} IS NOT NULL' for c in _VARY)}) "
+       + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", round({_det(_without(_R, i))} / {_det(_R)}, 6) AS vif FROM r" for i, c in enumerate(_VARY)))
 def vif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(explore.variance_inflation(rows(spark, sf_dir, NUMBERS), COLUMNS))
 
@@ -110,10 +127,10 @@ def poisson_deviance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(rows(spark, sf_dir, SCORED).groupBy("season").agg(evaluate.deviance(F.col("y") + 2, F.col("p"))))
 
 
-@query(f"""WITH t AS (SELECT *, CASE WHEN y <= 0 THEN 'zeros' WHEN y <= 3 THEN 'blanks' WHEN y <= 8 THEN 'tickers' ELSE 'haulers' END AS bucket FROM ({SCORED}) WHERE y <= 8)
-SELECT 'overall' AS bucket, {_ERR} FROM t UNION ALL SELECT bucket, {_ERR} FROM t GROUP BY bucket UNION ALL SELECT 'haulers', 0, NULL, NULL""")
+@query(f"""WITH t AS (SELECT *, CASE WHEN y <= 0 THEN 'zeros' WHEN y <= 3 THEN 'blanks' WHEN y <= 8 THEN 'tickers' ELSE 'haulers' END AS bucket FROM ({SCORED}))
+SELECT 'overall' AS bucket, {_ERR} FROM t UNION ALL SELECT bucket, {_ERR} FROM t GROUP BY bucket""")
 def bucket_error_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(evaluate.bucket_report(rows(spark, sf_dir, SCORED).where("y <= 8"), "y", "p"))
+    return _round(evaluate.bucket_report(rows(spark, sf_dir, SCORED), "y", "p"))
 
 
 @query(f"""SELECT season, month, count(*) AS n, {_CORR.replace('(x', '(rx').replace('(y', '(ry').replace(', y)', ', ry)')} AS spearman FROM (SELECT season, month,
@@ -136,14 +153,47 @@ def _segments(d: DataFrame) -> list[str]:
     return sorted(r[0] for r in d.select("segment").distinct().collect())  # positions or the like: a few
 
 
-@query()
+#: Features as prepared: medians in place of nulls, an indicator, and standard scores z1 to z4; z0 is the constant.
+_K = range(1, 5)
+_PREPARED = f"""t AS ({MODELLED}), m AS (SELECT segment, quantile_cont(x2, 0.5) AS middle FROM t GROUP BY segment),
+f AS (SELECT t.*, x1 AS f1, coalesce(x2, middle) AS f2, x3 AS f3, CAST(x2 IS NULL AS DOUBLE) AS f4 FROM t JOIN m USING (segment)),
+s AS (SELECT segment, count(*) AS n, avg(y) AS my, avg(c) AS mc, {", ".join(f"avg(f{i}) AS m{i}, stddev_pop(f{i}) AS s{i}" for i in _K)} FROM f GROUP BY segment),
+z AS MATERIALIZED (SELECT f.*, n, my, mc, 1.0 AS z0, {", ".join(f"(f{i} - m{i}) / s{i} AS z{i}" for i in _K)} FROM f JOIN s USING (segment))"""
+
+
+def _solved(m: str, v: str, k: range) -> str:
+    """SQL of the solution of a system with the matrix m11, m12 and so on and the right side v1 and so on, by Cramer's rule."""
+    a = [[f"{m}{min(i, j)}{max(i, j)}" for j in k] for i in k]
+    with_v = lambda c: [[f"{v}{i}" if j == c else x for j, x in zip(k, r)] for i, r in zip(k, a)]
+    return ", ".join(f"{_det(with_v(c))} / {_det(a)} AS w{c}" for c in k)
+
+
+_RIDGE = f"""WITH {_PREPARED}, g AS (SELECT segment, {", ".join(f"sum(z{i} * z{j}) + {int(i == j)} AS m{i}{j}" for i in _K for j in _K if i <= j)}, {", ".join(f"sum(z{i} * (y - my)) AS v{i}" for i in _K)} FROM z GROUP BY segment),
+w AS (SELECT segment, {_solved("m", "v", _K)} FROM g) SELECT id, line, round(my + {" + ".join(f"w{i} * z{i}" for i in _K)}, 4) AS prediction FROM z JOIN w USING (segment)"""
+
+
+@query(_RIDGE)
 def ridge_by_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = rows(spark, sf_dir, MODELLED)
     fitted = {s: models.fit_ridge(d.where(F.col("segment") == s), ["x1", "x2", "x3"], "y") for s in _segments(d)}
     return d.select("id", "line", F.round(models.by_segment(d, "segment", fitted), 4).alias("prediction"))
 
 
-@query()
+def _newton(steps: int) -> str:
+    """Newton's steps from a constant prediction, for the likelihood with half the squared weights off for each row."""
+    k = range(5)
+    out = ["w0 AS (SELECT segment, ln(mc) AS w0, 0.0 AS w1, 0.0 AS w2, 0.0 AS w3, 0.0 AS w4 FROM s)"]
+    eta = " + ".join(f"w{i} * z{i}" for i in k)
+    for t in range(steps):
+        m = ", ".join(f"sum(mu * z{i} * z{j}) + {'any_value(n)' if i == j > 0 else 0} AS m{i}{j}" for i in k for j in k if i <= j)
+        v = ", ".join(f"sum((c - mu) * z{i}) - {f'any_value(n * w{i})' if i else 0} AS v{i}" for i in k)
+        out.append(f"g{t} AS MATERIALIZED (SELECT segment, {m}, {v} FROM (SELECT *, exp({eta}) AS mu FROM z JOIN w{t} USING (segment)) GROUP BY segment)")
+        out.append(f"d{t} AS (SELECT segment, {_solved('m', 'v', k)} FROM g{t})")
+        out.append(f"w{t + 1} AS MATERIALIZED (SELECT w.segment, {', '.join(f'w.w{i} + d.w{i} AS w{i}' for i in k)} FROM w{t} w JOIN d{t} d USING (segment))")
+    return ", ".join(out) + f" SELECT id, line, round(greatest(0, least(1, x1 * 2 / 90)) * exp({eta}), 4) AS prediction FROM z JOIN w{steps} USING (segment)"
+
+
+@query(f"WITH {_PREPARED}, {_newton(8)}")
 def poisson_by_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = rows(spark, sf_dir, MODELLED)
     fitted = {s: models.fit_poisson(d.where(F.col("segment") == s), ["x1", "x2", "x3"], "c") for s in _segments(d)}

@@ -236,3 +236,9 @@ def test_matrix_of_pairs_and_ranks_and_sample(spark):
     assert one == two and len(one) == 9
     wide = df.select("*", *[(F.col("b") * (i % 4 + 1) + F.col("a") * i).alias(f"x{i}") for i in range(120)])
     assert explore.pearson_matrix(wide, wide.columns).count() == 124 * 123 // 2
+
+
+def test_bucket_without_rows_counts_none(spark):
+    df = spark.createDataFrame([(0.0, 1.0), (2.0, None), (9.0, 7.0)], "y double, p double")
+    got = {r["bucket"]: (r["n"], r["mae"]) for r in evaluate.bucket_report(df, "y", "p").collect()}
+    assert got == {"overall": (2, 1.5), "zeros": (1, 1.0), "blanks": (0, None), "tickers": (0, None), "haulers": (1, 2.0)}
