@@ -484,6 +484,22 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     )
 
 
+#: All pairs of different word sequences that share a shingle, compared exactly; class by class as in ``similar``.
+OP2_SQL = r"""
+WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+class AS MATERIALIZED (SELECT row_number() OVER () AS c, w, min(doc_id) AS least, count(*) AS members FROM w WHERE len(w) > 0 GROUP BY w),
+each AS MATERIALIZED (SELECT c, unnest(list_distinct(list_transform(range(1, greatest(len(w) - 1, 2)), lambda i: array_to_string(w[i:i + 2], ' ')))) AS g FROM class),
+size AS MATERIALIZED (SELECT c, count(*) AS n FROM each GROUP BY c),
+link AS MATERIALIZED (SELECT x.c AS a, y.c AS b FROM each x JOIN size p ON p.c = x.c JOIN each y ON y.g = x.g AND y.c <> x.c JOIN size q ON q.c = y.c
+ WHERE 100 * least(p.n, q.n) >= 90 * greatest(p.n, q.n) GROUP BY x.c, y.c HAVING 100 * count(*) >= 90 * (any_value(p.n) + any_value(q.n) - count(*))),
+reach AS (SELECT c AS a, c AS b FROM class UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b),
+part AS (SELECT a AS c, min(least) AS component_id FROM reach JOIN class ON class.c = reach.b GROUP BY a),
+other AS (SELECT a AS c, sum(members) AS links FROM link JOIN class ON class.c = link.b GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, CASE WHEN n > 0 THEN component_id ELSE doc_id END AS component_id, CAST(coalesce(members - 1 + coalesce(links, 0), 0) AS BIGINT) AS n_links
+ FROM w LEFT JOIN class USING (w) LEFT JOIN size USING (c) LEFT JOIN part USING (c) LEFT JOIN other USING (c)
+"""
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar(table(spark, sf_dir, "documents"), width=3, percent=90).drop("text_hash")
 

@@ -17,4 +17,4 @@ QUERIES = {
     "op10_link_graph": urlgraph.op10_link_graph,
 }
 
-SQL = {"op3_poisson_mixing": mixing.OP3_SQL, "op5_threshold_topk": topk.OP5_SQL}
+SQL = {"op2_jaccard_join": jaccard.OP2_SQL, "op3_poisson_mixing": mixing.OP3_SQL, "op5_threshold_topk": topk.OP5_SQL}

@@ -108,7 +108,7 @@ def test_secrets_odd_rows(odd, empty):
     assert out.where("doc_id = 4").first()["text"] is None
 
 
-@pytest.mark.parametrize("name", ["op3_poisson_mixing", "op5_threshold_topk"])
+@pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_queries_equal_their_sql(spark, name):
     c = duckdb.connect()
     for t in ("documents", "embeddings"):
