@@ -35,7 +35,7 @@ def rows(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 
 def _load_all() -> None:
-    from . import entities, fact_tables, point_in_time, quality, scoring, statistics  # noqa: F401
+    from . import domain, entities, fact_tables, point_in_time, quality, scoring, statistics  # noqa: F401
 
 
 _load_all()

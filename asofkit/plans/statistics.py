@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from asofkit.operators import evaluate, explore, models
 
-from .registry import query, rows
+from .registry import SQL, query, rows
 
 NUMBERS = """SELECT l_orderkey AS id, l_quantity AS a, l_extendedprice AS b, CASE WHEN l_orderkey % 4 <> 0 THEN l_discount END AS c, CASE WHEN l_partkey % 3 <> 0 THEN l_tax + l_quantity / 100 END AS d,
  CAST(7 AS DOUBLE) AS e, l_returnflag <> 'N' AS obs_x FROM lineitem"""
@@ -62,6 +62,11 @@ def pearson_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(explore.pearson_pairs(rows(spark, sf_dir, NUMBERS), COLUMNS))
 
 
+@query(f"SELECT a, b, r FROM ({SQL['pearson_pairs']}) WHERE abs(r) > 0.5")
+def high_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return explore.high_pairs(_round(explore.pearson_pairs(rows(spark, sf_dir, NUMBERS), COLUMNS)), 0.5)
+
+
 def _rank(c: str) -> str:
     return f"CASE WHEN {c} IS NOT NULL THEN rank() OVER (PARTITION BY {c} IS NULL ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 END AS {c}"
 
