@@ -40,10 +40,10 @@ def first_of_runs(a: np.ndarray) -> np.ndarray:
 
 
 def ranks(a: np.ndarray) -> np.ndarray:
-    """Dense numbers of the values, equal for equal ones."""
+    """Dense 32-bit numbers of the values, equal for equal ones."""
     order = np.argsort(a, kind="stable")
-    out = np.empty(len(a), np.int64)
-    out[order] = np.cumsum(first_of_runs(a[order])) - 1
+    out = np.empty(len(a), np.int32)
+    out[order] = np.cumsum(first_of_runs(a[order]), dtype=np.int32) - np.int32(1)
     return out
 
 
@@ -73,26 +73,35 @@ def shingle(texts: pa.Array, width: int, hashes: bool = True) -> Shingles:
     """Distinct shingles of ``width`` words; a text of fewer words has its whole sequence as one."""
     values, offsets = split_words(texts)
     coded = values.dictionary_encode()
-    c = coded.indices.to_numpy().astype(np.int64) + 1  # 0 stands for no word
+    del values
+    # An Arrow array of texts has fewer than 2^31 words, so places and numbers fit 32 bits.
     v = len(coded.dictionary) + 1
+    padded = np.zeros(len(coded) + width, np.int32)
+    padded[: len(coded)] = coded.indices.to_numpy()
+    padded[: len(coded)] += 1  # 0 stands for no word
+    words = np.r_[np.uint64(0), pd.util.hash_array(np.array(coded.dictionary.to_pylist() or [""], object), categorize=False)] if hashes else None
+    del coded
     n_texts, lengths = len(offsets) - 1, np.diff(offsets)
     n = np.where(lengths == 0, 0, np.maximum(lengths - width + 1, 1))
-    doc = np.repeat(np.arange(n_texts), n)
-    first = np.repeat(offsets[:-1], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    stop = offsets[1:][doc]
-    padded = np.r_[c, np.zeros(width, np.int64)]
-    words = np.r_[np.uint64(0), pd.util.hash_array(np.array(coded.dictionary.to_pylist() or [""], object), categorize=False)] if hashes else None
-    acc, h, reach = np.zeros(len(first), np.int64), np.zeros(len(first), np.uint64), 1
+    doc = np.repeat(np.arange(n_texts, dtype=np.int32), n)
+    first = np.arange(n.sum(), dtype=np.int32) + np.repeat((offsets[:-1] - (np.cumsum(n) - n)).astype(np.int32), n)
+    stop = offsets[1:].astype(np.int32)[doc]
+    acc, h, reach = np.zeros(len(first), np.int64), np.zeros(len(first) if hashes else 0, np.uint64), 1
     for j in range(width):
-        at = np.where(first + j < stop, padded[first + j], 0)
+        at = np.where(first + np.int32(j) < stop, padded[first + np.int32(j)], np.int32(0))
         if reach * v >= 1 << 62:
-            acc = ranks(acc)
+            acc = ranks(acc).astype(np.int64)
             reach = int(acc.max(initial=0)) + 1
-        acc, reach = acc * v + at, reach * v
+        acc *= v
+        acc += at
+        reach *= v
         if hashes:
             h = mix(h + np.uint64(0x9E3779B97F4A7C15)) + words[at]
+    del first, stop, at, padded
     ids = ranks(acc)
-    key = doc * (int(ids.max(initial=0)) + 1) + ids
+    del acc
+    key = doc * np.int64(int(ids.max(initial=0)) + 1) + ids
     order = np.argsort(key, kind="stable")
     order = order[first_of_runs(key[order])]
-    return Shingles(n_texts, doc[order], ids[order], mix(h[order]) if hashes else h[:0])
+    del key
+    return Shingles(n_texts, doc[order], ids[order], mix(h[order]) if hashes else h)
