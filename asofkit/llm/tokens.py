@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import release
+
 #: Words held in a worker's cache before it is emptied.
 CACHE_WORDS = 300_000
 #: ASCII punctuation but the apostrophe, which may begin an ending like 's.
@@ -56,6 +58,7 @@ def _load(path: str):
         t.encode_special_tokens = True  # their strings in a text are ordinary text
         with open(path, encoding="utf-8") as f:
             _loaded[path] = (t, t.model, {}, by_words(json.load(f)))
+        release()  # the parsed file is large
     return _loaded[path]
 
 
