@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, katz, langid, mixing, packing, secrets, sharding, topk, ts, urlgraph
+from . import collocations, jaccard, katz, langid, mixing, negatives, packing, secrets, sharding, topk, toxicity, ts, urlgraph
 
 QUERIES = {
     "op1_vector_sharding": sharding.op1_vector_sharding,
@@ -15,6 +15,15 @@ QUERIES = {
     "op8_katz_backoff": katz.op8_katz_backoff,
     "op9_nearest_centroid": langid.op9_nearest_centroid,
     "op10_link_graph": urlgraph.op10_link_graph,
+    "op11_radix_negatives": negatives.op11_radix_negatives,
+    "op12_toxic_segments": toxicity.op12_toxic_segments,
+    "op13_collocations": collocations.op13_collocations,
 }
 
-SQL = {"op2_jaccard_join": jaccard.OP2_SQL, "op3_poisson_mixing": mixing.OP3_SQL, "op5_threshold_topk": topk.OP5_SQL}
+SQL = {
+    "op2_jaccard_join": jaccard.OP2_SQL,
+    "op3_poisson_mixing": mixing.OP3_SQL,
+    "op5_threshold_topk": topk.OP5_SQL,
+    "op11_radix_negatives": negatives.OP11_SQL,
+    "op13_collocations": collocations.OP13_SQL,
+}
