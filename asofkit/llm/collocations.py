@@ -28,8 +28,6 @@ from .words import first_of_runs, mix, slices
 BREAK = r"[.,;:!?\x0A-\x0D]"
 #: Bytes of text in a block, and words whose phrases meet in one shard, about.
 BLOCK_BYTES, SHARD_WORDS = 5_000_000, 1_000_000
-#: Candidates ranked by one task, about.
-RANKED = 200_000
 
 
 class PerfectHash:
@@ -329,9 +327,9 @@ def phrases(docs: DataFrame, longest: int = 3, least: int = 10, keep: int = 2000
         out = level if out is None else out.unionByName(level)
     if out is None:
         raise ValueError("phrases have two words at least")
-    # The best of each part first, so that no task ranks a whole language.
+    # The best of each part first, so that no task ranks a whole language; so many parts that both steps take alike.
     best = [F.desc("score"), F.desc("a"), "phrase"]
-    parts = max(1, math.ceil(sum(x.count() for x in levels) / RANKED))
+    parts = max(1, math.ceil(2 * math.sqrt(sum(x.count() for x in levels) / keep)))
     dealt = out.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(parts)))
     some = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*best))).where(F.col("rank") <= keep)
     ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best)).cast("long")).where(F.col("rank") <= keep)

@@ -34,6 +34,8 @@ ENCODINGS = (
 )
 #: Bins of p; the first edge is the least cut. A cut is raised on this many standard errors.
 BINS, SURE = 100, 3.0
+#: Items that one fold over an array takes.
+CHUNK = 64
 
 
 def with_value(value: Column, use) -> Column:
@@ -41,20 +43,48 @@ def with_value(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def chunked(items: Column) -> Column:
+    """An array as an array of arrays of CHUNK items (one empty one for an empty array)."""
+    parts = F.greatest(F.ceil(F.size(items) / CHUNK).cast("int"), F.lit(1))
+    return F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.slice(items, j * CHUNK + 1, F.lit(CHUNK)))
+
+
+def running(values: Column, zero: int, merge) -> Column:
+    """The running result of an associative merge over an array of int.
+
+    Each chunk is folded alone and what came before it is merged in after, so no array grows with a
+    text's matches, as it would in one fold, and the work is nearly linear in them.
+    """
+    start = F.lit(zero)
+
+    def inside(chunk: Column) -> Column:
+        def step(s: Column, v: Column) -> Column:
+            return with_value(merge(s["at"], v), lambda m: F.struct(m.alias("at"), F.concat(s["all"], F.array(m)).alias("all")))
+
+        return F.aggregate(chunk, F.struct(start.alias("at"), F.array().cast("array<int>").alias("all")), step)
+
+    def carried(folds: Column) -> Column:
+        def join(ends: Column) -> Column:
+            def after(fold: Column, j: Column) -> Column:
+                return with_value(F.aggregate(F.slice(ends, F.lit(1), j), start, merge), lambda before: F.transform(fold["all"], lambda v: merge(before, v)))
+
+            return F.flatten(F.transform(folds, after))
+
+        return with_value(F.transform(folds, lambda f: f["at"]), join)
+
+    return with_value(values, lambda v: with_value(F.transform(chunked(v), inside), carried))
+
+
 def located(text: Column, pattern: str) -> Column:
     """All leftmost non-overlapping matches as structs (start, end, match), in code points."""
     empty = F.array().cast("array<struct<start:int,end:int,match:string>>")
 
-    def step(s: Column, x: Column) -> Column:
-        start = s["at"] + x["gap"]
-        end = start + F.char_length(x["m"])
-        return F.struct(end.alias("at"), F.concat(s["all"], F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("match")))).alias("all"))
-
     def placed(found: Column) -> Column:
         # The pieces between matches and the matches themselves, in turn, make up the text.
-        pairs = F.zip_with(found, F.split(text, pattern, -1), lambda m, gap: F.struct(F.char_length(gap).alias("gap"), m.alias("m")))
-        folded = F.aggregate(F.slice(pairs, 1, F.size(found)), F.struct(F.lit(0).alias("at"), empty.alias("all")), step)["all"]
-        return F.when(F.size(found) == 0, empty).otherwise(folded)
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+        ends = running(F.zip_with(found, gaps, lambda m, gap: F.char_length(m) + F.char_length(gap)), 0, lambda a, b: a + b)
+        at = F.zip_with(found, ends, lambda m, end: F.struct((end - F.char_length(m)).alias("start"), end.alias("end"), m.alias("match")))
+        return F.when(F.size(found) == 0, empty).otherwise(at)
 
     return with_value(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
 
@@ -135,15 +165,16 @@ def band(length: Column) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """Structs (start, end, length, p, match) of the tokens that have an encoding: whole runs and their parts."""
+    """Structs (start, end, length, p, match, whole) of the tokens that have an encoding: whole runs and their parts."""
 
     def tested(m: Column) -> Column:
-        return with_value(battery(m["match"]), lambda b: F.struct(m["start"].alias("start"), m["end"].alias("end"), b["length"].alias("length"), b["p"].alias("p"), m["match"].alias("match")))
+        fields = [m[c].alias(c) for c in ("match", "whole")]
+        return with_value(battery(m["match"]), lambda b: F.struct(m["start"].alias("start"), m["end"].alias("end"), b["length"].alias("length"), b["p"].alias("p"), *fields))
 
     def pieces(m: Column) -> Column:
         parts = F.filter(located(m["match"], PART), lambda x: x["match"] != m["match"])
-        placed = F.transform(parts, lambda x: F.struct((m["start"] + x["start"]).alias("start"), (m["start"] + x["end"]).alias("end"), x["match"].alias("match")))
-        return F.concat(F.array(m), placed)
+        placed = F.transform(parts, lambda x: F.struct((m["start"] + x["start"]).alias("start"), (m["start"] + x["end"]).alias("end"), x["match"].alias("match"), F.lit(False).alias("whole")))
+        return F.concat(F.array(F.struct(m["start"].alias("start"), m["end"].alias("end"), m["match"].alias("match"), F.lit(True).alias("whole"))), placed)
 
     runs = F.flatten(F.transform(located(text, CANDIDATE), pieces))
     return F.filter(F.transform(runs, tested), lambda c: c["p"].isNotNull())
@@ -184,30 +215,43 @@ def thresholds(docs: DataFrame, rate: float = 0.05) -> dict[int, float]:
     return {b: cut_of(n, rate) for b, n in sorted(out.items())}
 
 
-def spans(text: Column, cuts: dict[int, float]) -> Column:
-    """All spans as structs (start, kind, end), sorted; kind is the place in KINDS.
+def with_spans(docs: DataFrame, cuts: dict[int, float]) -> DataFrame:
+    """Each row as ``doc``, its text (never null), and all spans as structs (start, kind, end), sorted; kind is the place in KINDS.
 
     Tokens that the battery finds are added where they touch no span of the fixed patterns, and
-    parts only where their whole run is not found.
+    parts only where their whole run is not found. Base spans and tokens are brought into one order; what
+    reaches into a token from before or begins within it is told by running results over that order.
     """
-    assign = F.filter(located(text, ASSIGN), lambda m: F.char_length(F.regexp_extract(m["match"], ASSIGN, 2)) >= ASSIGN_LEAST)
-    base = F.concat(spans_of(assign, 0), spans_of(located(text, ACCESS), 1), spans_of(located(text, HEX), 2))
-    least = F.lit(2.0)
-    found = candidates(text)
-
-    def joined(base: Column) -> Column:
-        def passes(c: Column) -> Column:
-            cut = least
-            for b, x in cuts.items():
-                cut = F.when(band(c["length"]) == b, x).otherwise(cut)
-            return (c["p"] >= cut) & ~F.exists(base, lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"]))
+    text, far = F.col("text"), (1 << 31) - 1
+    most, least = lambda a, b: F.greatest(a, b), lambda a, b: F.least(a, b)
 
-        def outer(ok: Column) -> Column:
-            return F.filter(ok, lambda c: ~F.exists(ok, lambda w: (w["start"] <= c["start"]) & (c["end"] <= w["end"]) & (w["match"] != c["match"])))
+    def cut_for(length: Column) -> Column:
+        cut = F.lit(2.0)
+        for b, x in cuts.items():
+            cut = F.when(band(length) == b, x).otherwise(cut)
+        return cut
 
-        return F.array_sort(F.concat(base, spans_of(with_value(F.filter(found, passes), outer), 3)))
+    def item(x: Column, order: int, fit: Column, whole: Column) -> Column:
+        return F.struct(x["start"].alias("start"), F.lit(order).alias("order"), (-x["end"]).alias("back"), x["end"].alias("end"), fit.alias("fit"), whole.alias("whole"))
 
-    return with_value(base, joined)
+    # Step by step, as columns nested any deeper take Spark long to resolve.
+    assign = F.filter(located(text, ASSIGN), lambda m: F.char_length(F.regexp_extract(m["match"], ASSIGN, 2)) >= ASSIGN_LEAST)
+    df = docs.select(F.struct("*").alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    df = df.withColumn("base", F.array_sort(F.concat(spans_of(assign, 0), spans_of(located(text, ACCESS), 1), spans_of(located(text, HEX), 2))))
+    df = df.withColumn("tokens", candidates(text))
+    fixed = F.transform("base", lambda s: item(s, 0, F.lit(False), F.lit(False)))
+    tokens = F.transform("tokens", lambda c: item(c, 1, c["p"] >= cut_for(c["length"]), c["whole"]))
+    # Base spans first where they start alike, and of the tokens longer ones first.
+    df = df.withColumn("items", F.array_sort(F.concat(fixed, tokens))).drop("tokens")
+    df = df.withColumn("reach", running(F.transform("items", lambda x: F.when(x["order"] == 0, x["end"]).otherwise(0)), 0, most))
+    ahead = running(F.transform(F.reverse("items"), lambda x: F.when(x["order"] == 0, x["start"]).otherwise(far)), far, least)
+    around = F.zip_with("reach", F.reverse(ahead), lambda a, b: F.struct(a.alias("reach"), b.alias("ahead")))
+    free = F.zip_with("items", around, lambda x, y: F.when((x["order"] == 1) & x["fit"] & (y["reach"] <= x["start"]) & (y["ahead"] >= x["end"]), x))
+    df = df.withColumn("free", F.filter(free, lambda x: x.isNotNull())).drop("items", "reach")
+    # Runs come before their parts, and don't overlap.
+    within = running(F.transform("free", lambda x: F.when(x["whole"], x["end"]).otherwise(0)), 0, most)
+    outer = F.filter(F.zip_with("free", within, lambda x, end: F.when(x["whole"] | (end < x["end"]), x)), lambda x: x.isNotNull())
+    return df.select("doc", "text", F.array_sort(F.concat("base", spans_of(outer, 3))).alias("spans"))
 
 
 def as_text(found: Column) -> Column:
@@ -218,11 +262,10 @@ def as_text(found: Column) -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id and the sorted spans of all secrets in each whole text.
 
-    Null and empty texts have no spans; ids may be null or repeat; extra columns are ignored; an
-    empty table gives an empty result.
+    Null and empty texts have no spans; a very long text is scanned whole, in time nearly linear in its
+    matches; ids may be null or repeat; extra columns are ignored; an empty table gives an empty result.
     """
-    cuts = thresholds(docs)
-    return docs.select("doc_id", spans(F.coalesce(F.col("text").cast("string"), F.lit("")), cuts).alias("spans"))
+    return with_spans(docs.select("doc_id", "text"), thresholds(docs)).select("doc.doc_id", "spans")
 
 
 def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
@@ -231,26 +274,25 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     All columns stay; n_chars, if there is one, is counted anew where text was replaced. Texts
     without spans, null ones too, stay as they are.
     """
-    cuts = thresholds(docs)
+    df = with_spans(docs, thresholds(docs))
     text = F.col("text")
-    found = spans(F.coalesce(text.cast("string"), F.lit("")), cuts)
-
-    def replaced(found: Column) -> Column:
-        def step(s: Column, x: Column) -> Column:
-            new = x["start"] >= s["at"]
-            return F.struct(
-                F.greatest(s["at"], x["end"]).alias("at"),
-                F.when(new, F.concat(s["out"], F.substr(text, s["at"] + 1, x["start"] - s["at"]), F.lit(mask))).otherwise(s["out"]).alias("out"),
-            )
-
-        done = F.aggregate(found, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-        return F.when(F.size(found) == 0, text).otherwise(F.concat(done["out"], F.substr(text, done["at"] + 1, F.char_length(text))))
-
-    out = docs.withColumn("text", with_value(found, replaced))
+    # A span counts from where the ones before it end; what lies between is copied, a chunk of spans from one part of the text.
+    df = df.withColumn("reach", running(F.transform("spans", lambda s: s["end"]), 0, lambda a, b: F.greatest(a, b)))
+    before = F.concat(F.array(F.lit(0)), F.slice("reach", F.lit(1), F.greatest(F.size("spans") - 1, F.lit(0))))
+    edges = F.zip_with("spans", before, lambda s, at: F.struct(at.alias("at"), s["start"].alias("start"), s["end"].alias("end")))
+    df = df.withColumn("edges", F.filter(edges, lambda s: s["start"] >= s["at"]))
+
+    def chunk(c: Column) -> Column:
+        low = F.element_at(c, 1)["at"]
+        part = F.substr(text, low + 1, F.element_at(c, -1)["start"] - low)
+        return with_value(part, lambda p: F.array_join(F.transform(c, lambda s: F.concat(F.substr(p, s["at"] - low + 1, s["start"] - s["at"]), F.lit(mask))), ""))
+
+    masked = F.concat(F.array_join(F.transform(chunked(F.col("edges")), chunk), ""), F.substr(text, F.array_max("reach") + 1, F.char_length(text)))
+    df = df.withColumn("masked", F.when(F.size("spans") == 0, F.col("doc.text")).otherwise(masked))
+    columns = {c: F.col(f"doc.`{c}`") for c in docs.columns} | {"text": F.col("masked")}
     if "n_chars" in docs.columns:
-        changed = F.coalesce(docs["n_chars"].cast("long"), F.lit(None))
-        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), changed).otherwise(F.char_length("text").cast("long")))
-    return out
+        columns["n_chars"] = F.when(F.col("masked").isNull(), F.col("doc.n_chars").cast("long")).otherwise(F.char_length("masked").cast("long"))
+    return df.select(*[v.alias(c) for c, v in columns.items()])
 
 
 def op6_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -150,9 +150,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 60_000, prior: fl
 
     Documents are chosen by a hash of their id among those with a label that aren't held out. Each
     different text counts once, as toxic if most of its labels are. Words that toxic texts have
-    significantly often are then counted once for each pair of neighbours, so that a passage that
-    many texts share counts once, however often it was copied; they must be significant again, and
-    these counts give their scores. At most ``words`` are kept.
+    significantly often are then counted once for each different neighbour, on the side that has fewer of them,
+    so that a passage that many texts share counts once, however often it was copied; they
+    must be significant again, and these counts give their scores. At most ``words`` are kept.
     The tail is measured on clean texts of one half, with word scores of the other half.
     """
     labelled = labels.where(_usable(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("_id")).agg((F.avg("toxic") >= 0.5).cast("int").alias("_toxic"))
@@ -188,12 +188,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 60_000, prior: fl
     picked = seen.where(_significant(seen, "t", "c", rate, tests)).orderBy(F.desc("t"), "word").limit(words)
     wanted = frozenset(r["word"] for r in picked.select("word").collect())
 
-    def contexts(ws: list[str]) -> set[tuple[str, int]]:
+    def neighbours(ws: list[str]) -> set[tuple[str, int]]:
         around = ["", *ws, ""]
-        return {(w, crc32(f"{around[i]} {around[i + 2]}".encode())) for i, w in enumerate(ws) if w in wanted}
+        return {(w, side << 32 | crc32(around[i + 2 * side].encode())) for i, w in enumerate(ws) if w in wanted for side in (0, 1)}
 
-    once = count(contexts).groupBy("word", "place").agg(*[F.sum(c).alias(c) for c in four])
-    counts = materialise(both(once.groupBy("word").agg(*[F.count_if(F.col(c) > 0).alias(c) for c in four])), "toxic-contexts")
+    once = count(neighbours).groupBy("word", "place").agg(*[F.sum(c).alias(c) for c in four])
+    once = both(once.groupBy("word", F.shiftright("place", 32).alias("side")).agg(*[F.count_if(F.col(c) > 0).alias(c) for c in four]))
+    counts = materialise(once.groupBy("word").agg(*[F.min(c).alias(c) for c in (*four, "t", "c")]), "toxic-neighbours")
     scores, scores0 = _lexicon(counts, "t", "c", rate, prior, words, tests), _lexicon(counts, "t0", "c0", rate0, prior, words, tests)
     drift, drift0 = _drift(rate, prior), _drift(rate0, prior)
     trial = Model(scores0, drift0, rate0, 1.0, 1.0)

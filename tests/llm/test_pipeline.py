@@ -1,6 +1,7 @@
 from collections import Counter
 
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline as pipeline
 from asofkit.llm import jaccard, tokens
@@ -33,7 +34,7 @@ def test_stages_do_what_they_say(spark, documents):
     before, after = seen["mixing"]
     assert after.join(before, before.columns, "left_anti").count() == 0
     before, after = seen["packing"]
-    t = tokens._load(tokens.default_path())[0]
+    t = Tokenizer.from_file(tokens.default_path())
     copies = Counter(r["doc_id"] for r in before.collect())
     want = sum(copies[d] * (len(t.encode(x, add_special_tokens=False).ids) + 1) for d, x in {r["doc_id"]: r["text"] for r in before.collect()}.items())
     assert after.agg(F.sum("length")).first()[0] == want

@@ -32,7 +32,7 @@ TRICKY = [
 
 def test_base_spans_equal_the_patterns(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(TRICKY)], "doc_id long, text string")
-    for r in df.select("text", secrets.spans(F.coalesce("text", F.lit("")), {}).alias("s")).collect():
+    for r in secrets.with_spans(df, {}).select("doc.text", F.col("spans").alias("s")).collect():
         assert [tuple(s) for s in r["s"]] == by_hand(r["text"]), r["text"]
 
 
@@ -96,7 +96,7 @@ def test_parts_of_runs_are_tested(spark):
     df = spark.createDataFrame([(i, a + t) for i, (a, t) in enumerate(made)], "i int, text string")
     out = {r["i"]: {r["text"][s["start"] : s["end"]] for s in r["s"]} for r in df.select("i", "text", secrets.candidates(F.col("text")).alias("s")).collect()}
     assert all(t in out[i] for i, (_, t) in enumerate(made))
-    found = df.select("i", secrets.spans(F.col("text"), dict.fromkeys(range(3, 8), 0.0)).alias("s")).orderBy("i").collect()
+    found = secrets.with_spans(df, dict.fromkeys(range(3, 8), 0.0)).select("doc.i", F.col("spans").alias("s")).orderBy("i").collect()
     assert [[(s["start"], s["end"]) for s in r["s"]] for r in found][0] == [(len(made[0][0]), sum(map(len, made[0])))]
 
 

@@ -1,8 +1,11 @@
+import unicodedata
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from asofkit.llm import packing, sharding, tokens
 
@@ -34,17 +37,26 @@ def test_sharding_odd_rows(odd, empty):
     assert sharding.shard_documents(empty).count() == 0
 
 
-def test_tokens_equal_the_library(texts):
-    t = tokens._load(tokens.default_path())[0]
+@pytest.fixture(scope="module")
+def plain():
+    """The library's tokenizer as the file gives it."""
+    return Tokenizer.from_file(tokens.default_path())
+
+
+def test_tokens_equal_the_library(texts, plain):
+    t = plain
+    marks = [c for c in map(chr, range(0x110000)) if not 0xD800 <= ord(c) < 0xE000 and unicodedata.category(c.lower()[-1])[0] == "M"]
     some = [*list(texts.values())[:40], "it's we're 'S x's. don't. É É. ΣΑΣ İx a_b n't) .x 日本語。 １２. re're", "", " ", None, "a  b\u00a0c\n<|endoftext|>."]
+    some += ["a <|endoftext|> b", "<|startoftext|>a<|endoftext|>", "A <|ENDOFTEXT|> b", "<|endoftext|><|endoftext|>.", "<|end oftext|>", "İ. İ... x İ.", " ".join(f"a{c}. {c}..." for c in marks)]
+    some += [" ".join(f"{c}. x{c}!" for c in map(chr, range(lo, lo + 0x400)) if c.isprintable()) for lo in range(0xA0, 0x3000, 0x400)]
     ids, at = tokens.encode(pa.array(some), tokens.default_path())
     for i, s in enumerate(some):
-        assert ids[at[i] : at[i + 1]].tolist() == t.encode(s or "", add_special_tokens=False).ids, s
+        assert ids[at[i] : at[i + 1]].tolist() == t.encode(s or "", add_special_tokens=False).ids, (s or "")[:80]
 
 
-def test_packing_is_whole_and_tight(documents, texts):
+def test_packing_is_whole_and_tight(documents, texts, plain):
     out = packing.pack(documents).toPandas()
-    t = tokens._load(tokens.default_path())[0]
+    t = plain
     for doc, rows in out.sort_values("piece").groupby("doc_id"):
         ids = np.array([*t.encode(texts[doc], add_special_tokens=False).ids, 0], "<u4")
         at = 0
@@ -123,5 +135,5 @@ def test_a_tokenizer_of_other_rules_encodes_whole_texts(tmp_path):
     assert not tokens.by_words(rules)
     texts = ["Upper CASE words, and lower.", None, ""]
     ids, at = tokens.encode(pa.array(texts), str(other))
-    t = tokens._load(str(other))[0]
+    t = Tokenizer.from_file(str(other))
     assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
