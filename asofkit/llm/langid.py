@@ -46,7 +46,7 @@ class Model:
 
     def vectors(self, texts: list[str | None], chunk: int = 256):
         """Unit TF-IDF vectors and n-gram counts, some texts at a time."""
-        place = np.full(1 << 24, -1, np.int16)
+        place = np.full(1 << 24, -1, np.int32)
         place[self.grams] = np.arange(len(self.grams))
         d = len(self.grams)
         while texts:
@@ -143,7 +143,7 @@ def fit(train: DataFrame, per_language: int = 400, features: int = 4096, cluster
 
     each = sample.mapInArrow(frequencies, "lang string, gram int").groupBy("lang", "gram").agg(F.count("*").alias("n"))
     ranked = each.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")))
-    wanted = min(max(features, 256 * len(counts)), 32_767)
+    wanted = max(features, 256 * len(counts))
     common = ranked.groupBy("gram").agg(F.min("rank").alias("rank"), F.sum("n").alias("n")).orderBy("rank", F.desc("n"), "gram").limit(wanted).collect()
     if not common:
         discard(sample)
