@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from .ranges import Cut, plus
+
 WINDOWS = (3, 5, 10)
 
 
@@ -31,7 +33,7 @@ def rate(total: Column, minutes: Column, per: float = 90.0) -> Column:
 
 def trailing(
     df: DataFrame, key: Sequence[str], block: str, order: Sequence[str], stats: Sequence[str], minutes: str,
-    windows: Sequence[int] = WINDOWS, masks: Mapping[str, str] | None = None, to_date: bool = True,
+    windows: Sequence[int] = WINDOWS, masks: Mapping[str, str] | None = None, to_date: bool = True, range_rows: int | None = None,
 ) -> DataFrame:
     """Sums and rates over the last N rows of each key strictly before the row's block.
 
@@ -44,21 +46,35 @@ def trailing(
     {stat}_per90_last_{N}, {stat}_masked_last_{N}, and the same with to_date.
     """
     masks = masks or {}
-    rows, own = block_frames(key, block, order)
+    cut = Cut(df, key, block, range_rows)
+    base = cut.with_last(max(windows, default=0), [block, *order])
+    kept = {s: (lambda c, m=masks.get(s): F.when(F.col(m), c) if m else c) for s in stats}
+    hidden = {s: ~F.coalesce(F.col(m), F.lit(False)) for s, m in masks.items()}
+    earlier = {}
+    if to_date and cut.large:
+        for s in stats:
+            earlier[f"_{s}_sum"] = (F.sum(kept[s](_c(s))), F.sum)
+            earlier[f"_{s}_minutes"] = (F.sum(kept[s](_c(minutes))), F.sum)
+            if s in masks:
+                earlier[f"_{s}_masked"] = (F.count_if(hidden[s]), F.sum)
+        base = cut.carry(base, earlier)
+    rows, own = block_frames(cut.by, block, order)
     frames = {f"last_{n}": rows.rowsBetween(-n, -1) for n in windows}
     if to_date:
         frames["to_date"] = rows.rowsBetween(Window.unboundedPreceding, -1)
     made: dict[str, Column] = {}
     for name, frame in frames.items():
         for s in stats:
-            mask = masks.get(s)
-            keep = (lambda c: F.when(F.col(mask), c)) if mask else (lambda c: c)  # noqa: B023, E731
-            total, m = F.sum(keep(_c(s))).over(frame), F.sum(keep(_c(minutes))).over(frame)
+            # Rows before a range are in its frames of a number of rows, and in the totals carried into it.
+            alone = (lambda c: F.when(~F.col("_halo"), c)) if name == "to_date" and earlier else (lambda c: c)
+            add = (lambda c, what, s=s: plus(c, F.col(f"_{s}_{what}"))) if name == "to_date" and earlier else (lambda c, what: c)
+            total, m = (add(F.sum(alone(kept[s](_c(x)))).over(frame), what) for x, what in ((s, "sum"), (minutes, "minutes")))
             made[f"{s}_sum_{name}"] = total
             made[f"{s}_per90_{name}"] = rate(total, m)
-            if mask:
-                made[f"{s}_masked_{name}"] = F.count_if(~F.coalesce(F.col(mask), F.lit(False))).over(frame)
-    return df.withColumns(made).withColumns({c: F.first(c).over(own) for c in made})
+            if s in masks:
+                made[f"{s}_masked_{name}"] = add(F.count_if(alone(hidden[s])).over(frame), "masked")
+    out = base.withColumns(made).withColumns({c: F.first(c).over(own) for c in made})
+    return cut.done(out.where("not _halo"), *made)
 
 
 def previous_season(df: DataFrame, key: Sequence[str], season: str, stats: Sequence[str], minutes: str, masks: Mapping[str, str] | None = None) -> DataFrame:
@@ -80,20 +96,37 @@ def previous_season(df: DataFrame, key: Sequence[str], season: str, stats: Seque
     return out.withColumns({f"{s}_masked_last_season": F.coalesce(f"{s}_masked_last_season", F.lit(0)) for s in masks if s in stats})
 
 
-def trailing_mean(df: DataFrame, key: Sequence[str], block: str, order: Sequence[str], value: str, window: int = 5, out: str = "prediction") -> DataFrame:
+def trailing_mean(df: DataFrame, key: Sequence[str], block: str, order: Sequence[str], value: str, window: int = 5, out: str = "prediction", range_rows: int | None = None) -> DataFrame:
     """Mean of the last ``window`` values that are not null, from rows strictly before the block.
 
     Unlike in ``trailing``, nulls go before the window is taken. No earlier value gives null.
     """
     some = F.col(value).isNotNull()
-    valued = Window.partitionBy(*key, some).orderBy(block, *order).rowsBetween(-(window - 1), 0)
-    rows, own = block_frames(key, block, order)
+    cut = Cut(df, key, block, range_rows)
+    base = cut.with_last(window, [block, *order], some)
+    valued = Window.partitionBy(*cut.by, some).orderBy(block, *order).rowsBetween(-(window - 1), 0)
+    rows, own = block_frames(cut.by, block, order)
     upto = F.when(some, F.avg(value).over(valued))
     before = F.last("_upto", ignorenulls=True).over(rows.rowsBetween(Window.unboundedPreceding, -1))
-    return df.withColumn("_upto", upto).withColumn(out, before).withColumn(out, F.first(out).over(own)).drop("_upto")
+    made = base.withColumn("_upto", upto).withColumn(out, before).withColumn(out, F.first(out).over(own))
+    return cut.done(made.where("not _halo"), out)
+
+
+def carry_forward(df: DataFrame, key: Sequence[str], order: Sequence[str], value: str, out: str, section: str | None = None, range_rows: int | None = None) -> DataFrame:
+    """Each row with the latest value of its key, its own included, that isn't null; ``section`` numbers these values from 1."""
+    cut = Cut(df, key, order[0], range_rows)
+    frame = Window.partitionBy(*cut.by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows, last, number = cut.rows, F.last(value, ignorenulls=True).over(frame), F.count(value).over(frame)
+    if cut.large:
+        some = F.col(value).isNotNull()
+        found = F.max_by(F.when(some, F.struct(value)), F.when(some, F.struct(*order)))
+        rows = cut.carry(rows, {"_held": (found, lambda n: F.last(n, ignorenulls=True)), "_before": (F.count(value), F.sum)})
+        last, number = F.coalesce(last, F.col("_held")[value]), plus(number, F.col("_before"))
+    made = {out: last} | ({section: number} if section else {})
+    return cut.done(rows.withColumns(made), *made)
 
 
-def asof_strict(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, values: Sequence[str], tie: Sequence[str] = ()) -> DataFrame:
+def asof_strict(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, values: Sequence[str], tie: Sequence[str] = (), range_rows: int | None = None) -> DataFrame:
     """Each left row with the values of its key's latest right row strictly before it.
 
     Both sides are sorted together once, left before right at equal times, so there is no range
@@ -103,8 +136,14 @@ def asof_strict(left: DataFrame, right: DataFrame, key: str, left_time: str, rig
     # Right rows come after left ones of the same time, so only strictly earlier ones precede.
     l_rows = left.select(F.col(key).alias("_k"), F.col(left_time).alias("_t"), F.lit(0).alias("_side"), F.struct(*left.columns).alias("_left"))
     r_rows = right.select(F.col(key).alias("_k"), F.col(right_time).alias("_t"), F.lit(1).alias("_side"), found.alias("_right"), *[F.col(t).alias(f"_tie{i}") for i, t in enumerate(tie)])
-    ordered = Window.partitionBy("_k").orderBy("_t", "_side", *[f"_tie{i}" for i in range(len(tie))]).rowsBetween(Window.unboundedPreceding, -1)
-    both = l_rows.unionByName(r_rows, allowMissingColumns=True).withColumn("_found", F.last("_right", ignorenulls=True).over(ordered))
+    ties = [f"_tie{i}" for i in range(len(tie))]
+    cut = Cut(l_rows.unionByName(r_rows, allowMissingColumns=True), ["_k"], "_t", range_rows)
+    ordered = Window.partitionBy(*cut.by).orderBy("_t", "_side", *ties).rowsBetween(Window.unboundedPreceding, -1)
+    rows, before = cut.rows, F.last("_right", ignorenulls=True).over(ordered)
+    if cut.large:
+        latest_right = F.max_by("_right", F.when(F.col("_side") == 1, F.struct("_t", *ties)))
+        rows, before = cut.carry(rows, {"_held": (latest_right, lambda n: F.last(n, ignorenulls=True))}), F.coalesce(before, F.col("_held"))
+    both = rows.withColumn("_found", before)
     return both.where("_side = 0").select("_left.*", *[F.col(f"_found.{v}").alias(v) for v in values])
 
 
@@ -156,10 +195,13 @@ def deadlines(df: DataFrame, event: Sequence[str], time: str, lead: str = "1 hou
     return rows.groupBy(*event).agg(F.min(time).alias("first_time"), F.max(time).alias("last_time")).withColumn("deadline", F.col("first_time") - F.expr(f"INTERVAL {lead}"))
 
 
-def overlaps(windows: DataFrame, start: str, end: str, within: Sequence[str] = ()) -> DataFrame:
+def overlaps(windows: DataFrame, start: str, end: str, within: Sequence[str] = (), range_rows: int | None = None) -> DataFrame:
     """The windows that start at or before the latest end of any earlier one of their group."""
-    w = Window.partitionBy(*within).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
-    return windows.withColumn("latest_end", F.max(end).over(w)).where(F.col(start) <= F.col("latest_end"))
+    cut = Cut(windows, within, start, range_rows)
+    rows, found = cut.rows, F.max(end).over(Window.partitionBy(*cut.by).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1))
+    if cut.large:
+        rows, found = cut.carry(rows, {"_held": (F.max(end), F.max)}), F.greatest(found, F.col("_held"))
+    return cut.done(rows.withColumn("latest_end", found), "latest_end").where(F.col(start) <= F.col("latest_end"))
 
 
 def latest(df: DataFrame, key: Sequence[str], order: Sequence[str], values: Sequence[str]) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from asofkit.functions.text import folded, full_club
-from asofkit.operators import identity
+from asofkit.operators import identity, pit
 from asofkit.session import load
 
 from .registry import query, rows
@@ -114,6 +114,5 @@ def first_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT event_id, (SELECT arg_max(h.head, (h.ts, h.event_id)) FROM s h WHERE h.user_id = s.user_id AND h.head IS NOT NULL AND (h.ts, h.event_id) <= (s.ts, s.event_id)) AS header,
 (SELECT count(*) FROM s a WHERE a.user_id = s.user_id AND a.head IS NOT NULL AND (a.ts, a.event_id) <= (s.ts, s.event_id)) AS section FROM s""")
 def carry_forward_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     e = load(spark, sf_dir, "events").withColumn("head", F.when(F.col("event_type") == "purchase", F.round("value", 6)))
-    return e.select("event_id", F.last("head", ignorenulls=True).over(w).alias("header"), F.count("head").over(w).alias("section"))
+    return pit.carry_forward(e, ["user_id"], ["ts", "event_id"], "head", "header", "section").select("event_id", "header", "section")
