@@ -243,15 +243,16 @@ def eda(spark: SparkSession, root: str) -> int:
     target = "label_total_points"
     kind = spark.createDataFrame(sorted(Counter(kinds.values()).items()), "kind string, columns long")
     pairs = explore.pearson_matrix(df, some)
-    ranks = explore.pearson_matrix(explore.ranked(df.select(*some), some), some)
+    ranks = explore.spearman_matrix(df.select(*some), some)
     curated = [c for c in CURATED if c in some]
+    shape = explore.shape(df, numeric)
     reports = [
         ("Columns", kind),
         ("Missing", explore.missing(df, numeric).orderBy(F.desc("share"), "column")),
         *[(f"Missing where {m} holds", explore.missing(df, cs, m).orderBy("column")) for m in build.MASKED if (cs := [c for c, of in staging.masked_features().items() if of == m and c in df.columns])],
         ("Cardinality", explore.cardinality(df, df.columns).orderBy(F.desc("n_unique"), "column")),
-        ("Shape", explore.shape(df, numeric)),
-        ("Near-zero variance", explore.shape(df, numeric).where("near_zero").select("column", "variance")),
+        ("Shape", shape),
+        ("Near-zero variance", shape.where("near_zero").select("column", "variance")),
         ("Outliers", explore.outliers(df, some)),
         ("High Pearson pairs", explore.high_pairs(pairs)),
         ("High Spearman pairs", explore.high_pairs(ranks)),

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import math
+from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import wide
+
 NEAR_ZERO = 1e-8
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
@@ -30,28 +33,16 @@ def classify(df: DataFrame, labels: Sequence[str] = (), identity: Sequence[str]
     return {f.name: kind(f) for f in df.schema}
 
 
-def _long(row: DataFrame, columns: Sequence[str], made: Mapping[str, object]) -> DataFrame:
-    """The one row of an aggregation with columns {name}__{column} as one row a column."""
-    items = [F.struct(F.lit(c).alias("column"), *[F.col(f"`{m}__{c}`").alias(m) for m in made]) for c in columns]
-    return row.select(F.inline(F.array(*items)))
-
-
-def summarise(df: DataFrame, columns: Sequence[str], made: Mapping[str, object]) -> DataFrame:
-    """One row a column with the named aggregates, from one pass; each is a function of a column."""
-    return _long(df.agg(*[f(F.col(c)).alias(f"{m}__{c}") for c in columns for m, f in made.items()]), columns, made)
-
-
 def missing(df: DataFrame, columns: Sequence[str], flag: str | None = None) -> DataFrame:
     """Nulls and their share, and with ``flag`` the shares where it is true and where it isn't."""
-    made = {
-        "n": lambda c: F.count(F.lit(1)),
-        "nulls": lambda c: F.count_if(c.isNull()),
-        "share": lambda c: F.avg(c.isNull().cast("double")),
-    }
-    if flag:
-        made["share_observed"] = lambda c: F.avg(F.when(F.col(flag), c.isNull().cast("double")))
-        made["share_unobserved"] = lambda c: F.avg(F.when(~F.coalesce(F.col(flag), F.lit(False)), c.isNull().cast("double")))
-    return summarise(df, columns, made)
+    k, held = len(columns), F.coalesce(F.col(flag), F.lit(False)).cast("double") if flag else F.lit(1.0)
+    marks = df.select(*[F.col(f"`{c}`").isNull().cast("double").alias(f"n{i}") for i, c in enumerate(columns)], held.alias("held"))
+    sums = lambda x: np.stack([np.r_[x[:, :k].sum(axis=0), len(x)], np.r_[(x[:, :k] * x[:, k:]).sum(axis=0), x[:, k].sum()]])
+    (nulls, of_held) = wide.fold(marks, marks.columns, sums, np.add, np.zeros((2, k + 1)))
+    n, n_held = nulls[k], of_held[k]
+    share = lambda a, b: float(a / b) if b else None
+    rows = [(c, int(n), int(nulls[i]), share(nulls[i], n)) + ((share(of_held[i], n_held), share(nulls[i] - of_held[i], n - n_held)) if flag else ()) for i, c in enumerate(columns)]
+    return df.sparkSession.createDataFrame(rows, "column string, n long, nulls long, share double" + (", share_observed double, share_unobserved double" if flag else ""))
 
 
 def cardinality(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -64,16 +55,16 @@ def cardinality(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def shape(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, mean, sample variance, whether that is near zero, population skewness and excess kurtosis (from 3 values)."""
-    d = lambda c: c.cast("double")
-    vary = lambda c: (F.count(c) >= 3) & (F.stddev_pop(d(c)) > 0)
-    return summarise(
-        df, columns,
-        {
-            "n": F.count, "mean": lambda c: F.avg(d(c)), "variance": lambda c: F.var_samp(d(c)),
-            "near_zero": lambda c: F.coalesce(F.var_samp(d(c)) < NEAR_ZERO, F.lit(False)),
-            "skewness": lambda c: F.when(vary(c), F.skewness(d(c))), "kurtosis": lambda c: F.when(vary(c), F.kurtosis(d(c))),
-        },
-    )
+    n, mean, m2, m3, m4, *_ = wide.moments(df, columns)
+    rows = []
+    for i, c in enumerate(columns):
+        variance = m2[i] / (n[i] - 1) if n[i] > 1 else None
+        vary = n[i] >= 3 and m2[i] > 0
+        skewness = m3[i] / n[i] / (m2[i] / n[i]) ** 1.5 if vary else None
+        kurtosis = m4[i] / n[i] / (m2[i] / n[i]) ** 2 - 3 if vary else None
+        rows.append((c, int(n[i]), float(mean[i]) if n[i] else None, variance, bool(variance is not None and variance < NEAR_ZERO), skewness, kurtosis))
+    plain = [tuple(float(v) if isinstance(v, np.floating) else v for v in r) for r in rows]
+    return df.sparkSession.createDataFrame(plain, "column string, n long, mean double, variance double, near_zero boolean, skewness double, kurtosis double")
 
 
 def long_form(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -106,38 +97,27 @@ def ordered_counts(values: DataFrame) -> DataFrame:
     )
 
 
-def at_places(ordered: DataFrame, places: Mapping[str, Column]) -> DataFrame:
-    """For each column the values at places (from 0) in its order, each place an expression of ``total``."""
-    hit = lambda p: F.max(F.when((F.col("before") <= p) & (p < F.col("before") + F.col("n")), F.col("v")))
-    return ordered.groupBy("column").agg(F.max("total").alias("n"), *[hit(p).alias(name) for name, p in places.items()])
-
-
 def nearest_quantile(df: DataFrame, column: str, shares: Sequence[float]) -> DataFrame:
     """n and the values at the sorted places nearest to q * (n - 1), the upper one at a half."""
-    places = {f"q{round(q * 100)}": F.floor(F.lit(q) * (F.col("total") - 1) + 0.5) for q in shares}
-    return at_places(ordered_counts(long_form(df, [column])), places).drop("column")
+    n, *_, low, high = wide.moments(df, [column])
+    places = [[math.floor(q * (n[0] - 1) + 0.5) for q in shares] if n[0] else []]
+    found = wide.values_at(df, [column], places, np.stack([low, high]))[0] or [None] * len(shares)
+    return df.sparkSession.createDataFrame([(int(n[0]), *found)], "n long, " + ", ".join(f"q{round(q * 100)} double" for q in shares))
 
 
 def outliers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Values outside the linearly interpolated quartiles by 1.5 of their range, and beyond 3 sample deviations.
-
-    The limits, one row a column, become literals of a last pass that counts without a shuffle of rows.
-    """
-    at = {q: F.lit(q) * (F.col("total") - 1) for q in (0.25, 0.75)}
-    found = at_places(ordered_counts(long_form(df, columns)), {f"{side}{round(q * 100)}": f(p) for q, p in at.items() for side, f in (("l", F.floor), ("h", F.ceil))})
-    between = lambda q: F.col(f"l{q}") + (F.col(f"h{q}") - F.col(f"l{q}")) * (q / 100 * (F.col("n") - 1) - F.floor(q / 100 * (F.col("n") - 1)))
-    limits = {r["column"]: r for r in found.select("column", between(25).alias("q1"), between(75).alias("q3")).collect()}
-    d = lambda c: c.cast("double")
-    moments = df.agg(*[F.avg(d(F.col(c))).alias(f"m_{c}") for c in columns], *[F.stddev_samp(d(F.col(c))).alias(f"s_{c}") for c in columns]).first()
-    made = []
-    for c in columns:
-        v, r = F.col(c).cast("double"), limits.get(c)
-        spread = 1.5 * (r["q3"] - r["q1"]) if r else 0.0
-        wide = F.count_if((v < r["q1"] - spread) | (v > r["q3"] + spread)) if r else F.lit(0).cast("long")
-        m, sd = moments[f"m_{c}"], moments[f"s_{c}"]
-        far = F.count_if(F.abs(v - m) > 3 * sd) if m is not None and sd is not None else F.lit(0).cast("long")
-        made += [wide.alias(f"iqr_outliers__{c}"), far.alias(f"z_outliers__{c}"), F.count(v).alias(f"n__{c}")]
-    return _long(df.agg(*made), columns, dict.fromkeys(("iqr_outliers", "z_outliers", "n")))
+    """Values outside the linearly interpolated quartiles by 1.5 of their range, and beyond 3 sample deviations."""
+    n, mean, m2, *_, low, high = wide.moments(df, columns)
+    at = lambda q, m: (math.floor(q * (m - 1)), math.ceil(q * (m - 1)))
+    found = wide.values_at(df, columns, [[*at(0.25, m), *at(0.75, m)] if m else [] for m in n], np.stack([low, high]))
+    between = lambda q, m, a, b: a + (b - a) * (q * (m - 1) - math.floor(q * (m - 1)))
+    q1, q3 = (np.array([between(q, m, *v[i : i + 2]) if v else np.nan for m, v in zip(n, found)]) for q, i in ((0.25, 0), (0.75, 2)))
+    spread = 1.5 * (q3 - q1)
+    with np.errstate(all="ignore"):
+        sd = np.sqrt(np.where(n > 1, m2 / np.maximum(n - 1, 1), np.nan))
+    wide_, far = wide.counts(df, columns, lambda x: [(x < q1 - spread) | (x > q3 + spread), np.abs(x - mean) > 3 * sd])
+    rows = [(c, int(w), int(f), int(m)) for c, w, f, m in zip(columns, wide_, far, n)]
+    return df.sparkSession.createDataFrame(rows, "column string, iqr_outliers long, z_outliers long, n long")
 
 
 def safe_corr(a: Column, b: Column) -> Column:
@@ -162,40 +142,30 @@ def pearson_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return row.select(F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(pairs)])))
 
 
+def _pairs(df: DataFrame, columns: Sequence[str], g: np.ndarray) -> DataFrame:
+    r, k = wide.correlations(g), len(columns)
+    rows = [(columns[i], columns[j], int(g[0, i, j]), None if np.isnan(r[i, j]) else float(r[i, j])) for i in range(k) for j in range(i + 1, k)]
+    return df.sparkSession.createDataFrame(rows, "a string, b string, n long, r double")
+
+
 def pearson_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """a, b, n and r of all pairs of columns in order, over each pair's complete rows, for many columns.
 
     Each partition sends sums of products of values and of their presence, four matrices of one row
     a column; values are taken from their means first, which keeps the sums small.
     """
-    k = len(columns)
-    means = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(columns)]).first()
-    centre = np.array([m if m is not None and np.isfinite(m) else 0.0 for m in means])
+    mean = wide.moments(df, columns)[1]
+    return _pairs(df, columns, wide.gram(df, columns, lambda x: x - np.where(np.isfinite(mean), mean, 0.0)))
 
-    def gram(frames):
-        import pandas as pd
 
-        total = np.zeros((4, k, k))
-        for pdf in frames:
-            x = pdf.to_numpy(float) - centre
-            some = np.isfinite(x).astype(float)
-            x = np.where(some > 0, x, 0.0)
-            total += np.stack([some.T @ some, x.T @ some, (x * x).T @ some, x.T @ x])
-        yield pd.DataFrame({"part": np.repeat(np.arange(4), k), "row": np.tile(np.arange(k), 4), "sums": list(total.reshape(-1, k))})
-
-    parts = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).mapInPandas(gram, "part int, row int, sums array<double>")
-    g = np.zeros((4, k, k))
-    add = F.array(*[F.sum(F.get("sums", F.lit(i))) for i in range(k)])
-    for r in parts.groupBy("part", "row").agg(add.alias("s")).collect():  # 4 * k rows
-        g[r["part"], r["row"]] = r["s"]
-    n, sx, sxx, sxy = g
-    with np.errstate(all="ignore"):
-        cov = sxy / n - (sx / n) * (sx.T / n)
-        var = np.maximum(sxx / n - (sx / n) ** 2, 0.0)
-        r = cov / np.sqrt(var * var.T)
-    ok = (n >= 2) & (var > 1e-12 * np.maximum(1.0, sxx / np.maximum(n, 1))) & (var.T > 1e-12 * np.maximum(1.0, sxx.T / np.maximum(n, 1)))
-    rows = [(columns[i], columns[j], int(n[i, j]), float(np.clip(r[i, j], -1, 1)) if ok[i, j] else None) for i in range(k) for j in range(i + 1, k)]
-    return df.sparkSession.createDataFrame(rows, "a string, b string, n long, r double")
+def spearman_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """As ``pearson_matrix``, of the columns' average ranks over their own values.
+
+    Up to a number of distinct values, their ranks go to all tasks, and rows aren't shuffled; beyond
+    it, rows meet the ranks by value.
+    """
+    g = wide.rank_gram(df, columns)
+    return pearson_matrix(ranked(df, columns), columns) if g is None else _pairs(df, columns, g)
 
 
 def ranked(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -212,7 +182,7 @@ def ranked(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def spearman_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return pearson_pairs(ranked(df.select(*columns), columns), columns)
+    return spearman_matrix(df.select(*columns), columns).select("a", "b", "r")
 
 
 def high_pairs(pairs: DataFrame, above: float = 0.9, nulls_first: bool = False) -> DataFrame:
@@ -289,10 +259,11 @@ def mutual_information(df: DataFrame, columns: Sequence[str], target: str, bins:
     A plug-in estimate on bins, not a nearest-neighbour one.
     """
     every = [*columns, target]
-    ends = df.agg(*[F.min(c).cast("double").alias(f"l_{c}") for c in every], *[F.max(c).cast("double").alias(f"h_{c}") for c in every]).first()
+    n, *_, lows, highs = wide.moments(df, every)
+    ends = {c: (float(a), float(b)) if m else (None, None) for c, m, a, b in zip(every, n, lows, highs)}
 
     def bin_(c: str) -> Column:
-        low, high = ends[f"l_{c}"], ends[f"h_{c}"]
+        low, high = ends[c]
         if low is None or low == high:
             return F.when(F.col(c).isNull(), -1).otherwise(0)
         return F.coalesce(F.least(F.lit(bins - 1), F.floor((F.col(c).cast("double") - low) / (high - low) * bins)).cast("int"), F.lit(-1))

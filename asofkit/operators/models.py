@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -11,13 +12,13 @@ from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .explore import at_places, long_form, ordered_counts
+from . import wide
 
 
 def usable(df: DataFrame, columns: Sequence[str], masked: Sequence[str] = ()) -> list[str]:
     """The columns that have values and aren't among the masked ones."""
-    counts = df.agg(*[F.count(c).alias(c) for c in columns]).first()
-    return [c for c in columns if counts[c] and c not in set(masked)]
+    n = wide.moments(df, columns)[0]
+    return [c for c, x in zip(columns, n) if x and c not in set(masked)]
 
 
 @dataclass
@@ -36,14 +37,15 @@ class Prepared:
 
 def prepare(df: DataFrame, features: Sequence[str]) -> Prepared:
     """Fit on ``df``: exact medians, an indicator for each feature with nulls, population deviations (1 if 0)."""
-    lost = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in features]).first()
-    middle = (F.col("total") - 1) / 2
-    found = at_places(ordered_counts(long_form(df, features)), {"lo": F.floor(middle), "hi": F.ceil(middle)}).collect()  # one row a feature
-    medians = dict.fromkeys(features, 0.0) | {r["column"]: (r["lo"] + r["hi"]) / 2 for r in found}
-    indicators = [c for c in features if lost[c]]
+    n, *_, low, high = wide.moments(df, features)
+    rows = df.count()
+    middle = [[math.floor((m - 1) / 2), math.ceil((m - 1) / 2)] if m else [] for m in n]
+    found = wide.values_at(df, features, middle, np.stack([low, high]))
+    medians = {c: (v[0] + v[1]) / 2 if v else 0.0 for c, v in zip(features, found)}
+    indicators = [c for c, m in zip(features, n) if m < rows]
     cols = {c: F.coalesce(F.col(c).cast("double"), F.lit(medians[c])) for c in features} | {f"{c}_missing": F.col(c).isNull().cast("double") for c in indicators}
-    stats = df.agg(*[F.avg(v).alias(f"m_{k}") for k, v in cols.items()], *[F.stddev_pop(v).alias(f"s_{k}") for k, v in cols.items()]).first()
-    return Prepared(medians, indicators, {k: (float(stats[f"m_{k}"] or 0), float(stats[f"s_{k}"] or 0) or 1.0) for k in cols})
+    m, mean, square, *_ = wide.moments(df.select(*[v.alias(k) for k, v in cols.items()]), list(cols))
+    return Prepared(medians, indicators, {k: (float(mean[i]), float(np.sqrt(square[i] / max(m[i], 1))) or 1.0) for i, k in enumerate(cols)})
 
 
 @dataclass
