@@ -1,25 +1,46 @@
-"""Quality gates: all row-level gates of a table in one aggregation, samples for failing ones only."""
+"""Quality gates: all gates of a table are counted without windows, and samples taken of failing ones only.
+
+Gates on single rows are one aggregation. Gates on groups are counted by grouping sets of one pass, with
+partial sums before the shuffle, so a group that holds most rows costs no task more than others.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE = 5
 
 
+@dataclass(frozen=True)
+class Keyed:
+    """A gate on groups: aggregates of the rows of a key, and when they make the group a violating one.
+
+    With ``distinct`` the key has that column too, and ``kinds`` is the number of its values in a group.
+    """
+
+    by: tuple[str, ...]
+    broken: Column
+    made: dict[str, Column] = field(default_factory=dict)
+    distinct: str | None = None
+
+    @property
+    def fine(self) -> tuple[str, ...]:
+        return (*self.by, self.distinct) if self.distinct and self.distinct not in self.by else self.by
+
+
 @dataclass(frozen=True)
 class Gate:
-    """A predicate that is true for violating rows; ``windowed`` ones look at other rows too."""
+    """A predicate that is true for violating rows, or a condition on groups, whose rows all violate it then."""
 
     name: str
-    predicate: Column
+    predicate: Column | None
     columns: tuple[str, ...]
     severity: str = "block"
-    windowed: bool = False
+    keyed: Keyed | None = None
 
 
 @dataclass(frozen=True)
@@ -36,7 +57,7 @@ def _false(c: Column) -> Column:
 
 
 def unique_key(*key: str) -> Gate:
-    return Gate(f"unique_key({','.join(key)})", F.count("*").over(Window.partitionBy(*key)) > 1, key, windowed=True)
+    return Gate(f"unique_key({','.join(key)})", None, key, keyed=Keyed(key, F.col("_n") > 1))
 
 
 def not_null(*columns: str) -> Gate:
@@ -81,15 +102,63 @@ def formula(name: str, column: str, expected: Column, uses: Sequence[str], sever
 
 
 def constant_within(column: str, *group: str) -> Gate:
-    w = Window.partitionBy(*group)
-    c = F.col(column)
-    kinds = (F.min(c).over(w) != F.max(c).over(w)) | ((F.count(c).over(w) > 0) & (F.count(c).over(w) < F.count(F.lit(1)).over(w)))
-    return Gate(f"constant_within({column})", _false(kinds), (column, *group), windowed=True)
+    """One value a group, or none for all its rows."""
+    made = {"low": F.min(column), "high": F.max(column), "held": F.count(column)}
+    broken = _false((F.col("low") != F.col("high")) | ((F.col("held") > 0) & (F.col("held") < F.col("_n"))))
+    return Gate(f"constant_within({column})", None, (column, *group), keyed=Keyed(group, broken, made))
 
 
 def exactly_distinct(column: str, n: int, *group: str) -> Gate:
-    kinds = F.size(F.collect_set(column).over(Window.partitionBy(*group)))
-    return Gate(f"exactly_distinct({column},{n})", kinds != n, (column, *group), windowed=True)
+    return Gate(f"exactly_distinct({column},{n})", None, (column, *group), keyed=Keyed(group, F.col("kinds") != n, distinct=column))
+
+
+def _groups(df: DataFrame, keyed: Sequence[Keyed]) -> list[DataFrame]:
+    """For each gate its groups with _n, their rows, and _broken."""
+    names = list(dict.fromkeys(c for k in keyed for c in k.fine))
+    sets = list(dict.fromkeys(k.fine for k in keyed))
+    made = {f"_{i}_{m}": c for i, k in enumerate(keyed) for m, c in k.made.items()}
+    grouped = df.groupingSets([[F.col(f"`{c}`") for c in s] for s in sets], *[F.col(f"`{c}`") for c in names])
+    grouped = grouped.agg(F.grouping_id().alias("_set"), F.count(F.lit(1)).alias("_n"), *[c.alias(m) for m, c in made.items()])
+    out = []
+    for i, k in enumerate(keyed):
+        number = sum(1 << (len(names) - 1 - j) for j, c in enumerate(names) if c not in k.fine)  # a bit for each column left out
+        mine = grouped.where(F.col("_set") == number)
+        if k.distinct:
+            mine = mine.groupBy(*k.by).agg(F.sum("_n").alias("_n"), F.count(k.distinct).alias("kinds"))
+        else:
+            mine = mine.select(*k.by, "_n", *[F.col(f"_{i}_{m}").alias(m) for m in k.made])
+        out.append(mine.withColumn("_broken", k.broken))
+    return out
+
+
+def _counts(df: DataFrame, gates: Sequence[Gate]) -> DataFrame:
+    """gate (its place) and violations."""
+    single = [(i, g) for i, g in enumerate(gates) if not g.keyed]
+    grouped = [(i, g) for i, g in enumerate(gates) if g.keyed]
+    parts = []
+    if single:
+        row = df.agg(*[F.count_if(g.predicate).alias(f"_g{i}") for i, g in single])
+        parts.append(row.select(F.inline(F.array(*[F.struct(F.lit(i).alias("gate"), F.col(f"_g{i}").alias("violations")) for i, _ in single]))))
+    if grouped:
+        for (i, _), groups in zip(grouped, _groups(df, [g.keyed for _, g in grouped])):
+            parts.append(groups.agg(F.coalesce(F.sum(F.when(F.col("_broken"), F.col("_n"))), F.lit(0)).alias("violations")).select(F.lit(i).alias("gate"), "violations"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _sample(df: DataFrame, g: Gate, n: int) -> list:
+    """The first violating rows; of a gate on groups, rows of its first violating groups."""
+    rows = df.where(g.predicate) if g.predicate is not None else None
+    if rows is None:
+        broken = _groups(df, [g.keyed])[0].where("_broken").select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(g.keyed.by)])
+        first = broken.orderBy(*broken.columns).limit(n)  # at most n groups
+        match = F.lit(True)
+        for i, c in enumerate(g.keyed.by):
+            match = match & df[c].eqNullSafe(first[f"_{i}"])
+        rows = df.join(F.broadcast(first), match, "left_semi")
+    return [r.asDict() for r in rows.select(*g.columns).orderBy(*g.columns).limit(n).collect()]
 
 
 def run_gates(df: DataFrame | None, gates: Sequence[Gate], sample: int = SAMPLE) -> list[Violation]:
@@ -105,21 +174,17 @@ def run_gates(df: DataFrame | None, gates: Sequence[Gate], sample: int = SAMPLE)
             present.append(g)
     if not present:
         return out
-    flagged = df.withColumns({f"_g{i}": g.predicate for i, g in enumerate(present)})
-    counts = flagged.agg(*[F.count_if(F.col(f"_g{i}")).alias(f"_g{i}") for i in range(len(present))]).first()
+    counts = {r["gate"]: r["violations"] for r in _counts(df, present).collect()}  # a row a gate
     for i, g in enumerate(present):
         if counts[i]:
-            rows = [r.asDict() for r in flagged.where(F.col(f"_g{i}")).select(*g.columns).orderBy(*g.columns).limit(sample).collect()]
-            out.append(Violation(g.name, g.severity, counts[i], sample=rows))
+            out.append(Violation(g.name, g.severity, counts[i], sample=_sample(df, g, sample)))
     return out
 
 
 def report(df: DataFrame, gates: Sequence[Gate]) -> DataFrame:
-    """gate, severity and violating rows of every gate, from one pass."""
-    flagged = df.withColumns({f"_g{i}": g.predicate for i, g in enumerate(gates)})
-    counts = flagged.agg(*[F.count_if(F.col(f"_g{i}")).alias(f"_g{i}") for i in range(len(gates))])
-    rows = F.array(*[F.struct(F.lit(g.name).alias("gate"), F.lit(g.severity).alias("severity"), F.col(f"_g{i}").alias("violations")) for i, g in enumerate(gates)])
-    return counts.select(F.inline(rows))
+    """gate, severity and violating rows of every gate."""
+    names = F.array(*[F.struct(F.lit(g.name).alias("gate"), F.lit(g.severity).alias("severity")) for g in gates])
+    return _counts(df, gates).select(F.get(names, "gate").alias("g"), "violations").select("g.gate", "g.severity", "violations")
 
 
 def orphans(child: DataFrame, parent: DataFrame, column: str, parent_column: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import json
+import math
 import os
 from collections.abc import Mapping, Sequence
 from pathlib import Path
@@ -24,10 +25,19 @@ def write_table(df: DataFrame, path: str, key: Sequence[str], single: bool = Fal
     out.write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
-def write_partitions(df: DataFrame, path: str, by: Sequence[str], key: Sequence[str]) -> None:
-    """Replace only the partitions that ``df`` has rows of; each is sorted by the key."""
-    out = df.repartition(*by).sortWithinPartitions(*by, *key)
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(*by).parquet(path)
+#: Rows of a file, about.
+FILE_ROWS = 5_000_000
+
+
+def write_partitions(df: DataFrame, path: str, by: Sequence[str], key: Sequence[str], file_rows: int = FILE_ROWS) -> None:
+    """Replace only the partitions that ``df`` has rows of.
+
+    A partition's files are disjoint ranges of its key, each sorted, of about ``file_rows`` rows: rows are dealt by ranges of
+    partition and key together, so one that holds most rows has many tasks and files.
+    """
+    parts = max(1, math.ceil(df.count() / file_rows))
+    out = df.repartitionByRange(parts, *by, *key) if parts > 1 else df.coalesce(1)
+    out.sortWithinPartitions(*by, *key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(*by).parquet(path)
 
 
 def write_crosswalk(df: DataFrame, path: str, key: Sequence[str]) -> None:

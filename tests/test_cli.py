@@ -3,6 +3,7 @@
 import io
 
 import pandas as pd
+from pyspark.sql import functions as F
 
 from asofkit import cli
 from asofkit.plans import build, raw_tables
@@ -44,7 +45,7 @@ def raw_folder(root):
         put(f"game/bootstrap/{s}", json.dumps({"elements": players, "teams": teams, "events": events}).encode())
         fixtures = [{"id": e, "code": e, "event": e, "kickoff_time": f"{year}-{8 + e // 3:02d}-{1 + 7 * (e % 3):02d}T15:00:00Z", "team_h": 1, "team_a": 2, "finished": e < 6, "stats": []} for e in range(1, 7)]
         put(f"game/fixtures/{s}", json.dumps(fixtures).encode())
-        rated = [{"Rank": 1, "Club": c, "Country": "ENG", "Level": 1, "Elo": elo, "From": "2022-07-01", "To": "2022-08-01"} for c, elo in (("Manchester City", 1900.0), ("Tottenham", 1700.0))]
+        rated = [{"Rank": 1, "Club": c, "Country": "ENG", "Level": 1, "Elo": elo, "From": f"{year}-07-01", "To": f"{year}-08-01"} for c, elo in (("Manchester City", 1900.0), ("Tottenham", 1700.0))]
         put(f"ratings/daily/{s}", csv(rated), "csv", {"source": "ratings", "params": {"date": f"{year}-07-30"}})
         put(f"matches/results/{s}", csv([{"Date": f"08/08/{year}", "HomeTeam": "Man City", "AwayTeam": "Tottenham", "FTHG": 1, "FTAG": 0, "FTR": "H", "B365H": 2.0, "B365D": 4.0, "B365A": 4.0}]), "csv")
     put("schedules/cup/2024-25", "\u25aa Final\nSat Aug 3 2024\n Man City (ENG) v Spurs (ENG)\n".encode(), "txt")
@@ -76,7 +77,13 @@ def test_all_commands(spark, tmp_path, capsys):
     team = {(r["season"], r["fixture_id"], r["team_id"]): r for r in read("facts/team_fixture").collect()}
     first = team[("2024-25", 1, 1)]
     assert len(team) == 24 and (first["elo_rating"], first["opponent_elo_rating"], first["odds_win_prob"], first["fixture_count_prior_7_days"]) == (1900.0, 1700.0, 0.5, 1)
-    assert run("check") == 0
+    assert run("check") == 0 and run("check", "--layer", "staged") == 0 and run("check", "--layer", "other") == 2
+    bad = read("staged/ratings").withColumn("valid_to", F.col("valid_from")).unionByName(read("staged/ratings"))
+    bad.coalesce(1).write.partitionBy("season").parquet(f"{tmp_path}/bad/staged/ratings")
+    capsys.readouterr()
+    assert cli.main(["--root", f"{tmp_path}/bad", "check", "--layer", "facts"]) == 0 and cli.main(["--root", f"{tmp_path}/bad", "check"]) == cli.GATE_FAILED
+    said = capsys.readouterr().out
+    assert "ratings: block unique_key(season,as_of_date,club): 8 rows" in said and "ratings: block within(as_of_date,valid_from,valid_to): 4 rows" in said
     assert run("dataset") == 0 and run("features", "--as-of", "2024-09-20 00:00:00", "--horizon", "1") == 0
     ahead = read("features/as_of=2024-09-20-00-00-00")
     assert ahead.count() == 8 and ahead.where("season = '2024-25' and event = 6 and minutes_sum_to_date > 0").count() == 8
