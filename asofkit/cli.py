@@ -7,9 +7,12 @@ for facts and features (exit 0 with a message); ``dataset`` and what builds on i
 from __future__ import annotations
 
 import argparse
+import json
 import re
 import sys
 from collections import Counter
+from collections.abc import Callable
+from datetime import UTC, datetime
 from pathlib import Path
 
 from pyspark.errors import AnalysisException
@@ -21,12 +24,15 @@ from asofkit.functions.text import folded, match_date
 from asofkit.operators import evaluate, explore, gates, identity, models, pit
 from asofkit.plans import build, raw_tables, staging
 from asofkit.session import session
-from asofkit.sources import files
-from asofkit.sources.fetch import FAILURE, GATE_FAILED, NOT_IMPLEMENTED, SUCCESS, USAGE
+from asofkit.sources import captures, contracts, files
+from asofkit.sources.fetch import FAILURE, GATE_FAILED, SUCCESS, USAGE, Fetcher, FetchError, game_endpoints, open_event, rating_endpoint
 from asofkit.sources.writers import markdown, write_crosswalk, write_partitions, write_table
 
 VERSION = "0.1.0"
-PENDING = ("ingest", "capture-ownership", "discover-league", "backfill-elo", "backfill")
+#: Cohorts of which squads are captured, and the first event at which each can be; the best have no ranking before one event is scored.
+COHORTS = {"self": 1, "mini": 1, "elite": 2}
+#: The league that holds everyone (a fixed value).
+OVERALL = 314
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame | None:
@@ -342,7 +348,92 @@ def baseline(spark: SparkSession, root: str, rules: str, components: list[str])
     return _report(root, "baseline", reports)
 
 
-def main(argv: list[str] | None = None) -> int:
+def _seasons(first: str, last: str) -> list[str]:
+    """The seasons of known layout in a range; none is a mistake of the caller's."""
+    found = sorted(s for s in contracts.ERAS if first <= s <= last)
+    if not found:
+        raise ValueError(f"no season of a known layout from {first} to {last}")
+    return found
+
+
+def ingest(root: Path, fetcher: Fetcher, url: str, season: str, endpoints: list[str]) -> int:
+    """The routine captures of a season; what hasn't changed isn't stored again."""
+    for name, new in captures.ingest(fetcher, root, url, season, endpoints or ("bootstrap", "fixtures")).items():
+        print(f"{name}: {'new' if new else 'unchanged'}")
+    return SUCCESS
+
+
+def discover_league(fetcher: Fetcher, url: str, entry: int) -> int:
+    found = captures.private_leagues(fetcher, url, entry)
+    for number, name in found:
+        print(f"{number}: {name}")
+    if not found:
+        print(f"entry {entry} is in no private league", file=sys.stderr)
+    return SUCCESS if found else FAILURE
+
+
+def capture_ownership(root: Path, fetcher: Fetcher, a: argparse.Namespace, now: datetime) -> int:
+    """The squads of one cohort or all, each for its open event; an unfinished capture is taken up again."""
+    events = json.loads(game_endpoints(a.url)["bootstrap"].fetch(fetcher))["events"]
+    failed = False
+    for cohort in COHORTS if a.cohort == "all" else [a.cohort]:
+        event = a.event or open_event(events, now, captures.captured_events(root, a.season, cohort), COHORTS[cohort])
+        if event is None:
+            print(f"{cohort}: no event is open")
+            continue
+        league = a.league
+        if cohort == "mini" and league is None and a.entry is not None:
+            league = next((n for n, _ in captures.private_leagues(fetcher, a.url, a.entry)), None)
+        if cohort == "self" and a.entry is None or cohort == "mini" and league is None:
+            if a.cohort != "all":
+                raise ValueError(f"{cohort} needs --{'entry' if cohort == 'self' else 'league or --entry'}")
+            print(f"{cohort}: not configured")
+            continue
+        if a.dry_run:
+            print(f"{cohort}: would capture event {event}")
+            continue
+        entries = [a.entry] if cohort == "self" else captures.league_entries(fetcher, a.url, league) if cohort == "mini" else captures.league_entries(fetcher, a.url, OVERALL, a.top)
+        out = captures.ownership(fetcher, root, a.url, a.season, event, cohort, entries[: a.limit], whole=a.limit is None)
+        print(f"{cohort}: event {event}, {out.asked} entries, {out.skipped} there, {out.written} chunks written, failed {list(out.failed)}")
+        failed |= not out.complete
+    return FAILURE if failed else SUCCESS
+
+
+def backfill_elo(spark: SparkSession, root: Path, fetcher: Fetcher, a: argparse.Namespace) -> int:
+    """The ratings of every day before a match of the seasons, then staged; a run goes on where the last one stopped."""
+    facts_of = _read(spark, f"{root}/facts/player_fixture")
+    if facts_of is None:
+        raise FileNotFoundError("facts/player_fixture isn't built, and says which days need ratings")
+    left, failed = a.limit, False
+    for season in _seasons(a.first, a.last):
+        played = facts_of.where((F.col("season") == season) & F.col("kickoff_time").isNotNull()).select(F.to_date("kickoff_time").alias("d")).distinct()
+        dates = captures.rating_dates([r["d"] for r in played.collect()])  # a season's days
+        have = captures.captured_dates(root / "raw" / "ratings" / "daily" / season)
+        if a.dry_run or not dates:
+            print(f"{season}: {len(dates)} days, {len(have & set(dates))} there")
+            continue
+        out = captures.backfill_ratings(fetcher, root, rating_endpoint(a.url), season, dates, left)
+        left = None if left is None else left - out.written - len(out.failed)
+        print(f"{season}: {out.written} written, {out.skipped} there, failed {[str(d) for d in out.failed]}")
+        failed |= not out.complete
+        for line in raw_tables.SOURCES["ratings"](spark, str(root), season):
+            print(line)
+    return FAILURE if failed else SUCCESS
+
+
+def backfill(spark: SparkSession, root: Path, fetcher: Fetcher, a: argparse.Namespace) -> int:
+    """Past seasons from the archive: fetched, staged, made facts of and checked; the first that fails ends it."""
+    for season in _seasons(a.first, a.last):
+        if not a.skip_fetch:
+            print(f"{season}: {captures.archive(fetcher, root, a.url, season)} new files")
+        code = stage(spark, str(root), season, ["archive"]) or facts(spark, str(root), a.rules) or check(spark, str(root))
+        if code:
+            print(f"{season} isn't sound; stopped here", file=sys.stderr)
+            return code
+    return SUCCESS
+
+
+def main(argv: list[str] | None = None, fetcher: Fetcher | None = None, now: Callable[[], datetime] = lambda: datetime.now(UTC)) -> int:
     p = argparse.ArgumentParser("asofkit")
     p.add_argument("--root", default="data")
     sub = p.add_subparsers(dest="command", required=True)
@@ -360,8 +451,28 @@ def main(argv: list[str] | None = None) -> int:
     f.add_argument("--horizon", type=int, default=6)
     f.add_argument("--season")
     sub.add_parser("check").add_argument("--layer", choices=("staged", "facts"))
-    for name in ("dataset", "eda", *PENDING):
+    for name in ("dataset", "eda"):
         sub.add_parser(name)
+    network = {n: sub.add_parser(n) for n in ("ingest", "discover-league", "capture-ownership", "backfill-elo", "backfill")}
+    for n, q in network.items():
+        q.add_argument("--url", required=n != "backfill", default="", help="where the source answers")
+    for n in ("ingest", "capture-ownership"):
+        network[n].add_argument("--season", required=True)
+    network["ingest"].add_argument("--endpoint", action="append", choices=("bootstrap", "fixtures"), default=[])
+    network["discover-league"].add_argument("--entry", type=int, required=True)
+    own = network["capture-ownership"]
+    own.add_argument("--cohort", choices=(*COHORTS, "all"), default="all")
+    for n in ("--event", "--league", "--entry", "--limit"):
+        own.add_argument(n, type=int)
+    own.add_argument("--top", type=int, default=1000)
+    for n in ("backfill-elo", "backfill"):
+        network[n].add_argument("--from", dest="first", default=min(contracts.ERAS))
+        network[n].add_argument("--to", dest="last", default=max(contracts.ERAS))
+    for n in ("capture-ownership", "backfill-elo"):
+        network[n].add_argument("--dry-run", action="store_true")
+    network["backfill-elo"].add_argument("--limit", type=int)
+    network["backfill"].add_argument("--skip-fetch", action="store_true")
+    network["backfill"].add_argument("--rules", default="2025-26")
     try:
         a = p.parse_args(argv)
     except SystemExit as e:
@@ -369,11 +480,21 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "version":
         print(VERSION)
         return SUCCESS
-    if a.command in PENDING:
-        print(f"{a.command} needs a network and isn't built", file=sys.stderr)
-        return NOT_IMPLEMENTED
-    spark = session()
+    root = Path(a.root)
     try:
+        if a.command in network:
+            fetcher = fetcher or Fetcher()
+        if a.command == "ingest":
+            return ingest(root, fetcher, a.url, a.season, a.endpoint)
+        if a.command == "discover-league":
+            return discover_league(fetcher, a.url, a.entry)
+        if a.command == "capture-ownership":
+            return capture_ownership(root, fetcher, a, now())
+        spark = session()
+        if a.command == "backfill-elo":
+            return backfill_elo(spark, root, fetcher, a)
+        if a.command == "backfill":
+            return backfill(spark, root, fetcher, a)
         if a.command == "facts":
             return facts(spark, a.root, a.rules)
         if a.command == "features":
@@ -387,6 +508,12 @@ def main(argv: list[str] | None = None) -> int:
         if a.command == "check":
             return check(spark, a.root, a.layer)
         return {"dataset": dataset, "eda": eda}[a.command](spark, a.root)
+    except ValueError as e:
+        print(e, file=sys.stderr)
+        return USAGE
+    except FetchError as e:
+        print(e, file=sys.stderr)
+        return e.exit_code
     except FileNotFoundError as e:
         print(e, file=sys.stderr)
         return FAILURE

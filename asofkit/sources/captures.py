@@ -5,16 +5,19 @@ from __future__ import annotations
 import gzip
 import hashlib
 import json
+import os
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 from datetime import UTC, date, datetime, timedelta
 from pathlib import Path
 
-from .fetch import Endpoint, Fetcher, FetchError, game_endpoints
+from .fetch import BlockedError, Endpoint, Fetcher, FetchError, game_endpoints
 from .files import encode_as_of
 from .writers import _put, write_chunk, write_raw
 
 CHUNK = 100
+#: The log of a folder's chunks, and the mark of a folder that has all it should have.
+LOG, DONE = "chunks.ndjson", "complete.json"
 PAGE = 50
 #: Private leagues are of this kind (a fixed value); the others hold everyone.
 PRIVATE = "x"
@@ -24,6 +27,8 @@ BEFORE = timedelta(days=1)
 
 @dataclass(frozen=True)
 class Outcome:
+    """How many were asked for, how many chunks (or captures) were written, how many were there, and which failed."""
+
     asked: int
     written: int
     skipped: int
@@ -81,46 +86,87 @@ def private_leagues(fetcher: Fetcher, base: str, entry: int) -> list[tuple[int,
     return [(x["id"], x.get("name", "")) for x in leagues.get("classic", []) if x.get("league_type") == PRIVATE]
 
 
-def in_chunks(folder: Path, ids: Sequence[int], fetch: Callable[[int], dict], size: int = CHUNK) -> Outcome:
-    """Fetch a record for every id and store them in chunks of the ids' order; chunks that are there are skipped.
+def _stored(folder: Path, key: str) -> dict:
+    """The chunk of every id that is stored: as logged, and from chunks that a run left before it could log them."""
+    found, logged = {}, set()
+    try:
+        for line in (folder / LOG).read_text().splitlines():
+            try:
+                entry = json.loads(line)
+            except ValueError:
+                continue  # a line that was cut off; its chunk is read below
+            logged.add(entry["chunk"])
+            found.update(dict.fromkeys(entry["ids"], entry["chunk"]))
+    except FileNotFoundError:
+        pass
+    for data in folder.glob("chunk=*/data.ndjson.gz"):
+        k = int(data.parent.name.partition("=")[2])
+        if k not in logged:
+            found.update({json.loads(line)[key]: k for line in gzip.decompress(data.read_bytes()).splitlines()})
+    return found
+
+
+def in_chunks(folder: Path, ids: Sequence[int], fetch: Callable[[int], dict], size: int = CHUNK, key: str = "id") -> Outcome:
+    """Fetch a record for every id that isn't stored yet and store them in chunks of ``size``.
 
-    A chunk is written when all of its records have come or failed, without those that failed. A
-    blocked source ends the run at once, and what was written stays.
+    Records hold their id as ``key``. A log that is only added to says which ids each chunk has, so a
+    run takes up exactly those that are missing: an id that fails is named and costs no other
+    its answer, this time or the next. A blocked source ends the run at once; what had come
+    until then is stored.
     """
-    written = skipped = 0
-    failed = []
-    for k, at in enumerate(range(0, len(ids), size)):
-        if (folder / f"chunk={k:04d}" / "data.ndjson.gz").exists():
-            skipped += 1
-            continue
-        records, lost = [], []
-        for i in ids[at : at + size]:
+    have = _stored(folder, key)
+    todo = [i for i in dict.fromkeys(ids) if i not in have]
+    chunk = max(have.values(), default=-1) + 1
+    written, failed, records = 0, [], {}
+
+    def put() -> None:
+        nonlocal chunk, written, records
+        if records:
+            while not write_chunk(folder, chunk, list(records.values())):  # never over another one
+                chunk += 1
+            with open(folder / LOG, "a") as f:
+                f.write(json.dumps({"chunk": chunk, "ids": list(records)}) + "\n")
+                f.flush()
+                os.fsync(f.fileno())
+            chunk, written, records = chunk + 1, written + 1, {}
+
+    try:
+        for i in todo:
             try:
-                records.append(fetch(i))
+                records[i] = {key: i, **fetch(i)}
+            except BlockedError:
+                raise
             except FetchError as e:
-                if type(e).__name__ == "BlockedError":
-                    raise
-                lost.append(i)
-        failed += lost
-        if records and not lost:
-            written += write_chunk(folder, k, records)
-    return Outcome(len(ids), written, skipped, tuple(failed))
+                failed.append(i)
+                log("failed", id=i, reason=str(e))
+            if len(records) == size:
+                put()
+    finally:
+        put()
+    return Outcome(len(ids), written, len(ids) - len(todo), tuple(failed))
+
 
+def ownership(fetcher: Fetcher, root: Path, base: str, season: str, event: int, cohort: str, entries: Sequence[int], size: int = CHUNK, now: Callable[[], datetime] = _now, whole: bool = True) -> Outcome:
+    """The picks of all entries of a cohort for an event; squads with automatic substitutions are marked.
 
-def ownership(fetcher: Fetcher, root: Path, base: str, season: str, event: int, cohort: str, entries: Sequence[int], size: int = CHUNK, now: Callable[[], datetime] = _now) -> Outcome:
-    """The picks of all entries of a cohort for an event; squads with automatic substitutions are marked."""
+    When all of a ``whole`` cohort's have come, the event is marked as captured.
+    """
+    folder = root / "raw" / "game" / "picks" / season / cohort / f"event={event}"
 
     def one(entry: int) -> dict:
         payload = json.loads(game_endpoints(base)["picks"].fetch(fetcher, entry=entry, event=event))
         return {"entry": entry, "event": event, "fetched_at": now().isoformat(), "contaminated": bool(payload.get("automatic_subs")), "payload": payload}
 
-    return in_chunks(root / "raw" / "game" / "picks" / season / cohort / f"event={event}", entries, one, size)
+    out = in_chunks(folder, entries, one, size, "entry")
+    if out.complete and whole and entries:
+        _put(folder / DONE, json.dumps({"entries": len(entries), "at": now().isoformat()}).encode())
+    return out
 
 
 def match_data(fetcher: Fetcher, root: Path, endpoint: Endpoint, season: str, matches: Iterable[int], size: int = 20) -> Outcome:
     """The rosters and shots of finished matches in chunks, in the order of their ids."""
     one = lambda m: {"match_id": m, **json.loads(endpoint.fetch(fetcher, match=m))}
-    return in_chunks(root / "raw" / "centre" / "match" / season, sorted(set(matches)), one, size)
+    return in_chunks(root / "raw" / "centre" / "match" / season, sorted(set(matches)), one, size, "match_id")
 
 
 def rating_dates(kickoffs: Iterable[date]) -> list[date]:
@@ -152,10 +198,11 @@ def backfill_ratings(fetcher: Fetcher, root: Path, endpoint: Endpoint, season: s
     for d in todo if limit is None else todo[:limit]:
         try:
             body = endpoint.fetch(fetcher, date=d.isoformat())
+        except BlockedError:
+            raise
         except FetchError as e:
-            if type(e).__name__ == "BlockedError":
-                raise
             failed.append(d)
+            log("failed", date=d, reason=str(e))
             continue
         at = now()
         while (out := folder / f"as_of={encode_as_of(at)}").exists():
@@ -164,3 +211,17 @@ def backfill_ratings(fetcher: Fetcher, root: Path, endpoint: Endpoint, season: s
         _put(out / "meta.json", json.dumps({"source": "ratings", "season": season, "sha256": hashlib.sha256(body).hexdigest(), "params": {"date": d.isoformat()}}, sort_keys=True).encode())
         written += 1
     return Outcome(len(dates), written, len(dates) - len(todo), tuple(failed))
+
+
+def captured_events(root: Path, season: str, cohort: str) -> set[int]:
+    """The events of which all of a cohort's picks are stored."""
+    return {int(p.name.partition("=")[2]) for p in (root / "raw" / "game" / "picks" / season / cohort).glob("event=*") if (p / DONE).exists()}
+
+
+def archive(fetcher: Fetcher, root: Path, base: str, season: str, now: Callable[[], datetime] = _now) -> int:
+    """A past season's merged statistics and list of players; how many were new."""
+    new = 0
+    for name, path in {"merged": f"{season}/gws/merged_gw.csv", "players": f"{season}/players_raw.csv"}.items():
+        at = now()
+        new += write_raw(root / "raw" / "archive" / name / season, encode_as_of(at), fetcher.get(f"{base}/{path}").body, {"source": "archive", "endpoint": name, "season": season, "fetched_at": at.isoformat()}, "csv") is not None
+    return new

@@ -122,7 +122,7 @@ def test_snapshot_stream(spark, tmp_path):
 
 
 def test_command_line(spark, tmp_path, capsys):
-    assert cli.main(["version"]) == 0 and cli.main(["ingest"]) == 10 and cli.main(["nonsense"]) == 2
+    assert cli.main(["version"]) == 0 and cli.main(["ingest"]) == 2 and cli.main(["nonsense"]) == 2
     assert cli.main(["--root", str(tmp_path), "facts"]) == 0 and cli.main(["--root", str(tmp_path), "check"]) == 0
     assert cli.main(["--root", str(tmp_path), "dataset"]) == 1
 
@@ -150,11 +150,83 @@ def test_captures_resume(spark, tmp_path):
     assert (out.asked, out.written, out.failed, out.complete) == (5, 2, (4,), False)
     squads["/entry/4/event/3/picks/"] = {"picks": []}
     again = captures.ownership(_replies(squads), tmp_path, "http://g", "2025-26", 3, "elite", range(1, 6), size=2)
-    assert (again.written, again.skipped, again.complete) == (1, 2, True)
+    assert (again.written, again.skipped, again.complete) == (1, 4, True) and captures.captured_events(tmp_path, "2025-26", "elite") == {3}
     match = captures.match_data(_replies({"Data/8": {"rosters": {}}}), tmp_path, fetch.centre_endpoints("http://c")["match"], "2025-26", [8, 8])
     assert match.written == 1
 
 
+def test_one_failure_costs_no_other_answer(tmp_path):
+    asked = []
+
+    def get(i):
+        asked.append(i)
+        if i == 7:
+            raise fetch.ServerError("always")
+        if i == 25 and len(asked) < 30:
+            raise fetch.BlockedError("403")
+        return {"v": i}
+
+    with pytest.raises(fetch.BlockedError):
+        captures.in_chunks(tmp_path, range(30), get, size=10)
+    assert len(captures._stored(tmp_path, "id")) == 24  # all before the block but 7
+    asked.clear()
+    asked.extend([None] * 30)
+    out = captures.in_chunks(tmp_path, range(30), get, size=10)
+    assert (out.written, out.skipped, out.failed) == (1, 24, (7,)) and asked[30:] == [7, *range(25, 30)]
+    # A run that ended between a chunk and its line in the log, and a line that was cut off.
+    log = tmp_path / captures.LOG
+    log.write_text("\n".join(log.read_text().splitlines()[:-1]) + '\n{"chunk": 9, "id')
+    asked.clear()
+    asked.extend([None] * 30)
+    assert captures.in_chunks(tmp_path, range(30), get, size=10).skipped == 29 and asked[30:] == [7]
+    chunks = sorted(tmp_path.glob("chunk=*/data.ndjson.gz"))
+    assert sorted(json.loads(x)["id"] for c in chunks for x in gzip.decompress(c.read_bytes()).splitlines()) == [i for i in range(30) if i != 7]
+
+
+def test_network_commands(spark, tmp_path, capsys):
+    """Every command that fetches, over recorded replies."""
+    now = lambda: datetime(2024, 8, 20, tzinfo=UTC)
+    events = [{"id": 1, "deadline_time": "2024-08-16T17:30:00Z"}, {"id": 2, "deadline_time": "2024-08-18T17:30:00Z"}]
+    page = lambda ids: {"standings": {"results": [{"entry": i} for i in ids], "has_next": False}}
+    squad = {"picks": [{"element": 1, "position": 1}]}
+    replies = {
+        "bootstrap-static/": {"elements": [], "teams": [], "events": events}, "fixtures/": [],
+        "/entry/7/": {"id": 7, "leagues": {"classic": [{"id": 5, "league_type": "x", "name": "us"}]}}, "/entry/8/": {"id": 8, "leagues": {"classic": []}},
+        "leagues-classic/5/standings/?page_standings=1": page([7, 9]), "leagues-classic/314/standings/?page_standings=1": page(range(20, 24)),
+        **{f"/entry/{i}/event/{e}/picks/": squad for i in (7, 9, *range(20, 24)) for e in (1, 2) if (i, e) != (22, 2)},
+    }
+    run = lambda *a: cli.main(["--root", str(tmp_path), *a, "--url", "http://g"], _replies(replies), now)
+    assert run("ingest", "--season", "2024-25") == 0 and run("ingest", "--season", "2024-25") == 0
+    assert capsys.readouterr().out.count("bootstrap: new") == 1
+    assert run("discover-league", "--entry", "7") == 0 and "5: us" in capsys.readouterr().out and run("discover-league", "--entry", "8") == 1
+    assert run("capture-ownership", "--season", "2024-25", "--cohort", "self") == 2  # no entry
+    assert run("capture-ownership", "--season", "2024-25", "--entry", "7", "--dry-run") == 0 and not (tmp_path / "raw/game/picks").exists()
+    assert run("capture-ownership", "--season", "2024-25", "--entry", "7") == 1  # 22 has no answer yet
+    said = capsys.readouterr().out
+    assert "self: event 1, 1 entries" in said and "mini: event 1, 2 entries" in said and "elite: event 2, 4 entries, 0 there, 1 chunks written, failed [22]" in said
+    replies["/entry/22/event/2/picks/"] = squad
+    assert run("capture-ownership", "--season", "2024-25", "--entry", "7") == 0
+    said = capsys.readouterr().out
+    assert "self: event 2" in said and "elite: event 2, 4 entries, 3 there, 1 chunks written" in said
+    assert run("capture-ownership", "--season", "2024-25", "--cohort", "elite") == 0 and "no event is open" in capsys.readouterr().out
+    assert run("capture-ownership", "--season", "2024-25", "--cohort", "elite", "--event", "1", "--limit", "2") == 0 and captures.captured_events(tmp_path, "2024-25", "elite") == {2}
+    # Ratings and a past season.
+    assert run("backfill-elo", "--from", "2023-24", "--to", "2023-24") == 1  # no facts yet
+    assert run("backfill", "--from", "2031-32", "--to", "2031-32") == 2
+    columns = [c.source for c in contracts.merged_for("2023-24")[1].columns if c.required]
+    row = dict.fromkeys(columns, "1") | {"name": "A", "position": "MID", "team": "x", "kickoff_time": "2023-08-12T15:00:00Z", "was_home": "True"}
+    rows = [row | {"element": "1", "opponent_team": "2"}, row | {"element": "2", "opponent_team": "1", "was_home": "False"}]
+    lines = lambda rs: ("\n".join([",".join(rs[0]), *(",".join(map(str, r.values())) for r in rs)]) + "\n").encode()
+    replies |= {"2023-24/gws/merged_gw.csv": lines(rows), "2023-24/players_raw.csv": lines([{"id": i, "element_type": 3, "team": i, "code": 100 + i} for i in (1, 2)])}
+    assert run("backfill", "--from", "2023-24", "--to", "2023-24") == 0, capsys.readouterr()
+    assert "2 new files" in capsys.readouterr().out and spark.read.parquet(f"{tmp_path}/facts/player_fixture").count() == 2
+    assert run("backfill", "--from", "2023-24", "--to", "2023-24", "--skip-fetch") == 0
+    assert run("backfill-elo", "--from", "2023-24", "--to", "2023-24", "--dry-run") == 0 and "1 days, 0 there" in capsys.readouterr().out
+    assert run("backfill-elo", "--from", "2023-24", "--to", "2023-24") == 1
+    replies["2023-08-11"] = b"Rank,Club,Country,Level,Elo,From,To\n1,A,ENG,1,1800.5,2023-08-01,2023-08-19\n"
+    assert run("backfill-elo", "--from", "2023-24", "--to", "2023-24") == 0 and spark.read.parquet(f"{tmp_path}/staged/ratings").count() == 1
+
+
 def test_rating_backfill_resumes(tmp_path):
     days = captures.rating_dates([datetime(2025, 1, 3).date(), datetime(2025, 1, 3).date(), datetime(2025, 1, 4).date()])
     assert [str(d) for d in days] == ["2025-01-02", "2025-01-03"]
