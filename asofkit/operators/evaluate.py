@@ -58,3 +58,11 @@ def rank_correlation(df: DataFrame, block: Sequence[str], actual: str, predicted
     rows = df.where(complete(F.col(actual), F.col(predicted)))
     r = rows.withColumns({"_a": average_rank(actual, *block), "_p": average_rank(predicted, *block)})
     return r.groupBy(*block).agg(F.count("*").alias("n"), safe_corr(F.col("_a"), F.col("_p")).alias("spearman"))
+
+
+def residuals(df: DataFrame, by: Sequence[str], value: str, published: str) -> DataFrame:
+    """Rows, exact ones, and mean, deviation, mean and greatest size of value - published; rows without either are left out."""
+    d = (F.col(value) - F.col(published)).cast("double")
+    rows = df.where(d.isNotNull()).withColumn("_d", d)
+    r = F.col("_d")
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(r == 0).alias("exact"), F.avg(r).alias("mean"), F.stddev_samp(r).alias("std"), F.avg(F.abs(r)).alias("mean_abs"), F.max(F.abs(r)).alias("worst"))

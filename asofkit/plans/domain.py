@@ -32,7 +32,7 @@ CLUBS = "SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'Spurs F.C.' WHE
 
 
 @query("SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'tottenham hotspur' WHEN 1 THEN 'brighton and hove albion' WHEN 2 THEN 'manchester united' ELSE lower(c_name) END AS club FROM customer")
-def club_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+def club_names_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, sf_dir, CLUBS).select("id", text.full_club(F.col("name")).alias("club"))
 
 

@@ -49,9 +49,11 @@ def _note(report: StageReport) -> str:
 
 def _put(root: str, df: DataFrame, spec: TableSpec, note: str = "", more: Sequence[str] = ()) -> Staged:
     key = [*more, *spec.key]
-    write_partitions(df, f"{root}/staged/{spec.table}", ["season"], key)
-    season = df.first()
-    rows = df.sparkSession.read.parquet(f"{root}/staged/{spec.table}").where(F.col("season") == season["season"]).count() if season else 0
+    df = df.persist()  # it is counted and written
+    rows = df.count()
+    if rows:
+        write_partitions(df, f"{root}/staged/{spec.table}", ["season"], key)
+    df.unpersist()
     return Staged(spec.table, rows, note)
 
 

@@ -18,6 +18,8 @@ def query(sql: str | None = None):
     """Register a function (spark, sf_dir) under its name, with its DuckDB SQL."""
 
     def add(f):
+        if f.__name__ in QUERIES:
+            raise ValueError(f"there is a query {f.__name__} already")
         QUERIES[f.__name__] = f
         if sql:
             SQL[f.__name__] = sql

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from asofkit.functions import scoring as rules
+from asofkit.operators import evaluate
 
 from .registry import query, rows
 
@@ -66,6 +67,15 @@ def reconcile_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("season").agg(F.count("*").alias("n"), F.count_if(diff != 0).alias("different"), F.sum(diff).alias("residual"))
 
 
+@query(f"""SELECT position, count(*) AS n, count(*) FILTER (d = 0) AS exact, round(avg(d), 6) AS mean, round(stddev_samp(d), 6) AS std, round(avg(abs(d)), 6) AS mean_abs, CAST(max(abs(d)) AS BIGINT) AS worst
+FROM (SELECT position, CAST({TOTAL_SQL} - ({OLD_SQL} + fixture % 2) AS DOUBLE) AS d FROM ({ACTIONS})) GROUP BY position""")
+def residual_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far reconstructed totals are from published ones."""
+    d = rows(spark, sf_dir, ACTIONS).withColumns({"total": _total("2025-26"), "published": _total("legacy") + F.col("fixture") % 2})
+    found = evaluate.residuals(d, ["position"], "total", "published")
+    return found.select("position", "n", "exact", *[F.round(c, 6).alias(c) for c in ("mean", "std", "mean_abs")], F.col("worst").cast("long").alias("worst"))
+
+
 @query(f"""SELECT bucket, count(*) AS n FROM (SELECT CASE WHEN t <= 0 THEN 'zeros' WHEN t <= 3 THEN 'blanks' WHEN t <= 8 THEN 'tickers' ELSE 'haulers' END AS bucket FROM (SELECT {TOTAL_SQL} AS t FROM ({ACTIONS}))) GROUP BY bucket""")
 def outcome_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, sf_dir, ACTIONS).groupBy(rules.outcome_bucket(_total("2025-26")).alias("bucket")).agg(F.count("*").alias("n"))

@@ -101,8 +101,8 @@ def features_as_of(player: DataFrame, fixtures: DataFrame, registered: DataFrame
     sides = facts.either_side(ahead.select("season", "fixture_id", "event", "kickoff_time", "team_h", "team_a"), "team_h", "team_a", [])
     target = resolved.join(sides.withColumnsRenamed({"team": "team_id", "opponent": "opponent_team_id"}), "team_id")
     # All targets share the history before the cut-off: they stand in one block after it.
-    first = ahead.agg(F.min("event").alias("_e"), F.min("season").alias("_s"))
-    asked = target.select("player_id", "player_code").distinct().join(F.broadcast(first)).select("player_id", "player_code", F.col("_s").alias("season"), F.col("_e").alias("event"), cut.alias("kickoff_time"), F.lit(-1).cast("bigint").alias("fixture_id"))
+    event, of_season = ahead.agg(F.min("event"), F.min("season")).first()
+    asked = target.select("player_id", "player_code").distinct().select("player_id", "player_code", F.lit(of_season).cast("string").alias("season"), F.lit(event).cast("bigint").alias("event"), cut.alias("kickoff_time"), F.lit(-1).cast("bigint").alias("fixture_id"))
     history = known.unionByName(asked, allowMissingColumns=True)
     wide = build.rolling_features(history).where("fixture_id = -1")
     names = [n for n in build.feature_names() if n not in build.CONTEXT]
