@@ -103,16 +103,21 @@ def judge(
     A host is a trusted (blocked) seed if a rule allows (blocks) more than ``seed_share`` of its
     pages. Edges are the links between hosts, absolute or by '//', and those of a site: each host of
     more than two labels with the host without its first label, both ways. Trust follows the edges,
-    distrust follows them backwards: who links to blocked hosts is distrusted. Both are divided among the linked hosts, so they rank but
-    don't decide. A host is blocked if its exposure is at least ``least`` and exceeds its backing;
-    other hosts, unlinked ones too, are allowed. Exposure is the chance that a walk along the
-    host's own links, which stops with 1 - ``damping`` at each, meets a blocked seed; backing is the
-    trusted seeds' share of what walks from all hosts bring to it. Neither depends on how many
-    other hosts do the same. Relative links and links within a host are no edges.
+    distrust follows them backwards: who links to blocked hosts is distrusted.
+
+    Both scores depend on how many seeds and linking hosts there are, so they decide as shares: a host's
+    trust_share is the trusted seeds' part of what walks that start at every host bring to it, distrust_share
+    the blocked seeds' part of such walks backwards. Where many hosts link to one blocked host, walks backwards
+    part among them, and the share of each is small; so distrust is also passed back undivided, each
+    host taking it over its own links alone: exposure is the chance that a walk along the
+    host's links, which stops with 1 - ``damping`` at each, meets a blocked seed. A host is blocked
+    if its distrust_share or its exposure is at least ``least`` and exceeds its trust_share; other
+    hosts, unlinked ones too, are allowed. Relative links and links within a host are no edges.
 
     Null urls or such without '://' have an empty host and path, fit no rule and are allowed. Null
     html has no links. Repeated pages count each; extra columns are ignored; an empty table gives
-    an empty result. Returns page_id, host, path, rule, verdict, trust and distrust.
+    an empty result. Returns page_id, host, path, rule, verdict, trust, distrust, trust_share,
+    distrust_share, exposure and decided (by which of the last two a host is blocked, else null).
     """
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     base = materialise(
@@ -149,19 +154,25 @@ def judge(
     # Exposure comes back over the host's own links; a blocked seed ends the walk.
     back = onward.select(F.lit("exposure").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "share")
     back = back.join(blocked.withColumnRenamed("host", "dst"), "dst", "left_anti").select("kind", "src", "dst", "share")
-    edges = materialise(shares.unionByName(onward.withColumn("kind", F.lit("all"))).unionByName(back), "edges")
+    everywhere = [shares.where(F.col("kind") == k).withColumn("kind", F.lit(name)) for k, name in (("trust", "all"), ("distrust", "all_back"))]
+    edges = materialise(reduce(DataFrame.unionByName, [shares, *everywhere, back]), "edges")
     linked = links.select(F.col("src").alias("host")).union(links.select("dst")).distinct()
     one = F.lit(1.0).alias("mass")
-    starts = seeds.withColumn("mass", mass).unionByName(blocked.select(F.lit("exposure").alias("kind"), "host", one)).unionByName(linked.select(F.lit("all").alias("kind"), "host", one))
+    starts = seeds.withColumn("mass", mass).unionByName(blocked.select(F.lit("exposure").alias("kind"), "host", one))
+    for name in ("all", "all_back"):
+        starts = starts.unionByName(linked.select(F.lit(name).alias("kind"), "host", one))
     ranks = propagate(starts, edges, damping, tolerance, max_steps)
     of = lambda k, c, name: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col(c))), F.lit(0.0)).alias(name)
-    scores = ranks.groupBy("host").agg(of("trust", "score", "trust"), of("distrust", "score", "distrust"), of("exposure", "m", "exposure"), of("trust", "m", "good"), of("all", "m", "all"))
-    backing = F.when(F.col("all") > 0, F.col("good") * float(n.get("trust", 0)) / F.col("all")).otherwise(0.0)
-    bad = (F.col("exposure") >= least) & (F.col("exposure") > backing)
-    verdict = F.coalesce(F.col("r.verdict"), F.when(bad, "block").otherwise("allow"))
+    made = [of("trust", "score", "trust"), of("distrust", "score", "distrust"), of("exposure", "m", "exposure"), of("trust", "m", "good"), of("distrust", "m", "bad"), of("all", "m", "all"), of("all_back", "m", "all_back")]
+    part = lambda m, kind, every: F.when(F.col(every) > 0, F.col(m) * float(n.get(kind, 0)) / F.col(every)).otherwise(0.0)
+    scores = ranks.groupBy("host").agg(*made).withColumns({"trust_share": part("good", "trust", "all"), "distrust_share": part("bad", "distrust", "all_back")})
+    blocks = lambda c: (F.col(c) >= least) & (F.col(c) > F.col("trust_share"))
+    scores = scores.withColumn("decided", F.when(blocks("distrust_share"), "distrust_share").when(blocks("exposure"), "exposure"))
+    verdict = F.coalesce(F.col("r.verdict"), F.when(F.col("decided").isNotNull(), "block").otherwise("allow"))
+    numbers = ("trust", "distrust", "trust_share", "distrust_share", "exposure")
     return base.join(scores, "host", "left").select(
         "page_id", "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"),
-        F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"),
+        *[F.coalesce(c, F.lit(0.0)).alias(c) for c in numbers], F.when(F.col("r.rule").isNull(), F.col("decided")).alias("decided"),
     )
 
 

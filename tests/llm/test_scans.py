@@ -294,6 +294,49 @@ def test_propagation_equals_power_iteration(spark):
     assert {h: r["verdict"] for h, r in out.items()} == {"bad.net": "block", "spam.io": "block", "farm.io": "block", "good.org": "allow", "news.io": "allow", "blog.io": "allow", "lone.io": "allow"}
 
 
+def test_verdicts_equal_plain_walks(spark):
+    """Shares and exposure by plain loops over a made-up graph, with repeated pages and clashing columns."""
+    rng = random.Random(8)
+    hosts = [f"h{i}.io" for i in range(30)] + [f"b{i}.net" for i in range(8)] + ["t0.org"]
+    page = lambda h: f"https://{h}/{'fr/' if h.endswith('org') else 'x'}"
+    html = {h: " ".join(f'<a href="https://{x}/p">t</a>' for x in sorted(set(rng.choices(hosts, k=rng.randrange(0, 4)))) if x != h) for h in hosts}
+    rows = [(i, page(h), html[h]) for i, h in enumerate(hosts * 2)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("z") for c in ("host", "verdict", "score", "w", "kind", "m")})
+    out = {r["host"]: r for r in urlgraph.judge(df, tolerance=1e-12, max_steps=200).collect()}
+    links = {h: [x for x in hosts if f"//{x}/" in html[h]] for h in hosts}
+    back = {h: [x for x in hosts if h in links[x]] for h in hosts}
+    trusted, blocked = (lambda h: h.endswith("org")), (lambda h: h.endswith("net"))
+    linked = [h for h in hosts if links[h] or back[h]]
+
+    def walks(start, onward):
+        at = {h: float(h in start) for h in hosts}
+        total = dict(at)
+        for _ in range(250):
+            new = dict.fromkeys(hosts, 0.0)
+            for h in hosts:
+                for x in onward[h]:
+                    new[x] += 0.85 * at[h] / len(onward[h])
+            at = new
+            total = {h: total[h] + at[h] for h in hosts}
+        return total
+
+    good, every = walks([h for h in hosts if trusted(h)], links), walks(linked, links)
+    bad, every_back = walks([h for h in hosts if blocked(h)], back), walks(linked, back)
+    exposure = {h: float(blocked(h)) for h in hosts}
+    for _ in range(250):
+        exposure = {h: 1.0 if blocked(h) else 0.85 * sum(exposure[x] for x in links[h]) / len(links[h]) if links[h] else 0.0 for h in hosts}
+    seen = set()
+    for h in hosts:
+        trust, distrust = good[h] / every[h] if every[h] else 0.0, bad[h] / every_back[h] if every_back[h] else 0.0
+        r = out[h]
+        assert (r["trust_share"], r["distrust_share"], r["exposure"]) == pytest.approx((trust, distrust, exposure[h]), abs=1e-6), h
+        if h.endswith("io"):
+            worst = max(distrust, exposure[h])
+            assert r["verdict"] == ("block" if worst >= 0.05 and worst > trust else "allow"), h
+            seen.add(r["decided"])
+    assert len(seen) >= 2
+
+
 @pytest.mark.parametrize("farm", [5, 300])
 def test_a_link_farm_is_blocked_whatever_its_size(spark, farm):
     link = lambda *hosts: " ".join(f'<a href="https://{h}/p">t</a>' for h in hosts)
