@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from asofkit.operators import pit
-from asofkit.session import load
+from asofkit.session import load, shared_folder
+from asofkit.streaming import snapshots
 
 from .registry import query, rows
 
@@ -169,3 +170,15 @@ def pit_feature_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(round(value, 6), (ts, event_id)) AS value FROM events GROUP BY user_id""")
 def latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pit.latest(load(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], ["event_type", "value"]).withColumn("value", F.round("value", 6))
+
+
+@query("""SELECT DISTINCT user_id, CAST(floor(epoch(date_trunc('hour', ts))) AS BIGINT) AS as_of_s, event_type FROM events""")
+def streamed_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream of hourly snapshots, each different one once."""
+    path = shared_folder(spark, "snapshots")
+    events = load(spark, sf_dir, "events")
+    # As a pattern, since a stream takes a table of one file by its name only so.
+    raw = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(f"{sf_dir}/events.parque[t]")
+    stream = raw.select("user_id", F.date_trunc("hour", F.col("ts").cast(events.schema["ts"].dataType)).alias("as_of_ts"), "event_type")
+    snapshots.write_history(stream, f"{path}/history", f"{path}/checkpoint", ["user_id"]).awaitTermination()
+    return snapshots.history(spark, f"{path}/history").select("user_id", F.unix_seconds("as_of_ts").alias("as_of_s"), "event_type")
