@@ -26,7 +26,7 @@ from asofkit.plans import build, raw_tables, staging
 from asofkit.session import session
 from asofkit.sources import captures, contracts, files
 from asofkit.sources.fetch import FAILURE, GATE_FAILED, SUCCESS, USAGE, Fetcher, FetchError, game_endpoints, open_event, rating_endpoint
-from asofkit.sources.writers import markdown, write_crosswalk, write_partitions, write_table
+from asofkit.sources.writers import section, write_crosswalk, write_partitions, write_table
 
 VERSION = "0.1.0"
 #: Cohorts of which squads are captured, and the first event at which each can be; the best have no ranking before one event is scored.
@@ -286,6 +286,7 @@ def eda(spark: SparkSession, root: str) -> int:
         ("Columns", kind),
         ("Missing", explore.missing(df, numeric).orderBy(F.desc("share"), "column")),
         *[(f"Missing where {m} holds", explore.missing(df, cs, m).orderBy("column")) for m in build.MASKED if (cs := [c for c, of in staging.masked_features().items() if of == m and c in df.columns])],
+        ("Missing by season", explore.missing_by(df, numeric, "season").where("nulls > 0").orderBy(F.desc("share"), "column", "season")),
         ("Cardinality", explore.cardinality(df, df.columns).orderBy(F.desc("n_unique"), "column")),
         ("Shape", shape),
         ("Near-zero variance", shape.where("near_zero").select("column", "variance")),
@@ -295,14 +296,19 @@ def eda(spark: SparkSession, root: str) -> int:
         ("Variance inflation", explore.variance_inflation(df, curated) if curated else None),
         ("Mutual information with the target", explore.mutual_information(df, some, target).orderBy(F.desc("mi"), "column")),
         ("Correlation with the target", explore.target_correlation(df, some, target).orderBy(F.abs("pearson").desc_nulls_last(), "column")),
+        ("Features by band of the target", explore.target_bands(df, curated, scoring.outcome_bucket(F.col(target))).orderBy("column", "band") if curated else None),
         *[(f"Distribution of {c}", explore.histogram(df, c, 10).orderBy("bin")) for c in labels],
         ("Sample", explore.sample(df.select("season", "event", "player_id", *labels), 10)),
     ]
     return _report(root, "eda", reports)
 
 
+#: Rows of a report's section at most; the section says how many there are.
+TOP = 500
+
+
 def _report(root: str, name: str, reports: list) -> int:
-    text = "".join(f"## {title}\n\n{markdown(report)}\n" for title, report in reports if report is not None)
+    text = "".join(f"## {title}\n\n{section(report, TOP)}\n" for title, report in reports if report is not None)
     print(text)
     out = Path(root) / "reports" / f"{name}.md"
     out.parent.mkdir(parents=True, exist_ok=True)

@@ -45,6 +45,30 @@ def missing(df: DataFrame, columns: Sequence[str], flag: str | None = None) -> D
     return df.sparkSession.createDataFrame(rows, "column string, n long, nulls long, share double" + (", share_observed double, share_unobserved double" if flag else ""))
 
 
+def missing_by(df: DataFrame, columns: Sequence[str], by: str) -> DataFrame:
+    """column, value of ``by``, n, nulls and share of nulls; ``by`` has few values, each a row of one small array."""
+    kinds = [r[0] for r in df.select(by).distinct().orderBy(by).collect()]
+    k, at = len(columns), F.lit(len(kinds))
+    for i, v in enumerate(kinds):
+        at = F.when(F.col(by).eqNullSafe(F.lit(v)), i).otherwise(at)
+    marks = df.select(*[F.col(f"`{c}`").isNull().cast("double").alias(f"n{i}") for i, c in enumerate(columns)], at.cast("double").alias("at"))
+
+    def block(x: np.ndarray) -> np.ndarray:
+        out, rows = np.zeros((len(kinds), k + 1)), x[:, k].astype(int)
+        np.add.at(out, rows, np.c_[x[:, :k], np.ones(len(x))])
+        return out
+
+    sums = wide.fold(marks, marks.columns, block, np.add, np.zeros((len(kinds), k + 1)))
+    rows = [(c, v, int(sums[j, k]), int(sums[j, i]), float(sums[j, i] / sums[j, k])) for j, v in enumerate(kinds) for i, c in enumerate(columns)]
+    return df.sparkSession.createDataFrame(rows, T.StructType([T.StructField("column", T.StringType()), T.StructField(by, df.schema[by].dataType), *[T.StructField(n, T.LongType()) for n in ("n", "nulls")], T.StructField("share", T.DoubleType())]))
+
+
+def target_bands(df: DataFrame, columns: Sequence[str], band: Column) -> DataFrame:
+    """column, band, n, mean and standard deviation of each column within the bands of a target; null bands are left out."""
+    rows = df.where(band.isNotNull()).select(band.alias("band"), F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])))
+    return rows.groupBy("column", "band").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"))
+
+
 def cardinality(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Distinct values, null counting as one; counted in two steps, so no row is repeated for each column of a wide aggregate."""
     long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in columns])))

@@ -126,6 +126,12 @@ def unmapped_names(names: DataFrame, crosswalk: DataFrame, name: str, aliases: s
     return names.where(F.col(name).isNotNull()).select(name).distinct().join(known, name, "left_anti")
 
 
+def mapped_names(names: DataFrame, crosswalk: DataFrame, name: str, aliases: str) -> DataFrame:
+    """The different names that are in both: a row of the crosswalk has them among its aliases."""
+    known = crosswalk.select(F.explode(aliases).alias(name)).distinct()
+    return names.where(F.col(name).isNotNull()).select(name).distinct().join(known, name, "left_semi")
+
+
 def collect_names(tables: dict[str, tuple[DataFrame, Sequence[str]]]) -> DataFrame:
     """source and name of all different names in the given columns of each source's table."""
     out = None

@@ -36,6 +36,13 @@ def club_names_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, sf_dir, CLUBS).select("id", text.full_club(F.col("name")).alias("club"))
 
 
+@query("SELECT c_name AS name FROM customer INTERSECT SELECT c_name FROM customer WHERE c_custkey % 3 = 0")
+def names_mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = load(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("name"))
+    known = c.where("c_custkey % 3 = 0").select(F.array(F.lit("other"), "name").alias("aliases"))
+    return identity.mapped_names(c.unionByName(c), known, "name", "aliases")
+
+
 @query("SELECT DISTINCT c_name AS name FROM customer WHERE c_name NOT IN (SELECT c_name FROM customer WHERE c_custkey % 3 = 0)")
 def names_not_mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = load(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("name"))

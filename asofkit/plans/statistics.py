@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from asofkit.functions.scoring import outcome_bucket
 from asofkit.operators import evaluate, explore, models
 
 from .registry import SQL, query, rows
@@ -27,6 +28,19 @@ def missing_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(explore.missing(rows(spark, sf_dir, NUMBERS), COLUMNS, "obs_x"))
 
 
+_BY = f"SELECT *, CAST(id % 5 AS INTEGER) AS season FROM ({NUMBERS})"
+
+
+@query(f"WITH t AS ({_BY}) " + _per_column("SELECT '{c}' AS \"column\", season, count(*) AS n, count(*) FILTER ({c} IS NULL) AS nulls, round(avg(CAST({c} IS NULL AS INTEGER)), 6) AS share FROM t GROUP BY season"))
+def missing_by_season(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(explore.missing_by(rows(spark, sf_dir, _BY), COLUMNS, "season"))
+
+
+@query(f"WITH t AS (SELECT *, CASE WHEN a <= 3 THEN 'blanks' WHEN a <= 8 THEN 'tickers' WHEN a > 8 THEN 'haulers' END AS band FROM ({NUMBERS})) " + _per_column("SELECT '{c}' AS \"column\", band, count({c}) AS n, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std FROM t GROUP BY band", ("b", "c", "d")))
+def target_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(explore.target_bands(rows(spark, sf_dir, NUMBERS), ("b", "c", "d"), outcome_bucket(F.col("a"))), 4)
+
+
 @query(f"WITH t AS ({NUMBERS}) " + _per_column("SELECT '{c}' AS \"column\", count(DISTINCT {c}) + CAST(max(CAST({c} IS NULL AS INTEGER)) AS BIGINT) AS n_unique FROM t"))
 def cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explore.cardinality(rows(spark, sf_dir, NUMBERS), COLUMNS)

@@ -94,3 +94,9 @@ def markdown(df: DataFrame, limit: int | None = None) -> str:
     cell = lambda v: "" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     return "\n".join([*lines, *("| " + " | ".join(cell(v) for v in r) + " |" for r in rows)]) + "\n"
+
+
+def section(df: DataFrame, top: int) -> str:
+    """The first ``top`` rows as a table, and how many there are if these aren't all."""
+    n = df.count()
+    return (f"The first {top} of {n} rows.\n\n" if n > top else f"{n} rows.\n\n") + markdown(df, top)

@@ -155,6 +155,23 @@ def test_captures_resume(spark, tmp_path):
     assert match.written == 1
 
 
+def test_a_broken_sidecar_counts_as_absent(spark, tmp_path):
+    first = writers.write_raw(tmp_path / "raw", "2025-01-01T00-00-00Z", b"body", {"source": "s"})
+    (first / "meta.json").write_text('{"source": "s", "sha2')
+    row = files.read_raw(spark, str(tmp_path / "raw")).first()
+    assert bytes(row["body"]) == b"body" and (row["meta"] is None or row["meta"]["sha256"] is None)
+    # The latest digest can't be read, so the same body is stored again.
+    assert writers.write_raw(tmp_path / "raw", "2025-01-02T00-00-00Z", b"body", {"source": "s"}) is not None
+    assert writers.write_raw(tmp_path / "raw", "2025-01-03T00-00-00Z", b"body", {"source": "s"}) is None
+    (first / "meta.json").write_text("{}")
+    assert files.read_raw(spark, str(tmp_path / "raw")).count() == 2
+
+
+def test_sections_say_what_they_leave_out(spark):
+    df = spark.range(7).toDF("n")
+    assert writers.section(df, 3).startswith("The first 3 of 7 rows.") and writers.section(df, 3).count("| ") == 4 and writers.section(df, 9).startswith("7 rows.")
+
+
 def test_one_failure_costs_no_other_answer(tmp_path):
     asked = []
 
