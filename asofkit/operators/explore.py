@@ -145,10 +145,14 @@ def outliers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def safe_corr(a: Column, b: Column) -> Column:
-    """Pearson's r of the complete pairs; null for fewer than two, or if either side is constant among them."""
+    """Pearson's r of the complete pairs; null for fewer than two, or if either side is constant among them.
+
+    Constant is what has one value: merged means of equal values may differ in the last digit, and then
+    so does the deviation from 0.
+    """
     both = a.isNotNull() & b.isNotNull()
     x, y = F.when(both, a.cast("double")), F.when(both, b.cast("double"))
-    return F.when((F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0), F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)))
+    return F.when((F.min(x) < F.max(x)) & (F.min(y) < F.max(y)), F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)))
 
 
 def average_rank(value: str | Column, *partition: str | Column) -> Column:

@@ -163,6 +163,15 @@ def test_statistics_edges(spark):
     assert explore.classify(df.withColumn("obs_x", F.lit(True)), identity=["a"]) == {"a": "identity", "b": "numeric", "c": "numeric", "d": "numeric", "obs_x": "mask"}
 
 
+def test_correlation_with_a_constant_over_partitions(spark):
+    # 214 rows a partition: 7 / 214 * 214 isn't 7, so merged means of equal values differ.
+    df = spark.range(0, 428, 1, 2).selectExpr("cast(id * id % 11 AS double) AS a", "7D AS e", "0.1D AS f", "cast(id % 3 AS int) AS g")
+    assert [x["r"] for x in explore.pearson_pairs(df, ["a", "e", "f"]).collect()] == [None] * 3
+    assert [tuple(x)[1:] for x in explore.target_correlation(df, ["e", "f"], "a").collect()] == [(428, None, None)] * 2
+    by = df.groupBy("g").agg(explore.safe_corr(F.col("a"), F.col("e")).alias("r"), explore.safe_corr(F.col("a"), F.col("a") + 1).alias("s")).collect()
+    assert [x["r"] for x in by] == [None] * 3 and [x["s"] for x in by] == [pytest.approx(1)] * 3
+
+
 def test_metrics_leave_out_nan(spark):
     df = spark.createDataFrame([(1.0, 2.0), (3.0, float("nan")), (None, 1.0)], "y double, p double")
     assert tuple(df.agg(*evaluate.metrics(F.col("y"), F.col("p"))).first()) == (1, 1.0, 1.0)
