@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from asofkit.functions import scoring, text
 from asofkit.operators import evaluate, explore, facts, gates, identity, models, pit
-from asofkit.plans import build
+from asofkit.plans import build, registry
 from asofkit.schema import ColumnSpec, SchemaError, TableSpec, stage
 
 BASE = dict.fromkeys(("goals", "assists", "conceded", "saves", "penalties_saved", "penalties_missed", "yellow_cards", "red_cards", "own_goals", "clearances", "tackles", "recoveries", "bonus"), 0)
@@ -146,6 +146,26 @@ def test_names(spark):
     assert [str(r[0]) for r in d.select(text.match_date(F.col("d"))).collect()] == ["2025-08-16", "2017-01-01", "2025-08-16", "None"]
 
 
+def test_matched_ids(spark):
+    kind = "d date, g int, h int"
+    ours = spark.createDataFrame([(1, date(2025, 1, 1), 1, None), (1, date(2025, 1, 1), 1, None), (None, date(2025, 1, 1), None, None), (3, None, 1, None), (4, date(2025, 1, 2), 1, 2)], f"o int, {kind}")
+    theirs = spark.createDataFrame([*[(i, date(2025, 1, 1), 1, None) for i in (5, 6, 6, 7, None)], (8, date(2025, 1, 1), None, None), (9, None, 1, None), (10, date(2025, 1, 3), 1, 2)], f"t int, {kind}")
+    want = sorted(map(str, facts.match_scores(ours, theirs, "d", ["g", "h"]).select("o", "t").collect()))
+    for tile in (1, 2, 256):
+        assert sorted(map(str, facts.match_ids(ours, theirs, "d", ["g", "h"], "o", "t", tile).collect())) == want and len(want) == 11
+
+
+def test_matched_ids_take_little_room(spark, tmp_path):
+    orders = spark.range(9001).selectExpr("id * 37 AS o_orderkey", "id * 11 AS o_custkey", "TIMESTAMP '2025-01-01 00:00:00' AS o_orderdate")
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    registry.QUERIES["null_safe_score_match"](spark, str(tmp_path)).write.parquet(str(tmp_path / "out"))
+    count = lambda k: orders.selectExpr(f"CASE WHEN {k} % 3 <> 0 THEN {k} % 10 END AS g").groupBy("g").count().collect()
+    a, b = ({r["g"]: r["count"] for r in count(k)} for k in ("o_orderkey", "o_custkey"))
+    n = spark.read.parquet(str(tmp_path / "out")).count()
+    assert n == sum(a[g] * b.get(g, 0) for g in a)
+    assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < n / 2
+
+
 def test_matching_passes(spark):
     left = spark.createDataFrame([(1, "ana silva"), (2, "bruno costa dias"), (3, "rui pedro gomes"), (4, "joao felix"), (5, "luis")], "l int, name string")
     right = spark.createDataFrame([(11, "ana silva"), (12, "b dias"), (13, "gomes pedro rui"), (14, "joao maria felix sequeira"), (15, "luisa")], "r int, name string")
