@@ -155,6 +155,18 @@ def test_matched_ids(spark):
         assert sorted(map(str, facts.match_ids(ours, theirs, "d", ["g", "h"], "o", "t", tile).collect())) == want and len(want) == 11
 
 
+def test_matched_ids_of_one_group_go_to_several_tasks(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ours = spark.range(300).selectExpr("id AS o", "DATE '2025-01-01' AS d", "CAST(NULL AS INT) AS g")
+        theirs = spark.range(1600).selectExpr("id AS t", "DATE '2025-01-01' AS d", "CAST(NULL AS INT) AS g")
+        pairs = facts.match_ids(ours, theirs, "d", ["g"], "o", "t", 5)
+        tasks = [r["count"] for r in pairs.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(tasks) == pairs.distinct().count() == 300 * 1600 and max(tasks) < 300 * 1600 // 2
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_matched_ids_take_little_room(spark, tmp_path):
     orders = spark.range(9001).selectExpr("id * 37 AS o_orderkey", "id * 11 AS o_custkey", "TIMESTAMP '2025-01-01 00:00:00' AS o_orderdate")
     orders.write.parquet(str(tmp_path / "orders.parquet"))
